@@ -98,7 +98,7 @@ class Codec:
         self.agrees = lru_cache(1 << 16)(self._agrees)
         self.symbols = lru_cache(1 << 16)(self._symbols)
         self.words = Words(self.word_ids)
-        self.bodies = Words(lambda piece: self.piece_ids(piece.encode()))
+        self.bodies = Words(lambda piece: tuple(self.piece_ids(piece.encode())))
 
     # pieces
 
@@ -116,7 +116,7 @@ class Codec:
         ranks = [get(p, NEVER) for p in zip(symbols, symbols[1:], strict=False)]
         while ranks and (lowest := min(ranks)) != NEVER:
             at = ranks.index(lowest)
-            symbols[at : at + 2] = [self.results[lowest]]
+            symbols[at : at + 2] = (self.results[lowest],)
             del ranks[at]
             if at:
                 ranks[at - 1] = get((symbols[at - 1], symbols[at]), NEVER)
@@ -164,7 +164,7 @@ class Codec:
 
     # texts
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> tuple[int, ...] | list[int]:
         """Of a lower-cased run of plain characters without blanks."""
         pieces, get = _PIECES(word), self.bodies.__getitem__
         return get(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in get(p)]

@@ -17,13 +17,13 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a != b").select("a", "b")
     both = checkpointed(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
-    while True:
+    moved = not labels.isEmpty()
+    while moved:
         offers = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("n")).agg(F.min("component").alias("offer"))
-        lower = labels.join(offers, labels["node"] == offers["n"], "left").select("node", F.least("component", "offer").alias("component"))
+        lower = labels.join(offers, labels["node"] == offers["n"]).select("node", F.col("component").alias("was"), F.least("component", "offer").alias("component"))
         over = labels.select(F.col("node").alias("n"), F.col("component").alias("next"))
-        after = lower.join(over, lower["component"] == over["n"], "left").select("node", F.least("component", "next").alias("component"))
+        after = lower.join(over, lower["component"] == over["n"]).select("node", "was", F.least("component", "next").alias("component"))
         after = checkpointed(after)
-        change = after.agg(F.sum("component").alias("s"), F.count("*").alias("n")).first(), labels.agg(F.sum("component").alias("s"), F.count("*").alias("n")).first()
-        if change[0] == change[1]:
-            return after
-        labels = after
+        moved = not after.where("component < was").isEmpty()
+        labels = after.drop("was")
+    return labels

@@ -15,6 +15,7 @@ one. An empty table gives an empty result. Columns other than doc_id and text ar
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from .common import stored
 
 CAPACITY = 2048
 SEPARATOR = 0
+#: Words whose ids a worker keeps, about 200 bytes each.
+WORDS = 900_000
 #: Supersteps go on with the pieces of this share of the largest length, until none of them fits a gap.
 BAND = 0.95
 
@@ -38,7 +41,11 @@ class _Ids:
 
     def __init__(self, c: Codec):
         self.codec = c
-        self.words = Words(lambda word: np.array(c.word_ids(word), "<u4").tobytes())
+        self.words = Words(self.make, WORDS)
+
+    def make(self, word: str) -> bytes:
+        ids = self.codec.word_ids(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str | None) -> bytes:
         words = self.codec.plain_words(text) if text else []
