@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import checkpointed, stored, word_list
 from .graph import components
@@ -119,3 +120,122 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
     found = checkpointed(named.join(lowest, "component").select("node", "lowest"))
     ids = owners.join(found, owners["bits"] == found["node"], "left").select("bits", F.coalesce("lowest", "first").alias("component_id"))
     return bits.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of `near_duplicates`: words in a shingle, 64-bit parts of a fingerprint, and the choices of bytes that make postings.
+WORDS, WIDTH, CHOICES, BYTES = 5, 4, 112, 3
+#: Bytes of the fingerprint that a pair must share to be verified.
+SHARED = 4
+_POSITIONS = [sorted(random.Random(k).sample(range(8 * WIDTH), BYTES)) for k in range(CHOICES)]
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, same (128-bit digest of the lower-cased words), bits (wide fingerprint), n (distinct shingles)."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, bits, n = [], [], []
+            for t in batch.column(1):
+                w = word_list(t.as_py())
+                hashes = np.unique(shingle_hashes(w, words))
+                same.append(xxhash.xxh3_128_digest("\n".join(w).encode("utf-8", "surrogatepass")))
+                bits.append(majority(hashes, WIDTH))
+                n.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(n, pa.int32())], names=["doc_id", "same", "bits", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, same binary, bits binary, n int")
+
+
+def _postings(owners: DataFrame) -> DataFrame:
+    """key, id, bits, n: a posting for each choice of bytes and each of two classes of sizes that a text may share with
+    those of similarity 0.8 or more."""
+    positions = np.array(_POSITIONS)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, 8 * WIDTH)
+                sizes = np.log(np.maximum(1, part.column("n").to_numpy())) / np.log(1.25)
+                keys = np.zeros((len(bits), 2, CHOICES), np.int64)
+                for c, at in enumerate(positions):
+                    chosen = np.zeros(len(bits), np.int64)
+                    for p in at:
+                        chosen = (chosen << 8) | bits[:, p]
+                    for k in (0, 1):
+                        # classes twice as wide as the ratio 1.25, and the same half a class on: one of them holds both sizes
+                        keys[:, k, c] = ((np.floor((sizes + k) / 2).astype(np.int64) * 2 + k) << 40) | (c << 32) | chosen
+                rows = pa.array(np.repeat(np.arange(len(bits)), 2 * CHOICES), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("id").take(rows)], names=["key", "id"])
+
+    return owners.select("id", "bits", "n").mapInArrow(spread, "key long, id long")
+
+
+def _candidates(owners: DataFrame) -> DataFrame:
+    """a, b: a posting's members, each with the posting's first and last by a hash of the id for that posting."""
+    rows = _postings(owners)
+    rank = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("id"))
+    ends = rows.groupBy("key").agg(F.min(rank)["id"].alias("first"), F.max(rank)["id"].alias("last")).where("first != last")
+    met = rows.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where("id != other")
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, shingles (sorted distinct hashes) of the texts of the given ids."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(word_list(t.as_py()), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(hashed, "id long, shingles array<long>").dropDuplicates(["id"])
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id, same: texts are linked if their words are equal, or if their sets of word shingles have a Jaccard
+    similarity of `least` or more and the index finds them; component_id is the smallest doc_id that links reach.
+
+    Rows whose doc_id is null get the component of their equals, or null.
+    """
+    table = stored(_sketches(docs, words), "sketches")
+    owners = stored(table.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.min("bits").alias("bits"), F.min("n").alias("n")).where("id is not null"), "owners")
+    pairs = _candidates(owners)
+    x, y = (owners.select(F.col("id").alias(k), F.col("bits").alias(f"{k}_bits"), F.col("n").alias(f"{k}_n")) for k in "ab")
+    apart = pairs.join(x, "a").join(y, "b")
+    shared = sum((F.when(F.expr(f"substring(a_bits, {p + 1}, 1) = substring(b_bits, {p + 1}, 1)"), 1).otherwise(0) for p in range(8 * WIDTH)), F.lit(0))
+    alike = (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (shared >= SHARED)
+    pairs = stored(apart.where(alike).select("a", "b"), "candidates")
+    sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words), "sets")
+    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    verified = pairs.join(left, "a").join(right, "b").where(common >= least * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
+    labels = components(verified)
+    named = owners.join(labels, owners["id"] == labels["node"], "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    empty = table.where("n = 0").groupBy("same").agg(F.min("doc_id").alias("component_id"))
+    return table.join(named.union(empty), "same", "left").select("doc_id", "component_id", "same")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, less all but one of each group of near-duplicates: that of the smallest doc_id.
+
+    Rows that share an id stay or go together. A row without an id goes if its text equals one that has an id.
+    """
+    found = near_duplicates(docs)
+    away = found.where("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(away, "doc_id", "left_anti")
+    if not docs.schema["doc_id"].nullable or docs.where("doc_id is null").isEmpty():
+        return kept.select(*docs.columns)
+    digests = found.where("doc_id is not null").select(F.hex("same").alias("__same")).distinct()
+    nameless = _with_digest(docs.where("doc_id is null")).join(digests, "__same", "left_anti")
+    return kept.where("doc_id is not null").select(*docs.columns).unionByName(nameless.dropDuplicates(["__same"]).select(*docs.columns))
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """docs and __same, the digest of a text's words in hexadecimal."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [xxhash.xxh3_128_digest("\n".join(word_list(t.as_py())).encode("utf-8", "surrogatepass")).hex().upper() for t in batch.column("text")]
+            yield batch.append_column("__same", pa.array(same, pa.string()))
+
+    return docs.mapInArrow(digest, StructType([*docs.schema.fields, StructField("__same", StringType())]))
