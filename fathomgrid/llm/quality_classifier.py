@@ -1,7 +1,9 @@
 """Quality by importance resampling: hashed n-gram generative models of target and raw text, sampled by Gumbel top-k.
 
 A text's weight is the log-ratio of its probability under the target model (labelled good texts) and the raw model (all
-texts). Features are byte 4-grams and word pairs, hashed; a word followed by itself is one feature whatever the word.
+texts). Features are hashed n-grams of shapes: of six classes of characters (small and capital letters, digits, blanks,
+line ends, each mark for itself), and of neighbouring words by their lengths, where a word followed by itself is a feature
+of its own. Letters themselves stay out, as the labelled sample's mixture of languages and topics would else count as quality.
 The sample holds as many texts as the weights expect to be target-like, and takes those of highest weight plus Gumbel
 noise. The noise is a hash of id and text, so a sample can be repeated. The cut is found by an exact radix search over
 counts; texts with the very same key at the cut stay together.
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK, stored, strings, sums
@@ -29,6 +31,23 @@ SCALE = 1 << 16
 MAX_LABELLED = 20_000
 #: Added to each weight in nats: what a text must fall short of the target by, to be expected outside of it.
 MARGIN = 4.0
+#: Characters in an n-gram.
+ORDER = 6
+
+
+def _shapes() -> np.ndarray:
+    """A class below 64 for each byte: bytes of characters beyond ASCII are small letters."""
+    out = np.ones(256, np.uint8)
+    marks = [b for b in range(33, 127) if not chr(b).isalnum()]
+    out[ord("A") : ord("Z") + 1] = 2
+    out[ord("0") : ord("9") + 1] = 3
+    out[:33] = 4
+    out[10] = 5
+    out[marks] = 6 + np.arange(len(marks))
+    return out
+
+
+SHAPES = _shapes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = np.uint64(0x100000001B3)
@@ -45,17 +64,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Two pairs (buckets, offsets by row): of byte 4-grams in the lower half of the buckets, of word pairs in the upper."""
-    x = data.astype(np.uint64)
-    if len(x) < 4:
+    """Two pairs (buckets, offsets by row): of shapes of characters in the lower half of the buckets, of word pairs in the upper."""
+    letters, x = data.astype(np.uint64), SHAPES[data].astype(np.uint64)
+    if len(x) < ORDER:
         grams, inside = np.zeros(0, np.int32), np.zeros(0, bool)
     else:
-        rolled = x[:-3] | (x[1:-2] << np.uint64(8)) | (x[2:-1] << np.uint64(16)) | (x[3:] << np.uint64(24))
+        n = len(x) - ORDER + 1
+        rolled = x[:n].copy()
+        for k in range(1, ORDER):
+            rolled |= x[k : k + n] << np.uint64(6 * k)
         grams = ((rolled * _MIX) >> _SHIFT).astype(np.int32)
-        inside = np.ones(len(grams), bool)
-        for k in (1, 2, 3):
+        inside = np.ones(n, bool)
+        for k in range(1, ORDER):
             last = offsets[1:] - k
-            inside[last[(last >= 0) & (last < len(inside))]] = False
+            inside[last[(last >= 0) & (last < n)]] = False
     lengths = np.minimum(offsets, len(grams))
     places = np.concatenate(([0], np.cumsum(inside)))[lengths]
     grams = grams[inside]
@@ -70,12 +92,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, n
     if len(data) > len(_CACHE[0]):
         _CACHE[:] = _powers(len(data) + 1)
     up, down = _CACHE
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * up[: len(x)])))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((letters + np.uint64(1)) * up[: len(x)])))
     words = (total[ends] - total[starts]) * down[starts]
     rows = np.searchsorted(offsets, starts, "right")
     pair = rows[1:] == rows[:-1]
     a, b = words[:-1][pair], words[1:][pair]
-    mixed = ((a * _PAIR + b) * _MIX) >> _SHIFT
+    sizes = np.minimum(ends - starts, 24).astype(np.uint64)
+    mixed = ((sizes[:-1][pair] * _PAIR + sizes[1:][pair]) * _MIX) >> _SHIFT
     pairs = np.where(a == b, 0, mixed).astype(np.int32) + (BUCKETS >> 1)
     return (grams, places), (pairs, np.searchsorted(rows[:-1][pair], np.arange(len(offsets)), "right"))
 
@@ -121,17 +144,15 @@ def labelled_good(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
     return docs.join(F.broadcast(ids), "doc_id", "left_semi")
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """Fixed-point log-ratios by bucket, each half of the buckets a distribution of its own."""
+def log_ratios(target: np.ndarray, raw: np.ndarray, evidence: float = 4.0) -> np.ndarray:
+    """Fixed-point log-ratios by bucket, each half of the buckets a distribution of its own. `evidence` counts are added to
+    both what the target has and what it would have at the raw share, so that rare buckets have ratios near 1."""
     out = np.zeros(BUCKETS, np.int64)
     if not target.sum():
         return out
     for part in (slice(0, BUCKETS >> 1), slice(BUCKETS >> 1, BUCKETS)):
-        share = raw[part] / max(1, raw[part].sum())
-        # the target model backs off to the raw one, so a bucket without evidence has ratio 1
-        strength = alpha * (BUCKETS >> 1) / 8
-        p = (target[part] + strength * share) / (target[part].sum() + strength)
-        out[part] = np.round(np.log(np.where(share > 0, p / np.maximum(share, 1e-300), 1.0)) * SCALE)
+        expected = raw[part] * (target[part].sum() / max(1, raw[part].sum()))
+        out[part] = np.round(np.log((target[part] + evidence) / (expected + evidence)) * SCALE)
     return out
 
 
@@ -191,11 +212,16 @@ def resampled(weights: DataFrame, margin: float = MARGIN, size: int | None = Non
     return _keyed(weights).withColumn("kept", (F.col("__key") >= low) & F.lit(size > 0)).drop("__key")
 
 
+def _draw() -> Column:
+    """A row's random draw: a hash of its id and text."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+
+
 def classified(docs: DataFrame, labels: DataFrame, keep: list[str], margin: float = MARGIN) -> DataFrame:
     """The columns `keep`, log_weight, noisy_weight, kept for each row of docs."""
     ratios = log_ratios(feature_counts(labelled_good(docs, labels)), feature_counts(docs))
-    draw = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
-    weights = stored(weighed(docs.withColumn("__draw", draw), ratios, [*keep, "__draw"]).withColumnRenamed("__draw", "draw"), "weights")
+    rows = docs.select(*keep, _draw().alias("draw"), "text")
+    weights = stored(weighed(rows, ratios, [*keep, "draw"]), "weights")
     return resampled(weights, margin).drop("draw")
 
 
@@ -205,11 +231,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are sampled, with all their columns. Only ids and weights are kept between the passes."""
-    if not docs.columns:
-        return docs
-    names = docs.columns
+    """The rows of docs that are sampled, with all their columns. Only weights are kept between the passes over texts."""
     ratios = log_ratios(feature_counts(labelled_good(docs, labels)), feature_counts(docs))
-    weights = weighed(docs.withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))), ratios, [*names, "draw"])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _draw().alias("draw"), "text")
+    weights = weighed(rows, ratios, ["row", "draw"])
     low, size = cut(stored(weights.select("log_weight", "draw"), "weights"))
-    return _keyed(weights).where((F.col("__key") >= low) & F.lit(size > 0)).select(*names)
+    return _keyed(weights).where((F.col("__key") >= low) & F.lit(size > 0)).select("row.*")
