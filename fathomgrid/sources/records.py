@@ -27,8 +27,11 @@ MANIFEST = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "pat
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The records of all .json files under a folder, one object each, and those that can't be read (path, text)."""
     schema = T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("path", F.input_file_name())
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("path", F.col("_bad").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = files.select(F.col("_metadata.file_path").alias("path"), "value", parsed.alias("r"))
+    whole = F.col("r").isNotNull() & F.col("r._bad").isNull()
+    return rows.where(whole).select("path", *(F.col(f"r.{f.name}").alias(f.name) for f in RECORD)), rows.where(~whole).select("path", F.col("value").alias("text"))
 
 
 def pings(records: DataFrame) -> DataFrame:
