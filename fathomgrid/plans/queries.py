@@ -401,10 +401,13 @@ def sweep_rank(spark, sf_dir):
     return sweep.ranked(runs).withColumn("place", place.cast("long"))
 
 
-@query("""
+_EMA = """
 with recursive o as (select event_type as stream, event_id as id, value as x, row_number() over (partition by event_type order by ts, event_id) as k from events),
 f as (select stream, id, k, x as y from o where k = 1 union all select o.stream, o.id, o.k, 0.25 * o.x + 0.75 * f.y from f join o on o.stream = f.stream and o.k = f.k + 1)
-select stream, id, round(y, 6) as y from f""")
+select stream, id, round(y, 6) as y from f"""
+
+
+@query(_EMA)
 def ema_fold(spark, sf_dir):
     e = events(spark, sf_dir).select("stream", "t", "id", F.col("value").alias("x"))
     return folds.smoothed(e, scalars.BLEND["medium"]).select("stream", "id", r6("y", "y"))
@@ -459,7 +462,7 @@ def tumbling_means(spark, sf_dir):
     return folds.tumbling(e, "ts", "1 hour", "1 hour", ["stream"]).select("stream", "start", "n", r6("mean", "mean"))
 
 
-@query()
+@query(_EMA)
 def stream_fold(spark, sf_dir):
     """The fold as a stream over the table's files, run until all of them are read; its result is a table."""
     import uuid
