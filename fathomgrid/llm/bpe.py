@@ -32,7 +32,7 @@ NEVER = 1 << 30
 LONG = 1 << 20
 BLOCK = 1 << 17
 #: Words whose encodings a worker keeps.
-CACHE = 150_000
+CACHE = 100_000
 
 #: Characters for which Python's lower() and splitting equal the file's normaliser, other than blanks.
 _PLAIN = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]|<\|")
@@ -55,21 +55,25 @@ def byte_alphabet() -> list[str]:
 
 
 class Words(dict):
-    """What `make` gives for a word, kept for the words of late: on overflow the older half gives way."""
+    """What `make` gives for a word, kept for up to `size` words that came more than once and nearly as many that came once;
+    either part starts anew when it is full."""
 
     def __init__(self, make: Callable, size: int = CACHE):
-        self.make, self.size, self.old = make, size // 2, {}
+        self.make, self.size, self.once = make, size, {}
 
     def __missing__(self, word):
-        found = self.old.pop(word, None)
-        if found is None:
-            found = self.make(word)
-        if len(word) > 200:
+        found = self.once.pop(word, None)
+        if found is not None:
+            if len(self) >= self.size:
+                self.once = dict(self)
+                self.clear()
+            self[word] = found
             return found
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
+        found = self.make(word)
+        if len(word) <= 200:
+            if len(self.once) >= self.size * 4 // 5:
+                self.once.clear()
+            self.once[word] = found
         return found
 
 

@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 #: Bytes of text that the numpy kernels take at a time, so that their temporary arrays stay small.
 CHUNK = 1 << 16
 
-#: The six blank characters that separate words.
-BLANKS = " \t\n\x0b\x0c\r"
-
-TO_LOWER = {c: c + 32 for c in range(65, 91)}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,13 +90,11 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def word_list(text: str | None) -> list[str]:
-    """The words `[^\\x20\\x09-\\x0D]+` of a text, with A-Z lower-cased."""
-    if not text:
-        return []
-    text = text.lower() if text.isascii() else text.translate(TO_LOWER)
-    # str.split would also part words at \x1c-\x1f and at Unicode's blanks
-    for c in "\t\n\x0b\x0c\r":
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+def word_bytes(text: bytes | None) -> list[bytes]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text's UTF-8, with A-Z lower-cased; bytes are parted at just these blanks."""
+    return text.lower().split() if text else []
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """A string column's values as UTF-8."""
+    return column.cast(pa.binary()).to_pylist()

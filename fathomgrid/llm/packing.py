@@ -31,7 +31,7 @@ from .common import stored
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker keeps, about 200 bytes each.
-WORDS = 900_000
+WORDS = 250_000
 #: Supersteps go on with the pieces of this share of the largest length, until none of them fits a gap.
 BAND = 0.95
 

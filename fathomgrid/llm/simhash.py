@@ -9,7 +9,7 @@ members that meet at a place differ in two bits at most, so a star to the smalle
 all their pairs.
 
 `near_duplicates` serves texts whose word shingles have a Jaccard similarity of 0.8 or more: wider fingerprints, postings
-by chosen bytes, stars to a posting's first and last member, count filter, then the exact similarity of the shingle sets.
+by chosen bytes, stars to a posting's first member, count filter, then the exact similarity of the shingle sets.
 
 Defined cases: null and empty texts have no shingle and the fingerprint zero, linked like any other. A text of fewer
 words than a shingle has one shingle. A null id never names a component unless all ids are null. Equal texts have equal
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import checkpointed, stored, word_list
+from .common import checkpointed, stored, utf8, word_bytes
 from .graph import components
 
 SEED = 42
@@ -39,13 +39,12 @@ BITS = 2
 LARGE = 64
 
 
-def shingle_hashes(words: list[str], size: int) -> np.ndarray:
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """XXH64 of each run of `size` words joined by blanks, repeats included; of all words if there are fewer."""
     if not words:
         return np.zeros(0, np.uint64)
-    data = [w.encode("utf-8", "surrogatepass") for w in words]
-    whole = b" ".join(data)
-    ends = list(accumulate((len(w) + 1 for w in data)))
+    whole = b" ".join(words)
+    ends = list(accumulate((len(w) + 1 for w in words)))
     starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
     k = min(size, len(words)) - 1
@@ -71,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [int.from_bytes(majority(shingle_hashes(word_list(t.as_py()), words)), "little", signed=True) for t in batch.column(1)]
+            bits = [int.from_bytes(majority(shingle_hashes(word_bytes(t), words)), "little", signed=True) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], names=["doc_id", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits long")
@@ -119,11 +118,12 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
     lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
     found = checkpointed(named.join(lowest, "component").select("node", "lowest"))
     ids = owners.join(found, owners["bits"] == found["node"], "left").select("bits", F.coalesce("lowest", "first").alias("component_id"))
+    ids = stored(ids, "components")  # both sides of the last join are plain shuffles, so that Spark can split a hot fingerprint
     return bits.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Of `near_duplicates`: words in a shingle, 64-bit parts of a fingerprint, and the choices of bytes that make postings.
-WORDS, WIDTH, CHOICES, BYTES = 5, 4, 112, 3
+WORDS, WIDTH, CHOICES, BYTES = 5, 4, 120, 3
 #: Bytes of the fingerprint that a pair must share to be verified.
 SHARED = 4
 _POSITIONS = [sorted(random.Random(k).sample(range(8 * WIDTH), BYTES)) for k in range(CHOICES)]
@@ -135,10 +135,10 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same, bits, n = [], [], []
-            for t in batch.column(1):
-                w = word_list(t.as_py())
+            for t in utf8(batch.column(1)):
+                w = word_bytes(t)
                 hashes = np.unique(shingle_hashes(w, words))
-                same.append(xxhash.xxh3_128_digest("\n".join(w).encode("utf-8", "surrogatepass")))
+                same.append(xxhash.xxh3_128_digest(b"\n".join(w)))
                 bits.append(majority(hashes, WIDTH))
                 n.append(len(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(n, pa.int32())], names=["doc_id", "same", "bits", "n"])
@@ -147,8 +147,8 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _postings(owners: DataFrame) -> DataFrame:
-    """key, id, bits, n: a posting for each choice of bytes and each of two classes of sizes that a text may share with
-    those of similarity 0.8 or more."""
+    """key, id: a posting for each choice of bytes, with the text's class of sizes. Texts of similarity 0.8 or more differ
+    in size by a quarter at most; classes are twice as wide, and for every other choice lie half a class on."""
     positions = np.array(_POSITIONS)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,27 +157,27 @@ def _postings(owners: DataFrame) -> DataFrame:
                 part = batch.slice(a, 2000)
                 bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, 8 * WIDTH)
                 sizes = np.log(np.maximum(1, part.column("n").to_numpy())) / np.log(1.25)
-                keys = np.zeros((len(bits), 2, CHOICES), np.int64)
+                keys = np.zeros((len(bits), CHOICES), np.int64)
                 for c, at in enumerate(positions):
                     chosen = np.zeros(len(bits), np.int64)
                     for p in at:
                         chosen = (chosen << 8) | bits[:, p]
-                    for k in (0, 1):
-                        # classes twice as wide as the ratio 1.25, and the same half a class on: one of them holds both sizes
-                        keys[:, k, c] = ((np.floor((sizes + k) / 2).astype(np.int64) * 2 + k) << 40) | (c << 32) | chosen
-                rows = pa.array(np.repeat(np.arange(len(bits)), 2 * CHOICES), pa.int32())
+                    k = c % 2
+                    keys[:, c] = (((np.floor((sizes + k) / 2).astype(np.int64) * 2 + k) << 40) | (c << 32)) | chosen
+                rows = pa.array(np.repeat(np.arange(len(bits)), CHOICES), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("id").take(rows)], names=["key", "id"])
 
     return owners.select("id", "bits", "n").mapInArrow(spread, "key long, id long")
 
 
 def _candidates(owners: DataFrame) -> DataFrame:
-    """a, b: a posting's members, each with the posting's first and last by a hash of the id for that posting."""
+    """a, b: a posting's members, each with the posting's first by a hash of ids. The order is one for all postings, so
+    that members of a large group meet few partners; two members that a third parts in one posting meet in another."""
     rows = _postings(owners)
-    rank = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("id"))
-    ends = rows.groupBy("key").agg(F.min(rank)["id"].alias("first"), F.max(rank)["id"].alias("last")).where("first != last")
-    met = rows.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where("id != other")
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+    first = rows.groupBy("key").agg(F.min(rank)["id"].alias("first"), F.count("*").alias("members")).where("members > 1").select("key", "first")
+    met = rows.join(first, "key").where("id != first")
+    return met.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(word_list(t.as_py()), words)).view(np.int64) for t in batch.column(1)]
+            sets = [np.unique(shingle_hashes(word_bytes(t), words)).view(np.int64) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(hashed, "id long, shingles array<long>").dropDuplicates(["id"])
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8) ->
     labels = components(verified)
     named = owners.join(labels, owners["id"] == labels["node"], "left").select("same", F.coalesce("component", "id").alias("component_id"))
     empty = table.where("n = 0").groupBy("same").agg(F.min("doc_id").alias("component_id"))
-    return table.join(named.union(empty), "same", "left").select("doc_id", "component_id", "same")
+    return table.join(stored(named.union(empty), "components"), "same", "left").select("doc_id", "component_id", "same")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _with_digest(docs: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [xxhash.xxh3_128_digest("\n".join(word_list(t.as_py())).encode("utf-8", "surrogatepass")).hex().upper() for t in batch.column("text")]
+            same = [xxhash.xxh3_128_digest(b"\n".join(word_bytes(t))).hex().upper() for t in utf8(batch.column("text"))]
             yield batch.append_column("__same", pa.array(same, pa.string()))
 
     return docs.mapInArrow(digest, StructType([*docs.schema.fields, StructField("__same", StringType())]))
