@@ -37,7 +37,8 @@ CACHE = 100_000
 #: Characters for which Python's lower() and splitting equal the file's normaliser, other than blanks.
 _PLAIN = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]|<\|")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-_PIECES = _PIECE.findall
+#: The pieces of a lower-cased plain word.
+split = _PIECE.findall
 _SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 
 
@@ -170,7 +171,7 @@ class Codec:
 
     def word_ids(self, word: str) -> tuple[int, ...] | list[int]:
         """Of a lower-cased run of plain characters without blanks."""
-        pieces, get = _PIECES(word), self.bodies.__getitem__
+        pieces, get = split(word), self.bodies.__getitem__
         return get(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in get(p)]
 
     def plain_words(self, text: str) -> list[str] | None:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, Words, codec, default_path
+from .bpe import Codec, Words, byte_alphabet, codec, default_path, split
 from .common import stored
 
 CAPACITY = 2048
@@ -37,16 +37,26 @@ BAND = 0.95
 
 
 class _Ids:
-    """A text's ids as unsigned 32-bit little-endian bytes."""
+    """A text's ids as unsigned 32-bit little-endian bytes. New pieces go through the tokenizer library's own model."""
 
     def __init__(self, c: Codec):
         self.codec = c
+        self.letters = byte_alphabet()
+        self.tokenize = c.library.model.tokenize
+        self.pieces = Words(self.piece)
         self.words = Words(self.make, WORDS)
 
-    def make(self, word: str) -> bytes:
-        ids = self.codec.word_ids(word)
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        ids = [t.id for t in self.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def make(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.piece(word)
+        return b"".join(map(self.pieces.__getitem__, split(word)))
+
     def of(self, text: str | None) -> bytes:
         words = self.codec.plain_words(text) if text else []
         if words is None:
