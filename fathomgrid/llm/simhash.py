@@ -8,8 +8,8 @@ posting are linked exactly by another way: each member stands at its fingerprint
 members that meet at a place differ in two bits at most, so a star to the smallest of them gives the same components as
 all their pairs.
 
-`near_duplicates` serves texts whose word shingles have a Jaccard similarity of 0.8 or more: wider fingerprints, postings
-by chosen bytes, stars to a posting's first member, count filter, then the exact similarity of the shingle sets.
+`near_duplicates` links texts whose word shingles have a Jaccard similarity of 0.8 or more, and is exact as well: postings
+of the rarest shingles of each text (prefix filter), filters by size and place, then the exact similarity of the sets.
 
 Defined cases: null and empty texts have no shingle and the fingerprint zero, linked like any other. A text of fewer
 words than a shingle has one shingle. A null id never names a component unless all ids are null. Equal texts have equal
@@ -18,9 +18,9 @@ fingerprints. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import random
+import math
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -122,94 +122,169 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
     return bits.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of `near_duplicates`: words in a shingle, 64-bit parts of a fingerprint, and the choices of bytes that make postings.
-WORDS, WIDTH, CHOICES, BYTES = 5, 4, 120, 3
-#: Bytes of the fingerprint that a pair must share to be verified.
-SHARED = 4
-_POSITIONS = [sorted(random.Random(k).sample(range(8 * WIDTH), BYTES)) for k in range(CHOICES)]
+#: Of `near_duplicates`: words in a shingle, and the buckets by whose counts shingles are ordered.
+WORDS, ORDER_BUCKETS = 5, 1 << 18
 
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, same (128-bit digest of the lower-cased words), bits (wide fingerprint), n (distinct shingles)."""
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 18)).astype(np.int64)
+
+
+def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
+    """How many texts' shingles fall into each bucket. It only orders shingles, so that buckets may be shared."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros(ORDER_BUCKETS, np.int64)
+        for batch in batches:
+            found = [_bucket(np.unique(shingle_hashes(word_bytes(t), words))) for t in utf8(batch.column(0))]
+            if found:
+                tally += np.bincount(np.concatenate(found), minlength=ORDER_BUCKETS)
+        at = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(tally[at], pa.int64())})
+
+    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ORDER_BUCKETS, np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def prefix_length(n: int, least: float) -> int:
+    """Of n ordered shingles, so many of the first that a set of similarity `least` or more has one of them in its own prefix."""
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
+def _sketches(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """doc_id, same (128-bit digest of the lower-cased words), n (distinct shingles), prefix (the rarest of them)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = shared.value
         for batch in batches:
-            same, bits, n = [], [], []
+            same, n, prefix = [], [], []
             for t in utf8(batch.column(1)):
                 w = word_bytes(t)
                 hashes = np.unique(shingle_hashes(w, words))
                 same.append(xxhash.xxh3_128_digest(b"\n".join(w)))
-                bits.append(majority(hashes, WIDTH))
                 n.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(n, pa.int32())], names=["doc_id", "same", "bits", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, same binary, bits binary, n int")
-
-
-def _postings(owners: DataFrame) -> DataFrame:
-    """key, id: a posting for each choice of bytes, with the text's class of sizes. Texts of similarity 0.8 or more differ
-    in size by a quarter at most; classes are twice as wide, and for every other choice lie half a class on."""
-    positions = np.array(_POSITIONS)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, 8 * WIDTH)
-                sizes = np.log(np.maximum(1, part.column("n").to_numpy())) / np.log(1.25)
-                keys = np.zeros((len(bits), CHOICES), np.int64)
-                for c, at in enumerate(positions):
-                    chosen = np.zeros(len(bits), np.int64)
-                    for p in at:
-                        chosen = (chosen << 8) | bits[:, p]
-                    k = c % 2
-                    keys[:, c] = (((np.floor((sizes + k) / 2).astype(np.int64) * 2 + k) << 40) | (c << 32)) | chosen
-                rows = pa.array(np.repeat(np.arange(len(bits)), CHOICES), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("id").take(rows)], names=["key", "id"])
-
-    return owners.select("id", "bits", "n").mapInArrow(spread, "key long, id long")
-
-
-def _candidates(owners: DataFrame) -> DataFrame:
-    """a, b: a posting's members, each with the posting's first by a hash of ids. The order is one for all postings, so
-    that members of a large group meet few partners; two members that a third parts in one posting meet in another."""
-    rows = _postings(owners)
-    rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    first = rows.groupBy("key").agg(F.min(rank)["id"].alias("first"), F.count("*").alias("members")).where("members > 1").select("key", "first")
-    met = rows.join(first, "key").where("id != first")
-    return met.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+                order = np.argsort(frequency[_bucket(hashes)], kind="stable")[: prefix_length(len(hashes), least)] if len(hashes) else []
+                prefix.append(hashes[order].view(np.int64) if len(hashes) else hashes.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "same", "n", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, same binary, n int, prefix array<long>")
+
+
+def _reach(least: float, n, m, i, j, lesser, greater):
+    """Whether sets of n and m shingles whose first common one is at the places i and j can have similarity `least`."""
+    return (lesser(n, m) >= least * greater(n, m) - 1e-6) & ((1 + least) * lesser(n - i, m - j) >= least * (n + m) - 1e-6)
+
+
+def _met(owners: DataFrame, least: float) -> DataFrame:
+    """a, b of members that meet in a posting of up to LARGE members; key, a, place, n, with b null, of members of larger ones.
+
+    Postings come sorted, one after the other; of a large one no more than a batch is held."""
+    fields = ["key", "a", "b", "place", "n"]
+
+    def large(key: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.nulls(len(key), pa.int64()), pa.array(place, pa.int32()), pa.array(n, pa.int32())], names=fields)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        over = None  # the key of a posting already known to be large
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                held = [np.concatenate((h, c.to_numpy().astype(np.int64))) for h, c in zip(held, batch.columns, strict=True)]
+            key = held[0]
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            lengths = np.diff(np.append(starts, len(key)))
+            big = lengths > LARGE
+            if over is not None and key[0] == over:
+                big[0] = True
+            whole = np.ones(len(starts), bool)
+            whole[-1] = batch is None or bool(big[-1])  # else the last posting may go on
+            rows = np.repeat(big, lengths)
+            if rows.any():
+                yield large(*(h[rows] for h in held))
+            over = key[-1] if big[-1] else None
+            _, ids, place, n = held
+            for size in np.unique(lengths[whole & ~big & (lengths > 1)]):
+                first = starts[whole & ~big & (lengths == size)]
+                i, j = np.triu_indices(size, 1)
+                step = max(1, (1 << 18) // len(i))
+                for k in range(0, len(first), step):
+                    x = (first[k : k + step, None] + i).ravel()
+                    y = (first[k : k + step, None] + j).ravel()
+                    good = _reach(least, n[x], n[y], place[x], place[y], np.minimum, np.maximum) & (ids[x] != ids[y])
+                    a, b = ids[x[good]], ids[y[good]]
+                    none = pa.nulls(len(a), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none.cast(pa.int32()), none.cast(pa.int32())], names=fields)
+            held = [h[len(key) if whole[-1] else starts[-1] :] for h in held]
+
+    rows = owners.select("id", "n", F.posexplode("prefix").alias("place", "key")).select("key", "id", "place", "n")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long, place int, n int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, shingles (sorted distinct hashes) of the texts of the given ids."""
+    """id, shingles (sorted distinct hashes) of the rows of the given ids."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(word_bytes(t), words)).view(np.int64) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(hashed, "id long, shingles array<long>").dropDuplicates(["id"])
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(hashed, "id long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    alike = pairs.join(left, "a").join(right, "b").where(common >= least * (F.size("a_set") + F.size("b_set") - common))
+    return stored(alike.select("a", "b").distinct(), "verified")
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _similar(docs: DataFrame, owners: DataFrame, words: int, least: float) -> DataFrame:
+    """a, b: links between texts of similarity `least` or more, enough of them to have the same components as all.
+
+    Two such texts share a shingle of their prefixes, so each pair meets in a posting. Members of a large posting are
+    first compared with one of them; then only those pairs are left that no links join yet, and these are all compared.
+    """
+    met = stored(_met(owners, least), "met")
+    large = met.where("b is null").select("key", F.col("a").alias("id"), "place", "n")
+    rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+    first = large.groupBy("key").agg(F.min(rank)["id"].alias("first"))
+    stars = large.join(first, "key").where("id != first").select(*_pair(F.col("id"), F.col("first")))
+    pairs = stored(met.where("b is not null").select("a", "b").union(stars).distinct(), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # all members of large postings are among them
+    sets = stored(_sets(docs, ids, words), "sets")
+    links = _verified(pairs, sets, least)
+    if large.isEmpty():
+        return links
+    labels = components(links)
+    large = large.join(labels, large["id"] == labels["node"], "left").select("key", "id", "place", "n", F.coalesce("component", "id").alias("c"))
+    large = stored(large, "large")
+    shares = large.groupBy("key", "c").agg(F.count("*").alias("members"))
+    main = shares.groupBy("key").agg(F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    rest = large.join(main, "key").where("c != main").select("key", *(F.col(k).alias(f"x_{k}") for k in ("id", "place", "n", "c")))
+    apart = rest.join(large, "key").where((F.col("x_c") != F.col("c")) & _reach(least, F.col("x_n"), F.col("n"), F.col("x_place"), F.col("place"), F.least, F.greatest))
+    return links.union(_verified(apart.select(*_pair(F.col("x_id"), F.col("id"))).distinct(), sets, least))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8) -> DataFrame:
     """doc_id, component_id, same: texts are linked if their words are equal, or if their sets of word shingles have a Jaccard
-    similarity of `least` or more and the index finds them; component_id is the smallest doc_id that links reach.
+    similarity of `least` or more; component_id is the smallest doc_id that links reach.
 
     Rows whose doc_id is null get the component of their equals, or null.
     """
-    table = stored(_sketches(docs, words), "sketches")
-    owners = stored(table.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.min("bits").alias("bits"), F.min("n").alias("n")).where("id is not null"), "owners")
-    pairs = _candidates(owners)
-    x, y = (owners.select(F.col("id").alias(k), F.col("bits").alias(f"{k}_bits"), F.col("n").alias(f"{k}_n")) for k in "ab")
-    apart = pairs.join(x, "a").join(y, "b")
-    shared = sum((F.when(F.expr(f"substring(a_bits, {p + 1}, 1) = substring(b_bits, {p + 1}, 1)"), 1).otherwise(0) for p in range(8 * WIDTH)), F.lit(0))
-    alike = (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (shared >= SHARED)
-    pairs = stored(apart.where(alike).select("a", "b"), "candidates")
-    sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words), "sets")
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    verified = pairs.join(left, "a").join(right, "b").where(common >= least * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
-    labels = components(verified)
+    sketches = stored(_sketches(docs, words, least), "sketches")
+    table = sketches.select("doc_id", "same", "n")
+    owners = stored(table.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("id")).where("id is not null"), "owners")
+    prefixes = sketches.withColumnRenamed("doc_id", "id").join(owners, ["same", "id"]).dropDuplicates(["same", "id"])
+    labels = components(_similar(docs, prefixes, words, least))
     named = owners.join(labels, owners["id"] == labels["node"], "left").select("same", F.coalesce("component", "id").alias("component_id"))
     empty = table.where("n = 0").groupBy("same").agg(F.min("doc_id").alias("component_id"))
     return table.join(stored(named.union(empty), "components"), "same", "left").select("doc_id", "component_id", "same")

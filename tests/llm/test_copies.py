@@ -109,6 +109,22 @@ def test_near_duplicates_recall_and_precision(spark):
     assert simhash.keep_one(wide.limit(0)).count() == 0
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):  # similarities around 0.8, beside a third text that is like neither or one of them only
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        texts += [" ".join(words)] + [" ".join(edited_words(rng, words, max(1, len(words) // rng.randint(45, 60)))) for _ in range(3)]
+    base = [f"v{rng.randrange(5000)}" for _ in range(150)]
+    texts += [" ".join(edited_words(rng, base, rng.randint(2, 4))) for _ in range(160)]  # large postings
+    texts += [" ".join([*base[:120], *(f"u{rng.random()}" for _ in range(rng.randint(10, 40)))]) for _ in range(160)]
+    rng.shuffle(texts)
+    sets = [set(simhash.shingle_hashes(word_bytes(t.encode()), 5).tolist()) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (c := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - c)]
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(texts))] == components_of(len(texts), pairs)
+
+
 def walk(text):
     codes, _ = fingerprints._codes([text])
     level, at, step, out = fingerprints.level_of(len(text)), 0, 0, ""
