@@ -3,7 +3,10 @@
 A text's weight is the log-ratio of its probability under the target model (labelled good texts) and the raw model (all
 texts). Features are hashed n-grams of shapes: of six classes of characters (small and capital letters, digits, blanks,
 line ends, each mark for itself), and of neighbouring words by their lengths, where a word followed by itself is a feature
-of its own. Letters themselves stay out, as the labelled sample's mixture of languages and topics would else count as quality.
+of its own. A second pair of models has hashed words, each once for a text: those that the target lacks count against it,
+and if any do, the text's weight is the lesser of both. So that the labelled sample's mixture of languages doesn't count as
+quality, words are counted for each predicted language, and the raw counts of each are weighed by the target's share of
+it. Words whose counts may differ by chance have no weight.
 The sample holds as many texts as the weights expect to be target-like, and takes those of highest weight plus Gumbel
 noise. The noise is a hash of id and text, so a sample can be repeated. The cut is found by an exact radix search over
 counts; texts with the very same key at the cut stay together.
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, stored, strings, sums
+from . import language
+from .common import CHUNK, stored, strings, sums, text_chunks
 
 BUCKETS = 1 << 16
 SCALE = 1 << 16
@@ -33,6 +37,10 @@ MAX_LABELLED = 20_000
 MARGIN = 4.0
 #: Characters in an n-gram.
 ORDER = 6
+#: Buckets of words; standard errors that the target must lack of a bucket, and the share that it may have at most, for the
+#: bucket to have weight. With less, the many small chance differences of a large vocabulary add up in long texts.
+WORDS = 1 << 16
+ERRORS, LACKING = 5.0, 0.25
 
 
 def _shapes() -> np.ndarray:
@@ -103,6 +111,34 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, n
     return (grams, places), (pairs, np.searchsorted(rows[:-1][pair], np.arange(len(offsets)), "right"))
 
 
+def _letters() -> np.ndarray:
+    """Small letters, digits and bytes beyond ASCII as they are, capital letters as small ones, all else 0."""
+    out = np.array([b if b > 127 or chr(b).isalnum() else 0 for b in range(256)], np.uint8)
+    out[ord("A") : ord("Z") + 1] += 32
+    return out
+
+
+LETTERS = _letters()
+
+
+def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, offsets by row) of the distinct words of each row: runs of letters and digits, A-Z as small letters."""
+    x = LETTERS[data]
+    edge = np.zeros(len(x) + 1, bool)
+    edge[offsets] = True
+    inside = x > 0
+    starts = np.flatnonzero(inside & (~np.concatenate(([False], inside))[:-1] | edge[:-1]))
+    ends = np.flatnonzero(inside & (~np.concatenate((inside, [False]))[1:] | edge[1:])) + 1
+    if len(x) > len(_CACHE[0]):
+        _CACHE[:] = _powers(len(x) + 1)
+    up, down = _CACHE
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x.astype(np.uint64) * up[: len(x)])))
+    mixed = ((total[ends] - total[starts]) * down[starts] * _MIX) >> np.uint64(64 - 16)
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    found = np.unique((rows << 16) | mixed.astype(np.int64))
+    return (found & (WORDS - 1)).astype(np.int32), np.searchsorted(found, np.arange(len(offsets)) << 16)
+
+
 _CACHE: list[np.ndarray] = list(_powers(CHUNK + 1))
 
 
@@ -115,22 +151,29 @@ def _chunks(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = end
 
 
-def feature_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all texts: partial counts by task, summed by Spark; BUCKETS numbers come back."""
+def feature_counts(docs: DataFrame, model: language.Model) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket of shapes, and of words by predicted language, occurs in all texts: partial counts by task,
+    summed by Spark; BUCKETS numbers and WORDS for each language come back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = BUCKETS + WORDS * max(1, len(model.langs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros(BUCKETS, np.int64)
+        m = shared.value
+        tally = np.zeros(size, np.int64)
         for batch in batches:
-            for _, _, data, offsets in _chunks(batch.column(0)):
+            for (_, _, data, offsets), (_, _, at, points) in zip(_chunks(batch.column(0)), text_chunks(batch.column(0)), strict=True):
                 for found, _ in features(data, offsets):
-                    tally += np.bincount(found, minlength=BUCKETS)
+                    tally[:BUCKETS] += np.bincount(found, minlength=BUCKETS)
+                words, places = word_buckets(data, offsets)
+                spoken = language.totals(m, points, at).argmax(1) if m.langs else np.zeros(len(at) - 1, np.int64)
+                np.add.at(tally, BUCKETS + np.repeat(spoken, np.diff(places)) * WORDS + words, 1)
         at = np.flatnonzero(tally)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(tally[at], pa.int64())})
 
     rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(size, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    return out[:BUCKETS], out[BUCKETS:].reshape(-1, WORDS)
 
 
 def labelled_good(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
@@ -156,6 +199,27 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, evidence: float = 4.0) -> np
     return out
 
 
+def word_ratios(target: np.ndarray, raw: np.ndarray, evidence: float = 0.5) -> np.ndarray:
+    """Fixed-point log-ratios, 0 at most, of words from counts by language and bucket. What the target would have is the sum
+    of each language's raw counts at the target's share of that language."""
+    out = np.zeros(WORDS, np.int64)
+    if not target.sum():
+        return out
+    expected = (raw * (target.sum(1) / np.maximum(1, raw.sum(1)))[:, None]).sum(0)
+    found = target.sum(0)
+    sure = (expected - found >= ERRORS * np.sqrt(expected + 1)) & (found <= LACKING * expected)
+    out[sure] = np.round(np.log((found + evidence) / (expected + evidence)) * SCALE)[sure]
+    return np.minimum(out, 0)
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Fixed-point log-ratios by bucket: of shapes, then of words."""
+    model = language.train(docs) if "lang" in docs.columns else language.Model([], np.zeros((language.BUCKETS, 0), np.int64))
+    target, target_words = feature_counts(labelled_good(docs, labels), model)
+    raw, raw_words = feature_counts(docs, model)
+    return np.concatenate((log_ratios(target, raw), word_ratios(target_words, raw_words)))
+
+
 def weighed(docs: DataFrame, ratios: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns `keep`, and log_weight (nats) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -169,6 +233,9 @@ def weighed(docs: DataFrame, ratios: np.ndarray, keep: list[str]) -> DataFrame:
             for row, end, data, offsets in _chunks(batch.column(batch.num_columns - 1)):
                 for found, at in features(data, offsets):
                     out[row:end] += sums(table[found], at)
+                found, at = word_buckets(data, offsets)
+                against = sums(table[BUCKETS + found], at)
+                out[row:end] = np.where(against < 0, np.minimum(out[row:end], against), out[row:end])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out / SCALE, pa.float64())], names=[*batch.schema.names[:-1], "log_weight"])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(weigh, f"{schema}log_weight double")
@@ -219,7 +286,7 @@ def _draw() -> Column:
 
 def classified(docs: DataFrame, labels: DataFrame, keep: list[str], margin: float = MARGIN) -> DataFrame:
     """The columns `keep`, log_weight, noisy_weight, kept for each row of docs."""
-    ratios = log_ratios(feature_counts(labelled_good(docs, labels)), feature_counts(docs))
+    ratios = fitted(docs, labels)
     rows = docs.select(*keep, _draw().alias("draw"), "text")
     weights = stored(weighed(rows, ratios, [*keep, "draw"]), "weights")
     return resampled(weights, margin).drop("draw")
@@ -232,7 +299,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are sampled, with all their columns. Only weights are kept between the passes over texts."""
-    ratios = log_ratios(feature_counts(labelled_good(docs, labels)), feature_counts(docs))
+    ratios = fitted(docs, labels)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _draw().alias("draw"), "text")
     weights = weighed(rows, ratios, ["row", "draw"])
     low, size = cut(stored(weights.select("log_weight", "draw"), "weights"))

@@ -113,6 +113,23 @@ def test_quality_separates_labels(spark):
     assert bad.where("kept").count() <= 0.1 * bad.count()
 
 
+def test_quality_catches_toxic_words(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = quality_classifier.classify(docs, labels).join(labels, "doc_id").where("quality = 1")
+    clean, toxic = (out.where(f"toxic = {k}") for k in (0, 1))
+    assert toxic.where("not kept").count() >= 0.6 * toxic.count()
+    assert clean.where("kept").count() >= 0.99 * clean.count()
+
+
+def test_quality_words_leave_the_mixture_of_languages_out():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 400, (2, quality_classifier.WORDS))
+    target = np.stack([raw[0] // 2, raw[1] // 20])  # one language ten times rarer in the target
+    raw[1, 7], target[:, 7] = 400, 0
+    ratios = quality_classifier.word_ratios(target, raw)
+    assert ratios[7] < 0 and (ratios < 0).mean() < 0.001
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (5, None, None), (7, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(odd, labels).count() == odd.count()
