@@ -5,7 +5,9 @@ log-probabilities (buckets x languages) has a fixed number of buckets and is bro
 integers, so that a text's score doesn't depend on what else is in its batch.
 
 Defined cases: a null or empty text, or one without a letter, is `und` with score 0. Rows whose label is null teach
-nothing. With no labelled row at all every text is `und`. Equal texts get equal results. Columns besides the named
+nothing. With no labelled row at all every text is `und`. `keep_known` also takes a text for unknown that is less likely
+in its best language than that language's own n-grams are by FLOOR nats a gram. Texts under SHORT characters are too short
+for that, and keep their best language. Equal texts get equal results. Columns besides the named
 ones are ignored by `predict` and carried by `keep_known`.
 """
 
@@ -24,6 +26,8 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SCALE = 1 << 16
 UNKNOWN = "und"
+#: Nats for each n-gram that a text may fall short of its language's expected log-likelihood, and characters to be judged by it.
+FLOOR, SHORT = 1.3, 30
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -75,6 +79,8 @@ class Model:
         logs = np.round(np.log(smooth / smooth.sum(0)) * SCALE).astype(np.int32)
         #: By language and bucket; the last bucket, of n-grams that leave their row, weighs nothing.
         self.weights = np.pad(logs.T, ((0, 0), (0, 1)))
+        #: The expected weight of an n-gram of each language.
+        self.expected = (smooth / smooth.sum(0) * logs).sum(0)
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS) -> Model:
@@ -113,6 +119,16 @@ def scored(texts: list[str | None], totals: np.ndarray, langs: list[str]) -> tup
     return names, scores
 
 
+def foreign(model: Model, totals: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row is too unlikely, even in its best language, to be in a language of the model."""
+    size = np.diff(offsets)
+    if not model.langs:
+        return np.ones(len(size), bool)
+    grams = sum(np.maximum(size - n + 1, 0) for n in ORDERS)
+    floor = (model.expected - FLOOR * SCALE)[totals.argmax(1)]
+    return (size >= SHORT) & (totals.max(1) < floor * grams)
+
+
 def predict(docs: DataFrame, model: Model, keep: list[Column | str]) -> DataFrame:
     """The columns `keep`, then lang_pred and score (the posterior under equal priors) for each row of docs."""
     spark = docs.sparkSession
@@ -141,7 +157,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:
-    """The rows of docs whose predicted language is known and, if given, one of `languages`. All columns stay."""
+    """The rows of docs whose predicted language is known, likely enough and, if given, one of `languages`. All columns stay."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs.where(~in_fold(F.col("doc_id"), 4, 2))))
     wanted = set(languages) if languages else None
@@ -151,8 +167,9 @@ def keep_known(docs: DataFrame, languages: list[str] | None = None) -> DataFrame
         for batch in batches:
             texts, mask = batch.column("text"), []
             for row, end, at, points in text_chunks(texts):
-                names, _ = scored(texts.slice(row, end - row).to_pylist(), totals(m, points, at), m.langs)
-                mask += [x != UNKNOWN and (wanted is None or x in wanted) for x in names]
+                found = totals(m, points, at)
+                names, _ = scored(texts.slice(row, end - row).to_pylist(), found, m.langs)
+                mask += [x != UNKNOWN and not f and (wanted is None or x in wanted) for x, f in zip(names, foreign(m, found, at).tolist(), strict=True)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -77,6 +77,18 @@ def test_keep_known_keeps_columns(spark, odd):
     assert kept.where("text = 'the end'").count() == 3
 
 
+def test_keep_known_drops_unlearnt_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
+    clean = docs.join(labels, "doc_id")
+    kept = language.keep_known(docs).join(labels, "doc_id")
+    for lang in ("en", "de", "fr", "es"):
+        assert kept.where(f"lang = '{lang}'").count() >= 0.98 * clean.where(f"lang = '{lang}'").count()
+    some = docs.selectExpr("doc_id", "text", "case when lang != 'de' then lang end as lang", "lang as spoken").where("length(text) >= 100")
+    foreign = some.where("spoken = 'de'")
+    assert language.keep_known(some).where("spoken = 'de'").count() <= 0.1 * foreign.count()
+
+
 def test_quality_features_match_brute_force():
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("ab é\n"), size=n)) for n in rng.integers(0, 40, 200)] + ["dog dog dog", "", "a"]
