@@ -33,11 +33,11 @@ from .common import in_fold, stored, utf8, word_bytes
 #: Stands for the end of a text; a blank, so that no word equals it.
 END = b" "
 #: Classes: the end, single tokens, endings; the last class is of all other tokens.
-SINGLE, ENDINGS = 55, 103
+SINGLE, ENDINGS = 95, 159
 CLASSES = 1 + SINGLE + ENDINGS + 1
-SIZE = 16
+SIZE = 20
 CONTEXT = 6
-NOISE = 16
+NOISE = 24
 BATCH = 512
 ROUNDS = 3
 RATE = 0.12
@@ -92,13 +92,21 @@ class Classes:
         return self.ending.get(ending_of(token), CLASSES - 1) if found is None else found
 
 
-def classes_of(head: dict[bytes, int]) -> Classes:
-    """The most frequent tokens, and the most frequent endings of the head's other tokens."""
-    order = sorted((t for t in head if t != END), key=lambda t: (-head[t], t))
-    endings: Counter = Counter()
-    for t in order[SINGLE:]:
-        endings[ending_of(t)] += head[t]
-    return Classes(order[:SINGLE], [e for e, _ in sorted(endings.items(), key=lambda x: (-x[1], x[0]))[:ENDINGS]])
+def classes_of(counts: DataFrame, head: dict[bytes, int]) -> Classes:
+    """The most frequent tokens, and the most frequent endings of all other tokens of counts."""
+    singles = sorted((t for t in head if t != END), key=lambda t: (-head[t], t))[:SINGLE]
+    apart = {END, *singles}
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for t, n in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if t not in apart:
+                    found[ending_of(t)] += n
+        yield pa.RecordBatch.from_pydict({"ending": pa.array(found.keys(), pa.binary()), "n": pa.array(found.values(), pa.int64())})
+
+    rows = counts.select("token", "n").mapInArrow(tally, "ending binary, n long").groupBy("ending").agg(F.sum("n").alias("n"))
+    return Classes(singles, [bytes(r["ending"]) for r in rows.orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()])
 
 
 def class_counts(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +291,7 @@ def scored(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens_n, tokens_v = total["n"], total["v"]
     head = head_of(counts)
-    classes = classes_of(head)
+    classes = classes_of(counts, head)
     n, v = class_counts(counts, classes)
     shares = (n + 0.5) / (n.sum() + 0.5 * CLASSES)
     model = train(training, classes, shares)

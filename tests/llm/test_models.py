@@ -167,6 +167,14 @@ def test_language_model_base_and_normalisation(spark):
     assert sum(r["score"] for r in test) > sum(r["base_score"] for r in test)
 
 
+def test_language_model_classes_count_all_endings(spark):
+    tokens = [(f"word{k}aa", 1000) for k in range(lm.SINGLE)] + [(f"w{k}bb", 20) for k in range(5)] + [(f"t{k}zz", 1) for k in range(2000)]
+    head = {t.encode(): n for t, n in tokens if n >= 20}
+    endings = lm.classes_of(spark.createDataFrame([*tokens, (" ", 9)], "token string, n long"), head).ending
+    assert sorted(endings, key=endings.get) == [b"zz", b"bb"]
+    assert (lm.SINGLE, lm.ENDINGS, lm.SIZE, lm.NOISE) == (95, 159, 20, 24)
+
+
 def test_language_model_probabilities_sum_to_one():
     model = lm.Model(np.full(lm.CLASSES, 1 / lm.CLASSES))
     run = np.array([lm.CLASSES] * lm.CONTEXT + [3, 9, 0], np.int16)
