@@ -223,3 +223,22 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == n
     assert len(corpus_pipeline.STAGES) == 4
+
+
+def test_url_templates_reject_pages_that_no_production_rule_decides(spark):
+    rows = [(i, f"http://a.shop.example.com/en/{100 + i}") for i in range(40)]  # blocked by com/en/
+    rows += [(100 + i, f"http://a.shop.example.com/{x}/{i}") for i, x in enumerate(["fr", "de", "es"])]  # few labels: the host's purity
+    rows += [(200 + i, f"http://fine.example.org/fr/{i}") for i in range(40)]  # no label on the host
+    rows += [(300 + i, f"http://big.example.org/{'es' if i < 8 else 'fr'}/{i}") for i in range(300)]  # labels cover a corner only
+    out = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [out[100 + i]["verdict"] for i in range(3)] == ["block"] * 3 and all(out[100 + i]["rule"] is None for i in range(3))
+    assert all(out[200 + i]["verdict"] == "allow" for i in range(40))
+    assert all(out[300 + i]["verdict"] == ("block" if i < 8 else "allow") for i in range(300))
+
+
+def test_url_paths_of_any_length(spark):
+    deep = "http://a.net/" + "x/" * 5_000 + "y"
+    rows = [(1, deep), (2, deep), (3, "http://a.net/" + "z" * 200_000), (None, deep)]
+    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == 4 and {r["verdict"] for r in out} == {"allow"}
+    assert len({r["branch"] for r in out}) == 2
