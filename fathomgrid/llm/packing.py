@@ -1,28 +1,31 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, in bulk-synchronous supersteps.
 
-Documents are tokenised and cut into pieces; only those over the capacity are cut. Sorted order is kept as runs of equal
-size, since a size is a whole number up to the capacity: Spark counts the pieces of each size and ranks each piece among
-its equals (local rank plus the ranks that earlier tasks hold), which is a distributed range sort without moving texts.
-In a superstep one sweep from large to small finds for each run of pieces the smallest gap that holds it (its successor
-among the gaps); where more pieces want gaps than there are, ranks decide, the rest waits for the next superstep; then
-all gaps shrink at once. When no piece fits any gap, as many sequences open as the rest needs at least, for its largest
-pieces. The sweeps see runs, of which there are a bounded number, whatever the input: at most a few for each size.
-The placement of runs is broadcast, and each piece finds its sequence and place by its size and rank.
-
-Defined cases: a null or empty text is a document of no tokens but the separator. Repeated rows and ids are packed one by
-one. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+Documents are tokenised and cut into pieces; only those over the capacity are cut. In a superstep Spark sorts the open
+pieces and the gaps of all sequences by size, from large to small, into ranges. Each task sweeps over its range: a piece
+takes the smallest gap passed so far that is still free, its successor among the gaps. What a range leaves over, pieces
+without a gap and gaps without a piece, is carried down to the ranges of smaller sizes: the tasks' counts of both settle
+which ranks of pieces meet which ranks of gaps, and a join by rank matches them. A gap takes one piece in a superstep; then
+all gaps shrink at once, and what found no gap waits for the next superstep. When few pieces found a gap, as many sequences
+open as the rest needs at least, for its largest pieces. Pieces of a quarter of the capacity and more go first, the others
+then fill what these leave. Every superstep's outcome is a stored table; the driver sees counts by task only.
+
+Defined cases: a null or empty text is a document of no tokens but the separator. A text of any length is cut and packed
+whole. Pieces of equal length are ordered by number. Repeated rows and ids are packed one by one. An empty table gives an
+empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec, Words, byte_alphabet, codec, default_path, split
@@ -32,8 +35,10 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker keeps, about 200 bytes each.
 WORDS = 250_000
-#: Supersteps go on with the pieces of this share of the largest length, until none of them fits a gap.
-BAND = 0.95
+#: Pieces from this share of the capacity on go first.
+FIRST = 0.25
+#: Supersteps go on with the same sequences while this share of the open pieces finds a gap.
+BUSY = 0.1
 
 
 class _Ids:
@@ -68,16 +73,16 @@ _KNOWN: dict[str, _Ids] = {}
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids), and the piece's task and its rank among equal lengths there."""
+    """doc_id, piece, start, length, ids_crc32 (and ids), and a number for each piece."""
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([SEPARATOR], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _KNOWN.setdefault(path, _Ids(codec(path)))
-        task, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
+            row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 data = memoryview(ids_of.of(text.as_py()) + end)
                 n = len(data) >> 2
@@ -89,125 +94,158 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                     start.append(a)
                     length.append(size)
                     crc.append(zlib.crc32(part))
-                    rank.append(ranks[size])
-                    ranks[size] += 1
                     if with_ids:
                         ids.append(np.frombuffer(part, "<i4"))
-            columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
+            columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(number, number + len(row)))]
+            number += len(row)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "number"]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names + ["ids"] * with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids array<int>" * with_ids)
-
-
-def placements(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
-    """(length, first rank, first sequence, offset) of runs of pieces: the next rank goes to the next sequence.
-
-    counts: pieces by length. A run ends where the next run of its length begins.
-    """
-    left = {size: n for size, n in sorted(counts.items(), reverse=True) if n}
-    placed = dict.fromkeys(left, 0)
-    gaps: dict[int, list[list[int]]] = {}  # by size: [first sequence, how many]
-    out, sequences = [], 0
-
-    def put(size: int, first: int, n: int, gap: int, into: dict[int, list[list[int]]]) -> None:
-        out.append((size, placed[size], first, capacity - gap))
-        placed[size] += n
-        left[size] -= n
-        if gap > size:
-            into.setdefault(gap - size, []).append([first, n])
-
-    def update(changed: dict[int, list[list[int]]]) -> None:
-        for gap, runs in changed.items():
-            gaps.setdefault(gap, []).extend(runs)
-        for gap, runs in list(gaps.items()):
-            gaps[gap] = _merged(runs)
-            if not gaps[gap]:
-                del gaps[gap]
-        for size in [size for size, n in left.items() if not n]:
-            del left[size]
-
-    def superstep(least: float) -> bool:
-        """Whether a piece of at least that length was placed. Each gap takes one piece at most."""
-        changed: dict[int, list[list[int]]] = {}
-        before = len(out)
-        order = sorted(gaps, reverse=True)
-        stack: list[tuple[int, list[int]]] = []  # gaps from large to small: the top is the successor of the next size
-        k = 0
-        for size in left:
-            if size < least:
-                break
-            while k < len(order) and order[k] >= size:
-                stack += [(order[k], run) for run in reversed(gaps[order[k]])]
-                k += 1
-            while left[size] and stack:
-                gap, run = stack[-1]
-                n = min(left[size], run[1])
-                put(size, run[0], n, gap, changed)
-                run[0] += n
-                run[1] -= n
-                if not run[1]:
-                    stack.pop()
-        update(changed)
-        return len(out) > before
-
-    while left:
-        # first all lengths near the largest, as small pieces fit in later
-        least = max(left) * BAND
-        while superstep(least):
-            pass
-        rest = {size: n for size, n in left.items() if size >= least}
-        # open as many sequences as these fill at least, for the largest of them
-        need = -(-sum(size * n for size, n in rest.items()) // capacity)
-        fresh: dict[int, list[list[int]]] = {}
-        for size in rest:
-            n = min(left[size], need)
-            if n:
-                put(size, sequences, n, capacity, fresh)
-            sequences, need = sequences + n, need - n
-        update(fresh)
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, number long" + ", ids array<int>" * with_ids)
+
+
+#: Kinds of rows that a sweep gives out: a gap and a piece left over, a match, and a task's counts.
+GAP, PIECE, MATCH, COUNTS = range(4)
+_SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long"
+
+
+def matches(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of matched gaps and pieces in a run from large to small sizes: like brackets, each piece takes the last gap
+    before it that is free."""
+    depth = np.cumsum(np.where(is_gap, 1, -1))
+    level = np.where(is_gap, depth, depth + 1)
+    order = np.argsort(level, kind="stable")
+    a, b = order[:-1], order[1:]
+    met = (level[a] == level[b]) & is_gap[a] & ~is_gap[b]
+    return a[met], b[met]
+
+
+def swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The outcome of each range's sweep over pieces (number, size) and gaps (sequence, gap), as rows of _SWEPT.
+
+    `place` is a left-over piece's rank in its range from the largest on, a left-over gap's from the smallest on. A task
+    holds a range, of which Spark sets the size, as three numbers a row."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        columns = [np.concatenate(c) for c in zip(*([x.to_numpy() for x in b.columns] for b in batches), strict=True)]
+        if not columns:
+            return
+        size, kind, number = columns
+        is_gap = kind == GAP
+        a, b = matches(is_gap)
+        free, open_ = is_gap.copy(), ~is_gap
+        free[a] = open_[b] = False
+        free, open_ = np.flatnonzero(free), np.flatnonzero(open_)
+
+        def rows(kind: int, n: int, number, size, sequence, gap, place) -> pa.RecordBatch:
+            fill = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, kind), pa.int32()), fill(number, pa.int64()), fill(size, pa.int32()), fill(sequence, pa.int64()), fill(gap, pa.int32()), pa.array(np.full(n, part), pa.int32()), fill(place, pa.int64())],
+                names=["kind", "number", "size", "sequence", "gap", "part", "place"],
+            )
+
+        yield rows(MATCH, len(a), number[b], size[b], number[a], size[a], None)
+        yield rows(PIECE, len(open_), number[open_], size[open_], None, None, np.arange(len(open_)))
+        yield rows(GAP, len(free), None, None, number[free], size[free], np.arange(len(free))[::-1].copy())
+        yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)])
+
+    items = pieces.select(F.col("size").alias("size"), F.lit(PIECE).alias("kind"), "number").union(gaps.select("gap", F.lit(GAP), "sequence"))
+    order = [F.desc("size"), F.col("kind"), F.col("number")]
+    return items.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, _SWEPT)
+
+
+def carried(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Which left-over pieces meet which left-over gaps of larger ranges, from counts (part, pieces, gaps) in the order of
+    ranges: (part of the pieces, their first place, part of the gaps, their first place, how many)."""
+    out, stack = [], []
+    for part, pieces, gaps in counts:
+        at = 0
+        while at < pieces and stack:
+            other, first, n = stack.pop()
+            k = min(n, pieces - at)
+            out.append((part, at, other, first, k))
+            at += k
+            if n > k:
+                stack.append((other, first + k, n - k))
+        if gaps:
+            stack.append((part, 0, gaps))
     return out
 
 
-def _merged(runs: list[list[int]]) -> list[list[int]]:
-    """Runs of neighbouring sequences as one; none that are empty."""
-    out: list[list[int]] = []
-    for first, n in sorted(r for r in runs if r[1]):
-        if out and out[-1][0] + out[-1][1] == first:
-            out[-1][1] += n
-        else:
-            out.append([first, n])
-    return out
+def _met(step: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """number, size, sequence, gap of the matches that are carried over borders of ranges; `runs` are of the order of the
+    number of tasks."""
+    spark = step.sparkSession
+    table = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(runs)], "run int, of long, piece_from long, gap_of long, gap_from long, n long"))
+
+    def ranked(kind: int, of: str, first: str, *columns: str) -> DataFrame:
+        rank = F.col("place") - F.col(first)
+        return step.where(F.col("kind") == kind).join(table, (F.col("part") == F.col(of)) & rank.between(0, F.col("n") - 1)).select("run", rank.alias("rank"), *columns)
+
+    return ranked(PIECE, "of", "piece_from", "number", "size").join(ranked(GAP, "gap_of", "gap_from", "sequence", "gap"), ["run", "rank"]).select("number", "size", "sequence", "gap")
+
+
+def _by_part(values: dict[int, int]) -> Column:
+    """A number for each row by its part, 0 for parts without one."""
+    known = {k: v for k, v in values.items() if v}
+    if not known:
+        return F.lit(0)
+    table = F.create_map(*(F.lit(x) for k, v in known.items() for x in (k, v)))
+    return F.coalesce(F.element_at(table, F.col("part")), F.lit(0))
+
+
+def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """number, sequence_id, offset of each piece of a stored table (number, size). A sequence has its first piece's number."""
+    spark = sizes.sparkSession
+    none = spark.createDataFrame([], "sequence long, gap int")
+    out: list[DataFrame] = []
+    gaps, small = none, []
+    pieces = sizes.limit(0)
+    for least in (math.ceil(capacity * FIRST), 0):
+        last = least == 0
+        pieces = pieces.union(sizes.where(F.col("size") < math.ceil(capacity * FIRST)) if last else sizes.where(F.col("size") >= least))
+        for x in small if last else []:
+            gaps = gaps.union(x)
+        while True:
+            step = stored(swept(pieces, gaps), "sweep")
+            counts = sorted((r["part"], r["number"], r["sequence"], r["place"]) for r in step.where(F.col("kind") == COUNTS).collect())
+            runs = carried([c[:3] for c in counts])
+            met = stored(_met(step, runs), "carried") if runs else None
+            n_pieces = sum(c[1] + c[3] for c in counts)
+            n_met = sum(c[3] for c in counts) + sum(r[4] for r in runs)
+            gone, used = Counter(), Counter()
+            for part, _, other, _, n in runs:
+                gone[part] += n
+                used[other] += n
+            opened: Counter = Counter()
+            rest = step.where((F.col("kind") == PIECE) & (F.col("place") >= _by_part(gone)))
+            if n_met < n_pieces and n_met < BUSY * n_pieces and (last or not n_met):
+                need = -(-rest.agg(F.sum("size")).first()[0] // capacity)
+                for part, n, _, _ in counts:
+                    opened[part] = min(need, n - gone[part])
+                    need -= opened[part]
+            fresh = rest.where(F.col("place") < _by_part(gone + opened)).select("number", "size", F.col("number").alias("sequence"), F.lit(capacity).alias("gap"))
+            new = [step.where(F.col("kind") == MATCH).select("number", "size", "sequence", "gap"), *([met] if met is not None else []), *([fresh] if +opened else [])]
+            left = step.where((F.col("kind") == GAP) & (F.col("place") >= _by_part(used))).select("sequence", "gap")
+            for x in new:
+                out.append(x)
+                left = left.union(x.select("sequence", (F.col("gap") - F.col("size")).alias("gap")).where("gap > 0"))
+            pieces, gaps = rest.where(F.col("place") >= _by_part(gone + opened)).select("number", "size"), left.where(F.col("gap") >= least)
+            if not last:
+                small.append(left.where(F.col("gap") < least))
+            if n_met + sum(opened.values()) == n_pieces or not last and n_met < BUSY * n_pieces and not +opened:
+                break
+    result = sizes.limit(0).select("number", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    for x in out:
+        result = result.union(x.select("number", F.col("sequence").alias("sequence_id"), (capacity - F.col("gap")).cast("long").alias("offset")))
+    return result
 
 
 def packed(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of a stored table of pieces with sequence_id and offset instead of task and rank."""
-    spark = table.sparkSession
-    # one row for each task and length: how many pieces of that length the earlier tasks hold
-    held = table.groupBy("task", "length").agg(F.count("*").alias("n"))
-    before = held.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")
-    counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan: dict[int, list[np.ndarray]] = {}
-    for size, *run in sorted(placements(counts, capacity)):
-        plan.setdefault(size, []).append(run)
-    shared = spark.sparkContext.broadcast({size: np.array(runs, np.int64).T for size, runs in plan.items()})
-    names = [c for c in table.columns if c not in ("task", "rank")]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = batch.column("length").to_numpy()
-            ranks = batch.column("rank").to_numpy() + batch.column("base").to_numpy()
-            sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-            for size in np.unique(lengths):
-                at = np.flatnonzero(lengths == size)
-                first, start, place = shared.value[int(size)]
-                run = np.searchsorted(first, ranks[at], "right") - 1
-                sequence[at] = start[run] + ranks[at] - first[run]
-                offset[at] = place[run]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name in names)
-    return table.join(before, ["task", "length"]).mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    """The rows of a stored table of pieces with sequence_id and offset instead of number."""
+    places = placed(table.select("number", F.col("length").cast("int").alias("size")), capacity)
+    return table.join(places, "number").drop("number")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -91,25 +91,71 @@ def test_ties_take_the_first_candidate():
     assert c.best("▁ab") == (-3.0, 1)  # the longest match comes first, equal sums don't replace it
 
 
-def test_placements_fill_no_sequence_over():
+def plain_sweep(is_gap):
+    """Pairs of a gap and a piece, by a stack."""
+    stack, out = [], []
+    for i, g in enumerate(is_gap):
+        if g:
+            stack.append(i)
+        elif stack:
+            out.append((stack.pop(), i))
+    return sorted(out)
+
+
+def test_sweeps_over_ranges_with_carried_borders_equal_one_sweep():
     rng = random.Random(8)
     for _ in range(300):
-        cap = rng.choice([5, 16, 64])
-        counts = {rng.randint(1, cap): rng.randint(1, 30) for _ in range(rng.randint(0, 12))}
-        runs: dict = {}
-        for size, *run in sorted(packing.placements(counts, cap)):
-            runs.setdefault(size, []).append(run)
-        seqs: dict = {}
-        for size, n in counts.items():
-            for rank in range(n):
-                first, start, offset = [r for r in runs[size] if r[0] <= rank][-1]
-                seqs.setdefault(start + rank - first, []).append((offset, size))
-        for pieces in seqs.values():
-            at = 0
-            for offset, size in sorted(pieces):
-                assert offset == at
-                at += size
-            assert at <= cap
+        is_gap = np.array([rng.random() < rng.choice([0.3, 0.5, 0.7]) for _ in range(rng.randint(1, 60))])
+        a, b = packing.matches(is_gap)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == plain_sweep(is_gap)
+        cuts = sorted({0, len(is_gap), *(rng.randint(0, len(is_gap)) for _ in range(4))})
+        found, left, counts = [], {}, []
+        for part, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            a, b = packing.matches(is_gap[x:y])
+            found += zip((a + x).tolist(), (b + x).tolist(), strict=True)
+            rest = [i for i in range(x, y) if i - x not in {*a.tolist(), *b.tolist()}]
+            left[part] = [i for i in rest if not is_gap[i]], [i for i in rest if is_gap[i]][::-1]
+            counts.append((part, *map(len, left[part])))
+        for of, at, other, first, n in packing.carried(counts):
+            found += [(left[other][1][first + k], left[of][0][at + k]) for k in range(n)]
+        assert sorted(found) == plain_sweep(is_gap)
+
+
+def best_fit_decreasing(sizes, cap):
+    import bisect
+
+    gaps = []
+    n = 0
+    for size in sorted(sizes, reverse=True):
+        i = bisect.bisect_left(gaps, size)
+        if i == len(gaps):
+            n, gap = n + 1, cap
+        else:
+            gap = gaps.pop(i)
+        if gap > size:
+            bisect.insort(gaps, gap - size)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["uniform", "large", "small", "equal"])
+def test_placed_fills_no_sequence_over_and_nearly_as_few_as_best_fit(spark, kind):
+    rng, cap = random.Random(9), 512
+    draw = {"uniform": lambda: rng.randint(1, cap), "large": lambda: rng.randint(150, 280), "small": lambda: rng.choice([1, 2, 3, 5, 40, 300]), "equal": lambda: 171}[kind]
+    sizes = [draw() for _ in range(700)]
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/sizes-{kind}"
+    spark.createDataFrame(list(enumerate(sizes)), "number long, size int").write.mode("overwrite").parquet(path)
+    out = packing.placed(spark.read.parquet(path), cap).collect()
+    assert sorted(r["number"] for r in out) == list(range(700))
+    seqs: dict = {}
+    for r in out:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], sizes[r["number"]]))
+    for pieces in seqs.values():
+        at = 0
+        for offset, size in sorted(pieces):
+            assert offset == at
+            at += size
+        assert at <= cap
+    assert len(seqs) <= 1.05 * best_fit_decreasing(sizes, cap) + 1
 
 
 def test_pack(spark, library):
