@@ -1,19 +1,26 @@
-"""Language-model scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
-
-The neural model predicts classes of tokens: the most frequent tokens and the end are classes of their own, others share a
-class by their last two characters. A token's probability is its class's, given the classes before it, times its
-smoothed share of the class, from counts over the whole corpus; so all probabilities of a place sum to one. The model is
-log-bilinear: the vectors of the CONTEXT classes before, weighted by place, add up to a predicted vector, whose products
-with all class vectors give scores; a matrix product and a softmax normalise them for a batch of places.
-
-Counts are grouped sums by Spark. Training is data-parallel: in each round every task goes over its share of the texts,
-and Spark averages the tasks' parameters, weighted by tokens; each text is learnt from in one round, so that all
-are. What comes to the driver is a parameter table of fixed size, the classes, and a HEAD of frequent tokens' counts of
-bounded size; the counts of other tokens are joined to the texts that hold them.
-
-Defined cases: a null or empty text is the end token alone. Repeated rows are scored alike and learnt from each. A null id
-is learnt from. With nothing to learn from, all counts are zero and the model is uniform over its classes. Other columns
-are ignored.
+"""Language-model scoring: a log-bilinear neural model of tokens, trained in numpy with noise-contrastive estimation.
+
+The vocabulary is the most frequent tokens. To normalise it exactly at a bounded price it is parted into classes: the most
+frequent tokens and the end are classes of their own, the others are grouped by their endings. The vectors of the CONTEXT
+tokens before, weighted by place, add up to a predicted vector. Its products with all class vectors give the class's
+probability, those with the vectors of the class's tokens the token's: matrix products and two softmaxes for a batch of
+places. Tokens outside of the vocabulary have classes by their last two characters, beside the others in the first softmax;
+such a token's probability is its class's times its smoothed share of the class's counts. So all probabilities of a place
+sum to one.
+
+Counts are grouped sums by Spark. Texts are split into numbered tokens once, and the table of numbers is stored. Training
+is data-parallel: in each round every task goes over its share of the texts, and Spark averages the tasks' parameters, each
+row by how often the task has touched it; each text is learnt from in one round, so that all are. What comes to the driver
+is a parameter table of fixed size, and a HEAD of frequent tokens' counts of bounded size; the counts of other tokens are
+joined to the texts that hold them.
+
+A probability doesn't depend on what else is in a batch: products are of fixed shapes, everything else goes row by row,
+and the logarithms are added as integers; so equal texts have equal scores. The parameters depend on how the input is
+split into partitions, as each task takes its own steps; the same files give the same model.
+
+Defined cases: a null or empty text is the end token alone. A text of any length is scored whole. Repeated rows are scored
+alike and learnt from each. A null id is learnt from. Ties of counts are ordered by token. With nothing to learn from, or an
+empty table, all counts are zero and the model is uniform over its classes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,27 +31,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Words
-from .common import in_fold, stored, utf8, word_bytes
+from .common import checkpointed, in_fold, stored, strings, utf8, word_bytes
 
 #: Stands for the end of a text; a blank, so that no word equals it.
 END = b" "
-#: Classes: the end, single tokens, endings; the last class is of all other tokens.
-SINGLE, ENDINGS = 95, 159
-CLASSES = 1 + SINGLE + ENDINGS + 1
-SIZE = 20
-CONTEXT = 6
-NOISE = 24
-BATCH = 512
+#: Tokens with vectors; those of them that are classes of their own, with the end; groups that hold the others; and classes
+#: by ending of the tokens outside of the vocabulary, the last of which is of all other endings.
+VOCABULARY, SINGLE, GROUPS, ENDINGS = 1 << 14, 64, 64, 32
+CLASSES = SINGLE + GROUPS + ENDINGS
+#: Numbers in a vector, tokens of context.
+SIZE, CONTEXT = 20, 5
+#: Noise draws for a batch of classes, and for each token of a group.
+NOISE, TOKEN_NOISE = 24, 4
+BATCH = 1024
 ROUNDS = 3
 RATE = 0.12
-#: Tokens whose counts are broadcast, at most: the most frequent ones.
+#: Tokens whose counts are broadcast, at most: the most frequent ones. Of larger numbers are the classes by ending.
 HEAD = 1 << 17
-#: Fixed-point log-probabilities count in units of 1 / SHIFT.
+#: Fixed-point logarithms count in units of 1 / SHIFT.
 SHIFT = 1 << 32
+#: Rows of products of fixed shape: for classes, and for the tokens of a group.
+ROWS, GROUP_ROWS = 1024, 64
+#: Tokens that are scored together.
+TOGETHER = 1 << 16
+#: Parameter rows that are averaged together.
+BLOCK = 2048
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -67,13 +82,17 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def head_of(counts: DataFrame, most: int = HEAD) -> dict[bytes, int]:
-    """All tokens that occur at least as often as some power of two, the lowest that leaves `most` of them or fewer."""
+def head_of(counts: DataFrame, most: int = HEAD) -> tuple[list[bytes], np.ndarray]:
+    """All tokens that occur at least as often as some power of two, the lowest that leaves `most` of them or fewer: the end
+    first, then by count; and their counts."""
     steps = [1 << k for k in range(45)]
     row = counts.agg(*(F.sum(F.when(F.col("n") >= s, 1).otherwise(0)).alias(f"s{s}") for s in steps)).first()
-    least = next(s for s in steps if (row[f"s{s}"] or 0) <= most)
-    table = counts.where(F.col("n") >= least).toArrow()
-    return dict(zip(table["token"].cast(pa.binary()).to_pylist(), table["n"].to_pylist(), strict=True))
+    least = next(s for s in steps if (row[f"s{s}"] or 0) < most)
+    table = counts.where((F.col("n") >= least) | (F.col("token") == END.decode())).toArrow()
+    found = sorted(zip(table["token"].cast(pa.binary()).to_pylist(), table["n"].to_pylist(), strict=True), key=lambda x: (x[0] != END, -x[1], x[0]))
+    if not found:
+        found = [(END, 0)]
+    return [t for t, _ in found], np.array([n for _, n in found], np.int64)
 
 
 def ending_of(token: bytes) -> bytes:
@@ -82,277 +101,385 @@ def ending_of(token: bytes) -> bytes:
     return tail[-2:] if tail.isascii() else tail.decode(errors="ignore")[-2:].encode()
 
 
-class Classes:
-    def __init__(self, singles: list[bytes], endings: list[bytes]):
-        self.single = {END: 0} | {t: 1 + i for i, t in enumerate(singles)}
-        self.ending = {e: 1 + SINGLE + i for i, e in enumerate(endings)}
-
-    def of(self, token: bytes) -> int:
-        found = self.single.get(token)
-        return self.ending.get(ending_of(token), CLASSES - 1) if found is None else found
-
-
-def classes_of(counts: DataFrame, head: dict[bytes, int]) -> Classes:
-    """The most frequent tokens, and the most frequent endings of all other tokens of counts."""
-    singles = sorted((t for t in head if t != END), key=lambda t: (-head[t], t))[:SINGLE]
-    apart = {END, *singles}
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for t, n in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if t not in apart:
-                    found[ending_of(t)] += n
-        yield pa.RecordBatch.from_pydict({"ending": pa.array(found.keys(), pa.binary()), "n": pa.array(found.values(), pa.int64())})
-
-    rows = counts.select("token", "n").mapInArrow(tally, "ending binary, n long").groupBy("ending").agg(F.sum("n").alias("n"))
-    return Classes(singles, [bytes(r["ending"]) for r in rows.orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()])
-
-
-def class_counts(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct tokens of each class."""
+class Vocabulary:
+    """Numbers, classes and groups of tokens. A token of the head has its place there as number, another one HEAD and the
+    number of its ending; one more stands before a text."""
+
+    BEGIN = HEAD + ENDINGS
+
+    def __init__(self, head: list[bytes], counts: np.ndarray):
+        self.size = min(VOCABULARY, len(head))
+        self.head, self.counts = head, counts
+        others = sorted(range(min(SINGLE, self.size), self.size), key=lambda i: (head[i][::-1], i))
+        #: The numbers of each group's tokens.
+        self.groups = [np.array(g, np.int64) for g in np.array_split(np.array(others, np.int64), GROUPS)]
+        self.width = max(len(g) for g in self.groups)
+        #: By number: the class (one past all for what stands before a text), and the place in a group.
+        self.class_of = np.full(self.BEGIN + 1, CLASSES, np.int16)
+        self.class_of[: min(SINGLE, self.size)] = np.arange(min(SINGLE, self.size))
+        self.place_of = np.zeros(self.BEGIN + 1, np.int16)
+        for k, g in enumerate(self.groups):
+            self.class_of[g] = SINGLE + k
+            self.place_of[g] = np.arange(len(g))
+        self.class_of[HEAD : self.BEGIN] = SINGLE + GROUPS + np.arange(ENDINGS)
+        #: By number: the row of the vector that a token has as context.
+        self.row_of = np.full(self.BEGIN + 1, self.size + ENDINGS, np.int32)
+        self.row_of[: self.size] = np.arange(self.size)
+        self.row_of[HEAD : self.BEGIN] = self.size + np.arange(ENDINGS)
+
+    def with_endings(self, endings: list[bytes], n: np.ndarray, v: np.ndarray) -> Vocabulary:
+        """Also knows the endings that are classes, and the tokens (n) and distinct tokens (v) of each of their classes."""
+        self.endings = {e: i for i, e in enumerate(endings)}
+        for i in range(self.size, len(self.head)):
+            k = self.ending_of(self.head[i])
+            self.class_of[i] = SINGLE + GROUPS + k
+            self.row_of[i] = self.size + k
+        #: Shares of the classes, and of the tokens in their groups.
+        counts = np.concatenate((np.bincount(self.class_of[: self.size], self.counts[: self.size], SINGLE + GROUPS)[: SINGLE + GROUPS], n))
+        self.shares = (counts + 0.5) / (counts.sum() + 0.5 * CLASSES)
+        self.inside = np.ones((GROUPS, self.width))
+        for k, g in enumerate(self.groups):
+            self.inside[k, : len(g)] = (self.counts[g] + 0.5) / (self.counts[g].sum() + 0.5 * len(g)) if len(g) else 1
+        #: What a token's count plus a half is divided by, in a class by ending.
+        self.norms = np.round(np.log10(n + 0.5 * (v + 1)) * SHIFT).astype(np.int64)
+        return self
+
+    def ending_of(self, token: bytes) -> int:
+        return self.endings.get(ending_of(token), ENDINGS - 1)
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The vocabulary of a table of counts; endings are counted over all tokens outside of it."""
+    voc = Vocabulary(*head_of(counts))
+    inside = set(voc.head[: voc.size])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        n, v = Counter(), Counter()
         for batch in batches:
-            which = np.array([classes.of(t) for t in utf8(batch.column(0))], np.int64)
-            n += np.bincount(which, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
-            v += np.bincount(which, minlength=CLASSES)
-        yield pa.RecordBatch.from_pydict({"class": pa.array(range(CLASSES), pa.int32()), "n": pa.array(n), "v": pa.array(v)})
-
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in counts.select("token", "n").mapInArrow(tally, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        n[r["class"]], v[r["class"]] = r["n"], r["v"]
-    return n, v
+            for t, k in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if t not in inside:
+                    n[ending_of(t)] += k
+                    v[ending_of(t)] += 1
+        yield pa.RecordBatch.from_pydict({"ending": pa.array(n.keys(), pa.binary()), "n": pa.array(n.values(), pa.int64()), "v": pa.array([v[e] for e in n], pa.int64())})
+
+    rows = counts.select("token", "n").mapInArrow(tally, "ending binary, n long, v long").groupBy("ending").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    rows = checkpointed(rows)
+    top = rows.orderBy(F.desc("n"), "ending").limit(ENDINGS - 1).collect()
+    whole = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    n, v = (np.zeros(ENDINGS, np.int64) for _ in "nv")
+    for i, r in enumerate(top):
+        n[i], v[i] = r["n"], r["v"]
+    n[-1], v[-1] = whole["n"] - n.sum(), whole["v"] - v.sum()
+    return voc.with_endings([bytes(r["ending"]) for r in top], n, v)
 
 
 class Model:
-    """Parameters: `seen` (classes as context; the last row stands before a text), `said` (classes as predicted, with their
-    biases as last column), and `place`, the weights of the context's places by dimension, the nearest first."""
-
-    NAMES = ("seen", "said", "place")
+    """Parameters as rows of SIZE numbers and a bias: `seen` (tokens as context), `said` (classes), `token` (tokens of
+    groups), and `place`, the weights of the context's places by dimension, the nearest first."""
 
-    def __init__(self, shares: np.ndarray, seed: int = 7):
+    def __init__(self, voc: Vocabulary, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.shares = shares
-        self.seen = r.normal(0, 0.1, (CLASSES + 1, SIZE)).astype(np.float32)
-        self.said = np.hstack([r.normal(0, 0.1, (CLASSES, SIZE)), np.log(shares)[:, None]]).astype(np.float32)
-        self.place = np.full((CONTEXT, SIZE), 1.0 / CONTEXT, np.float32)
-
-    def parameters(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
-
-    def set(self, values: np.ndarray) -> None:
+        self.voc = voc
+        parts = {"seen": voc.size + ENDINGS + 1, "said": CLASSES, "token": GROUPS * voc.width, "place": CONTEXT}
+        self.rows = r.normal(0, 0.1, (sum(parts.values()), SIZE + 1)).astype(np.float32)
         at = 0
-        for name in self.NAMES:
-            x = getattr(self, name)
-            setattr(self, name, values[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
+        for name, n in parts.items():
+            setattr(self, name, self.rows[at : at + n])
+            setattr(self, f"{name}_at", at)
+            at += n
+        self.seen[:, -1] = 0
+        self.said[:, -1] = np.log(voc.shares)
+        self.token[:, -1] = np.log(voc.inside).ravel()
+        self.place[:] = 1.0 / CONTEXT
+        self.place[:, -1] = 0
 
     def predicted(self, vectors: np.ndarray) -> np.ndarray:
-        """The predicted vectors, with a 1 as last column, at the places from CONTEXT on of a run of tokens, of whose
-        classes `vectors` are the rows of `seen`."""
+        """The predicted vectors, with a 1 as last column, at the places from CONTEXT on of a run of tokens with the given
+        vectors."""
         n = len(vectors) - CONTEXT
-        out = np.ones((n, SIZE + 1), np.float32)
         q = vectors[CONTEXT - 1 : CONTEXT - 1 + n] * self.place[0]
         for i in range(1, CONTEXT):
             q += vectors[CONTEXT - 1 - i : CONTEXT - 1 - i + n] * self.place[i]
-        out[:, :-1] = q
-        return out
-
-    def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities of the classes at the places from CONTEXT on of a run of tokens; 0 where a
-        text hasn't begun."""
-        out = np.zeros(len(tokens) - CONTEXT, np.float32)
-        for a in range(0, len(out), 1024):
-            run = tokens[a : a + 1024 + CONTEXT]
-            own = run[CONTEXT:]
-            scores = self.predicted(self.seen[run]) @ self.said.T
-            mine = scores[np.arange(len(own)), np.minimum(own, CLASSES - 1)]
-            top = float(scores.max())
-            if top > 60:  # exp would run over
-                scores -= top
-            else:
-                top = 0.0
-            np.exp(scores, out=scores)
-            out[a : a + 1024] = np.where(own < CLASSES, mine - top - np.log(scores.sum(1)), 0)
+        q[:, -1] = 1
+        return q
+
+    def log_probabilities(self, numbers: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probabilities of the tokens of the vocabulary, and of the classes of others, at the places
+        from CONTEXT on of a run of tokens; 0 where a text hasn't begun."""
+        voc = self.voc
+        q = self.predicted(self.seen[voc.row_of[numbers]])
+        own = numbers[CONTEXT:]
+        classes = voc.class_of[own].astype(np.int64)
+        out = np.zeros(len(own), np.float64)
+        weights = np.ascontiguousarray(self.said.T)
+        block = np.zeros((ROWS, SIZE + 1), np.float32)
+        for a in range(0, len(own), ROWS):
+            n = min(ROWS, len(own) - a)
+            block[:n] = q[a : a + n]
+            out[a : a + n] = _log_softmax(block @ weights, np.append(np.minimum(classes[a : a + n], CLASSES - 1), np.zeros(ROWS - n, np.int64)))[:n]
+        out[classes == CLASSES] = 0
+        grouped = np.flatnonzero((classes >= SINGLE) & (classes < SINGLE + GROUPS))
+        grouped = grouped[np.argsort(classes[grouped], kind="stable")]
+        ends = np.searchsorted(classes[grouped], np.arange(SINGLE, SINGLE + GROUPS + 1))
+        tokens = self.token.reshape(GROUPS, voc.width, SIZE + 1)
+        for k in range(GROUPS):
+            at = grouped[ends[k] : ends[k + 1]]
+            if not len(at):
+                continue
+            n, m = len(at), len(voc.groups[k])
+            blocks = np.zeros((-(-n // GROUP_ROWS), GROUP_ROWS, SIZE + 1), np.float32)
+            blocks.reshape(-1, SIZE + 1)[:n] = q[at]
+            scores = blocks @ np.ascontiguousarray(tokens[k, :m].T)
+            places = np.zeros(blocks.shape[0] * GROUP_ROWS, np.int64)
+            places[:n] = voc.place_of[own[at]]
+            out[at] += _log_softmax(scores.reshape(-1, m), places)[:n]
         return out
 
 
-def learn(model: Model, tokens: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray], rate: float) -> None:
-    """One pass of noise-contrastive estimation over a run of tokens, with adaptive steps. Noise is drawn by the classes'
-    shares, NOISE draws for each batch."""
-    cumulative = np.cumsum(model.shares)
-    noise_log = np.log(NOISE * model.shares).astype(np.float32)
-    for a in range(0, len(tokens) - CONTEXT, BATCH):
-        run = tokens[a : a + BATCH + CONTEXT]
-        vectors = model.seen[run]
+def _log_softmax(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of each row the log-probability of one column."""
+    scores -= scores.max(1, keepdims=True)
+    mine = scores[np.arange(len(own)), own]
+    np.exp(scores, out=scores)
+    return mine.astype(np.float64) - np.log(scores.sum(1).astype(np.float64))
+
+
+def learn(model: Model, numbers: np.ndarray, rng: np.random.Generator, squares: np.ndarray, touched: np.ndarray, rate: float) -> None:
+    """One pass of noise-contrastive estimation over a run of tokens, with adaptive steps for each row that a batch touches.
+    Noise is drawn by the classes' shares, and by the tokens' shares of their group."""
+    voc = model.voc
+    class_sums, class_logs = np.cumsum(voc.shares), np.log(NOISE * voc.shares).astype(np.float32)
+    token_logs = np.log(TOKEN_NOISE * voc.inside).astype(np.float32).ravel()
+    draws = _drawn(voc, rng)
+    for a in range(0, len(numbers) - CONTEXT, BATCH):
+        run = numbers[a : a + BATCH + CONTEXT]
+        rows = voc.row_of[run]
+        vectors = model.seen[rows]
         q = model.predicted(vectors)
-        w = np.minimum(run[CONTEXT:], CLASSES - 1)
-        real = (run[CONTEXT:] < CLASSES).astype(np.float32)
-        n = max(1.0, float(real.sum()))
-        noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), CLASSES - 1)
+        classes = voc.class_of[run[CONTEXT:]].astype(np.int64)
+        real = np.flatnonzero(classes < CLASSES)
+        w, x = classes[real], q[real]
+        noise = np.minimum(np.searchsorted(class_sums, rng.random(NOISE)), CLASSES - 1)
         own, other = model.said[w], model.said[noise]
-        g_own = real / (1 + np.exp(np.einsum("ij,ij->i", q, own) - noise_log[w]))
-        g_other = -real[:, None] / (1 + np.exp(noise_log[noise] - q @ other.T))
-        g_q = (g_own[:, None] * own + g_other @ other)[:, :-1]
-        said = _summed(w, g_own[:, None] * q, CLASSES)
-        np.add.at(said, noise, g_other.T @ q)
-        back, place = np.zeros_like(vectors), np.empty_like(model.place)
+        g_own = 1 / (1 + np.exp(np.einsum("ij,ij->i", x, own) - class_logs[w]))
+        g_other = -1 / (1 + np.exp(class_logs[noise] - x @ other.T))
+        g_x = g_own[:, None] * own + g_other @ other
+        at, steps = [model.said_at + w, model.said_at + noise], [g_own[:, None] * x, g_other.T @ x]
+        inside = np.flatnonzero((w >= SINGLE) & (w < SINGLE + GROUPS))
+        if len(inside):
+            group, y = w[inside] - SINGLE, x[inside]
+            mine = group * voc.width + voc.place_of[run[CONTEXT:][real[inside]]]
+            noise = group[:, None] * voc.width + draws[group[:, None], rng.integers(0, draws.shape[1], (len(inside), TOKEN_NOISE))]
+            own, other = model.token[mine], model.token[noise]
+            g_own = 1 / (1 + np.exp(np.einsum("ij,ij->i", y, own) - token_logs[mine]))
+            g_other = -1 / (1 + np.exp(token_logs[noise] - np.einsum("ij,ikj->ik", y, other)))
+            g_x[inside] += g_own[:, None] * own + np.einsum("ik,ikj->ij", g_other, other)
+            at += [model.token_at + mine, model.token_at + noise.ravel()]
+            steps += [g_own[:, None] * y, (g_other[:, :, None] * y[:, None, :]).reshape(-1, SIZE + 1)]
+        g_q = np.zeros_like(q)
+        g_q[real] = g_x
+        g_q[:, -1] = 0
+        back = np.zeros_like(vectors)
         for i in range(CONTEXT):
-            before = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + len(w))
-            place[i] = np.einsum("ij,ij->j", g_q, vectors[before])
+            before = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + len(q))
+            at.append(np.array([model.place_at + i]))
+            steps.append(np.einsum("ij,ij->j", g_q, vectors[before])[None] / len(q))
             back[before] += g_q * model.place[i]
-        seen = _summed(run, back, CLASSES + 1)
-        for name, g, s in zip(model.NAMES, (seen, said, place), squares, strict=True):
-            g /= n
-            s += g * g
-            x = getattr(model, name)
-            x += rate * g / np.sqrt(s)
+        at.append(model.seen_at + rows)
+        steps.append(back)
+        at, n, steps = _summed(np.concatenate(at), np.concatenate(steps))
+        squares[at] += steps * steps
+        touched[at] += n
+        model.rows[at] += rate * steps / np.sqrt(squares[at])
+
+
+def _drawn(voc: Vocabulary, rng: np.random.Generator, n: int = 1024) -> np.ndarray:
+    """Places drawn by the shares of each group's tokens, to draw noise from."""
+    out = np.zeros((GROUPS, n), np.int64)
+    for k, g in enumerate(voc.groups):
+        if len(g):
+            share = np.cumsum(voc.inside[k, : len(g)])
+            out[k] = np.minimum(np.searchsorted(share / share[-1], rng.random(n)), len(g) - 1)
+    return out
 
 
-def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Rows of values summed by their place."""
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct places, how often each occurs, and the sums of their rows of values."""
     order = np.argsort(at, kind="stable")
     by = at[order]
     first = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[by[first]] = np.add.reduceat(values[order], first)
-    return out
+    return by[first], np.diff(np.append(first, len(by))), np.add.reduceat(values[order], first)
+
+
+def numbered(docs: DataFrame, voc: Vocabulary, columns: list[Column]) -> DataFrame:
+    """The columns, and for each text: key (a number of its own), n_tokens, known and own (of the head's tokens: how many
+    were learnt from, and the logarithms of their counts), others (what shares in classes by ending add to the score, less
+    that of tokens outside of the head), ids (numbers), words (tokens outside of the head)."""
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    kept = docs.select(*columns)
+    names, width = kept.columns, len(columns)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        get = _Numbers(v).__getitem__
+        log_of = np.zeros(v.BEGIN + 1, np.int64)
+        log_of[: len(v.head)] = np.round(np.log10(v.counts + 0.5) * SHIFT).astype(np.int64)
+        known_of = np.zeros(v.BEGIN + 1, np.int64)
+        known_of[: len(v.head)] = v.counts > 0
+        other_of = np.zeros(v.BEGIN + 1, np.int64)
+        rest = np.concatenate((np.arange(v.size, len(v.head)), np.arange(HEAD, v.BEGIN)))
+        other_of[rest] = log_of[rest] - v.norms[v.class_of[rest] - SINGLE - GROUPS]
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = batch.column(width)
+            for a, b in _groups(texts):
+                some = [word_bytes(t) for t in utf8(texts.slice(a, b - a))]
+                flat = []
+                for w in some:
+                    flat += map(get, w)
+                    flat.append(0)
+                numbers = np.array(flat, np.int32)
+                starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in some])))
+                tail = np.flatnonzero(numbers >= HEAD)
+                words = [w for ws in some for w in (*ws, END)] if len(tail) else []
+                total = lambda table: pa.array(np.add.reduceat(table[numbers], starts[:-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(i).slice(a, b - a) for i in range(width)),
+                        pa.array(np.arange(row, row + b - a)),
+                        pa.array(np.diff(starts)),
+                        total(known_of),
+                        total(log_of),
+                        total(other_of),
+                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(numbers)),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(tail, starts), pa.int32()), pa.array([words[i] for i in tail.tolist()], pa.binary()).cast(pa.string())),
+                    ],
+                    names=[*names, "key", "n_tokens", "known", "own", "others", "ids", "words"],
+                )
+                row += b - a
 
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    return docs.select(*columns, "text").mapInArrow(number, f"{schema}key long, n_tokens long, known long, own long, others long, ids array<int>, words array<string>")
 
-class Encoder:
-    """Texts as runs of classes: each text after CONTEXT marks of a beginning, which are one past the classes."""
 
-    def __init__(self, classes: Classes):
-        self.words = Words(classes.of)
+class _Numbers(dict):
+    """Numbers of tokens; those of tokens outside of the head are kept for some time."""
 
-    def of(self, texts: list[bytes | None]) -> np.ndarray:
-        out, get, begin = [], self.words.__getitem__, [CLASSES] * CONTEXT
-        for t in texts:
-            out += begin
-            out += map(get, word_bytes(t))
-            out.append(0)
-        return np.array(out, np.int16)
+    def __init__(self, voc: Vocabulary):
+        super().__init__({t: i for i, t in enumerate(voc.head)})
+        self.others = Words(lambda token: HEAD + voc.ending_of(token))
+
+    def __missing__(self, token: bytes) -> int:
+        return self.others[token]
 
 
 def _groups(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    lengths = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    """Runs of rows of about `size` bytes, or one longer row."""
+    offsets, _ = strings(column)
     a = n = 0
-    for i, x in enumerate(lengths.tolist()):
+    for i, x in enumerate(np.diff(offsets).tolist()):
         if i > a and n + x > size:
             yield a, i
             a, n = i, 0
         n += x
-    if a < len(lengths):
-        yield a, len(lengths)
-
-
-def train(docs: DataFrame, classes: Classes, shares: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The model of all texts of docs: each in one of `rounds` rounds, by a hash of its id and text."""
-    spark = docs.sparkSession
-    model = Model(shares)
-    if not shares.size:
-        return model
-    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.length("text")), F.lit(rounds))
+    if a < len(column):
+        yield a, len(column)
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, run, places) for rows of about TOGETHER numbers: each text after CONTEXT marks of a
+    beginning; places are those of the texts' tokens."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    numbers = column.values.to_numpy()
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + TOGETHER, "right")) - 1)
+        some = numbers[offsets[row] : offsets[end]]
+        sizes = np.diff(offsets[row : end + 1])
+        places = np.arange(len(some)) + CONTEXT * np.repeat(np.arange(1, end - row + 1), sizes)
+        run = np.full(len(some) + CONTEXT * (end - row), Vocabulary.BEGIN, np.int32)
+        run[places] = some
+        yield row, end, run, places
+        row = end
+
+
+def train(tokens: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """The model of all rows of a stored table (key, ids): each in one of `rounds` rounds, by a hash of its key."""
+    spark = tokens.sparkSession
+    model = Model(voc)
+    turn = F.pmod(F.xxhash64("key"), F.lit(rounds))
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((model, classes))
+        shared = spark.sparkContext.broadcast(model)
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            start, kinds = shared.value
-            m = Model(start.shares)
-            m.set(start.parameters())
-            encoder, rng, seen = Encoder(kinds), np.random.default_rng(TaskContext.get().partitionId()), 0
-            squares = [np.full_like(getattr(m, n), 1e-4) for n in m.NAMES]
+            start, part = shared.value, TaskContext.get().partitionId()
+            m = Model(start.voc)
+            m.rows[:] = start.rows
+            rng = np.random.default_rng(part)
+            squares, touched = np.ones_like(m.rows), np.zeros(len(m.rows), np.float32)
+            for batch in batches:
+                for _, _, run, _ in _runs(batch.column(0)):
+                    learn(m, run, rng, squares, touched, RATE / (1 + k))
+            for b in range(0, len(m.rows), BLOCK):
+                n = touched[b : b + BLOCK]
+                if n.any():
+                    moved = (m.rows[b : b + BLOCK] - start.rows[b : b + BLOCK]) * n[:, None]
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "salt": pa.array([part % 16], pa.int32()), "moved": [moved.astype(np.float32).tobytes()], "n": [n.tobytes()]})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list[np.ndarray]] = {}
             for batch in batches:
-                column = batch.column(0)
-                for a, b in _groups(column):
-                    tokens = encoder.of(utf8(column.slice(a, b - a)))
-                    learn(m, tokens, rng, squares, RATE / (1 + k))
-                    seen += len(tokens)
-            if seen:
-                values = m.parameters().astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(values)), pa.int32()), "x": pa.array(values * seen), "n": pa.array([float(seen)] * len(values))})
-
-        rows = docs.where(share == k).select("text").mapInArrow(fit, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
-        if rows.num_rows:
-            values = np.zeros(len(model.parameters()))
-            values[rows["i"].to_numpy()] = rows["x"].to_numpy()
-            model.set(values)
+                for b, moved, n in zip(batch.column("block").to_pylist(), batch.column("moved").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    new = [np.frombuffer(moved, np.float32), np.frombuffer(n, np.float32)]
+                    sums[b] = [x + y for x, y in zip(sums[b], new, strict=True)] if b in sums else new
+            for b, (moved, n) in sums.items():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "salt": pa.array([0], pa.int32()), "moved": [moved.tobytes()], "n": [n.tobytes()]})
+
+        schema = "block int, salt int, moved binary, n binary"
+        found = tokens.where(turn == k).select("ids").mapInArrow(fit, schema)
+        # first sixteen sums for each block, then one, in the order of tasks
+        for by in (["block", "salt"], ["block"]):
+            found = found.repartition(*by).sortWithinPartitions("block", "salt", F.xxhash64("moved")).mapInArrow(add, schema)
+        rows = model.rows.copy()
+        for r in found.collect():
+            n = np.frombuffer(r["n"], np.float32)
+            rows[r["block"] : r["block"] + len(n)] += np.frombuffer(r["moved"], np.float32).reshape(len(n), -1) / np.maximum(n, 1)[:, None]
+        model = Model(voc)
+        model.rows[:] = rows
     return model
 
 
 def scored(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
-    held = in_fold(F.col("doc_id"), 5, 1)
-    training = docs.where(~held) if learn_from is None else learn_from
-    counts = stored(token_counts(training), "counts")
+    held = in_fold(F.col("doc_id"), 5, 1).alias("held_out")
+    counts = stored(token_counts(docs.where(~held) if learn_from is None else learn_from), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens_n, tokens_v = total["n"], total["v"]
-    head = head_of(counts)
-    classes = classes_of(counts, head)
-    n, v = class_counts(counts, classes)
-    shares = (n + 0.5) / (n.sum() + 0.5 * CLASSES)
-    model = train(training, classes, shares)
-    inside = np.log10(n + 0.5 * (v + 1))  # of the classes: what a token's count plus a half is divided by
-    shared = spark.sparkContext.broadcast((model, classes, inside, head))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    # a text's own number ties what is joined later to it; fixed-point sums don't depend on the order of addition
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, kinds, norms, known = shared.value
-        # a head token's number is its place in these tables; another token's is -1 less its class
-        class_of = np.array([kinds.of(t) for t in known], np.int16)
-        log_of = np.round(np.log10(np.fromiter(known.values(), np.int64, len(known)) + 0.5) * SHIFT).astype(np.int64)
-        number = _Numbers({t: i for i, t in enumerate(known)}, kinds)
-        base = np.round(norms * SHIFT).astype(np.int64)
-        end, get = number[END], number.__getitem__
-        task, row = TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
-            texts = batch.column(2)
-            for a, b in _groups(texts):
-                some = [word_bytes(t) for t in utf8(texts.slice(a, b - a))]
-                flat = []
-                for w in some:
-                    flat += map(get, w)
-                    flat.append(end)
-                numbers = np.array(flat, np.int64)
-                starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in some])))
-                inside = numbers >= 0
-                found = np.where(inside, numbers, 0)
-                classes_at = np.where(inside, class_of[found] if len(class_of) else 0, -1 - numbers).astype(np.int16)
-                own = np.where(inside, log_of[found] if len(log_of) else 0, 0)
-                # the run that the model reads: each text after its beginning's marks
-                places = np.arange(len(numbers)) + CONTEXT * np.repeat(np.arange(1, len(some) + 1), np.diff(starts))
-                run = np.full(len(numbers) + CONTEXT * len(some), CLASSES, np.int16)
-                run[places] = classes_at
-                p = m.log_probabilities(run)[places - CONTEXT].astype(np.float64)
-                neural = np.round(p / np.log(10) * SHIFT).astype(np.int64) - base[classes_at]
-                tail = np.flatnonzero(~inside)
-                words = [w for ws in some for w in (*ws, END)] if len(tail) else []
-                counts_at = np.searchsorted(tail, starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
-                        pa.array(np.arange(task + row, task + row + b - a)),
-                        pa.array(np.diff(starts)),
-                        pa.array(np.add.reduceat(own, starts[:-1])),
-                        pa.array(np.add.reduceat(inside.astype(np.int64), starts[:-1])),
-                        pa.array(np.add.reduceat(neural, starts[:-1])),
-                        pa.ListArray.from_arrays(pa.array(counts_at, pa.int32()), pa.array([words[i] for i in tail.tolist()], pa.binary()).cast(pa.string())),
-                    ],
-                    names=["doc_id", "held_out", "key", "n_tokens", "own", "known", "neural", "words"],
-                )
-                row += b - a
-
-    schema = f"doc_id {kind}, held_out boolean, key long, n_tokens long, own long, known long, neural long, words array<string>"
-    rows = stored(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(score, schema), "scores")
-    tail = rows.select("key", F.explode("words").alias("token")).join(counts, "token", "left")
+    voc = vocabulary(counts)
+    tokens = stored(numbered(docs, voc, [F.col("doc_id"), held]), "tokens")
+    training = tokens.where("not held_out") if learn_from is None else stored(numbered(learn_from, voc, [F.lit(False).alias("held_out")]), "training")
+    model = train(training, voc)
+    shared = spark.sparkContext.broadcast(model)
+
+    names = ["doc_id", "held_out", "key", "n_tokens", "known", "own", "others"]
+    numbers = tokens.select("ids", *names)
+    tail = tokens.select("key", F.explode("words").alias("token")).join(counts, "token", "left")
     log_c = F.round(F.log10(F.coalesce("n", F.lit(0)) + 0.5) * SHIFT).cast("long")
     found = tail.groupBy("key").agg(F.sum(log_c).alias("tail"), F.count("n").alias("tail_known"))
-    whole = rows.drop("words").join(found, "key", "left")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbers.drop("ids").schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            offsets = batch.column("ids").offsets.to_numpy()
+            sums = [np.zeros(0, np.int64)]
+            for a, b, run, places in _runs(batch.column("ids")):
+                p = np.round(m.log_probabilities(run)[places - CONTEXT] / np.log(10) * SHIFT).astype(np.int64)
+                sums.append(np.add.reduceat(p, offsets[a:b] - offsets[a]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(sums))], names=[*names, "neural"])
+
+    whole = numbers.mapInArrow(score, f"{kind}, neural long").join(found, "key", "left")
     mass = F.coalesce("tail", F.lit(0)) + F.col("own")
     return whole.select(
         "doc_id",
@@ -361,16 +488,5 @@ def scored(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(tokens_n).cast("long").alias("train_tokens"),
         (mass / float(SHIFT) - F.col("n_tokens") * float(np.log10(tokens_n + 0.5 * (tokens_v + 1)))).alias("base_score"),
-        ((mass + F.col("neural")) / float(SHIFT)).alias("score"),
+        ((F.coalesce("tail", F.lit(0)) + F.col("others") + F.col("neural")) / float(SHIFT)).alias("score"),
     )
-
-
-class _Numbers(dict):
-    """Numbers of tokens: of the head's by place, of others -1 less their class, kept for some time."""
-
-    def __init__(self, head: dict[bytes, int], classes: Classes):
-        super().__init__(head)
-        self.others = Words(lambda token: -1 - classes.of(token))
-
-    def __missing__(self, token: bytes) -> int:
-        return self.others[token]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from fathomgrid.llm import language, lm, quality_classifier, quality_rules
-from fathomgrid.llm.common import text_chunks
+from fathomgrid.llm.common import text_chunks, word_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -167,40 +167,136 @@ def test_language_model_base_and_normalisation(spark):
     assert sum(r["score"] for r in test) > sum(r["base_score"] for r in test)
 
 
-def test_language_model_classes_count_all_endings(spark):
-    tokens = [(f"word{k}aa", 1000) for k in range(lm.SINGLE)] + [(f"w{k}bb", 20) for k in range(5)] + [(f"t{k}zz", 1) for k in range(2000)]
-    head = {t.encode(): n for t, n in tokens if n >= 20}
-    endings = lm.classes_of(spark.createDataFrame([*tokens, (" ", 9)], "token string, n long"), head).ending
-    assert sorted(endings, key=endings.get) == [b"zz", b"bb"]
-    assert (lm.SINGLE, lm.ENDINGS, lm.SIZE, lm.NOISE) == (95, 159, 20, 24)
-
-
-def test_language_model_probabilities_sum_to_one():
-    model = lm.Model(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    run = np.array([lm.CLASSES] * lm.CONTEXT + [3, 9, 0], np.int16)
-    for k in range(3):
-        total = 0.0
-        for c in range(lm.CLASSES):
-            other = run.copy()
-            other[lm.CONTEXT + k] = c
-            total += math.exp(model.log_probabilities(other)[k])
-        assert math.isclose(total, 1, abs_tol=1e-4)
+def test_language_model_beats_the_base_by_a_margin(spark):
+    out = lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert (out["sum(score)"] - out["sum(base_score)"]) / out["sum(n_tokens)"] > 0.1
+
+
+def plain_vocabulary(counts):
+    """A vocabulary of counts by token, with endings counted by plain code."""
+    head = sorted(((t, n) for t, n in counts.items()), key=lambda x: (x[0] != lm.END, -x[1], x[0]))
+    voc = lm.Vocabulary([t for t, _ in head], np.array([n for _, n in head], np.int64))
+    n, v = Counter(), Counter()
+    for t, k in head[voc.size :]:
+        n[lm.ending_of(t)] += k
+        v[lm.ending_of(t)] += 1
+    top = sorted(n, key=lambda e: (-n[e], e))[: lm.ENDINGS - 1]
+    sums = lambda x: np.array([*(x[e] for e in top), *[0] * (lm.ENDINGS - 1 - len(top)), sum(x.values()) - sum(x[e] for e in top)], np.int64)
+    return voc.with_endings(top, sums(n), sums(v))
+
+
+def small_counts(rng, n=40):
+    return {lm.END: 50} | {f"w{k}{rng.choice(list('abc'))}{k % 7}".encode(): int(rng.integers(1, 90)) for k in range(n)}
+
+
+@pytest.fixture
+def small_sizes(monkeypatch):
+    for name, size in (("VOCABULARY", 24), ("SINGLE", 5), ("GROUPS", 4), ("ENDINGS", 3), ("CLASSES", 12)):
+        monkeypatch.setattr(lm, name, size)
+    monkeypatch.setattr(lm.Vocabulary, "BEGIN", lm.HEAD + 3)
+
+
+def plain_log10(model, tokens):
+    """The log10 probability of each token of a text (and its end), by the definition, in float64."""
+    voc, rows, total = model.voc, model.rows.astype(np.float64), []
+    of = {t: i for i, t in enumerate(voc.head)}
+    size = lm.SIZE
+    seen = lambda i: rows[i, :size]
+    numbers = [voc.BEGIN] * lm.CONTEXT + [of.get(t, lm.HEAD + voc.ending_of(t)) for t in tokens]
+    place = rows[model.place_at : model.place_at + lm.CONTEXT, :size]
+    for k, t in enumerate(tokens):
+        q = sum(place[i] * seen(voc.row_of[numbers[lm.CONTEXT + k - 1 - i]]) for i in range(lm.CONTEXT))
+        said = rows[model.said_at : model.said_at + lm.CLASSES]
+        scores = said[:, :size] @ q + said[:, size]
+        i = numbers[lm.CONTEXT + k]
+        c = voc.class_of[i]
+        p = scores[c] - np.log(np.exp(scores).sum())
+        p /= np.log(10)
+        if lm.SINGLE <= c < lm.SINGLE + lm.GROUPS:
+            group = voc.groups[c - lm.SINGLE]
+            at = model.token_at + (c - lm.SINGLE) * voc.width
+            scores = rows[at : at + len(group), :size] @ q + rows[at : at + len(group), size]
+            p += (scores[voc.place_of[i]] - np.log(np.exp(scores).sum())) / np.log(10)
+        elif c >= lm.SINGLE + lm.GROUPS:
+            n = voc.counts[of[t]] if t in of else 0
+            p += np.log10(n + 0.5) - voc.norms[c - lm.SINGLE - lm.GROUPS] / lm.SHIFT
+        total.append(p)
+    return total
+
+
+def test_language_model_probabilities_sum_to_one(small_sizes):
+    rng = np.random.default_rng(1)
+    voc = plain_vocabulary(small_counts(rng))
+    model = lm.Model(voc)
+    model.rows[:] = rng.normal(0, 0.5, model.rows.shape)
+    tokens = [*voc.head[1:9], *voc.head[30:33]]
+    # all tokens that were counted, and one stranger of each ending, of which there are none or one class
+    strangers = {voc.ending_of(e): e for e in [*voc.endings, b"\xff\xff"]}.values()
+    for k in (0, 3, 9):
+        whole = [*voc.head, *strangers]
+        assert math.isclose(sum(10 ** plain_log10(model, [*tokens[:k], t])[k] for t in whole), 1, rel_tol=1e-6)
+
+
+def test_language_model_equals_the_definition_in_any_batch(small_sizes):
+    rng = np.random.default_rng(2)
+    voc = plain_vocabulary(small_counts(rng))
+    model = lm.Model(voc)
+    model.rows[:] = rng.normal(0, 1, model.rows.shape)
+    model.rows[model.said_at : model.said_at + lm.CLASSES] *= 30  # far from each other: nothing overflows
+    numbers = [rng.integers(0, len(voc.head), rng.integers(1, 400)).astype(np.int32) for _ in range(60)]
+    run = lambda texts: np.concatenate([np.concatenate((np.full(lm.CONTEXT, voc.BEGIN, np.int32), t)) for t in texts])
+    alone = [model.log_probabilities(run([t]))[: len(t)] for t in numbers]
+    together = model.log_probabilities(run(numbers))
+    at = 0
+    for t, one in zip(numbers, alone, strict=True):
+        assert np.array_equal(together[at : at + len(t)], one)  # to the last bit
+        at += len(t) + lm.CONTEXT
+    assert np.isfinite(together).all()
+
+
+def test_language_model_scores_equal_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet(DOCS).limit(60)
+    models = []
+
+    def untrained(tokens, voc):
+        model = lm.Model(voc)
+        model.rows[:] += np.random.default_rng(3).normal(0, 0.5, model.rows.shape)
+        models.append(model)
+        return model
+
+    monkeypatch.setattr(lm, "train", untrained)
+    monkeypatch.setattr(lm.head_of, "__defaults__", (100,))
+    out = {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()}
+    texts = {r["doc_id"]: [*word_bytes((r["text"] or "").encode()), lm.END] for r in docs.collect()}
+    counts = Counter(t for i, ts in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1 for t in ts)
+    voc = models[0].voc
+    assert len(voc.head) <= 100 < len(counts)
+    # tokens outside of the head have their counts as well
+    plain = Counter(counts)
+    for i, ts in texts.items():
+        want = 0.0
+        for t, p in zip(ts, plain_log10(models[0], ts), strict=True):
+            want += p
+            if t not in voc.head:
+                want += math.log10(plain[t] + 0.5) - math.log10(0.5)
+        assert math.isclose(out[i], want, rel_tol=1e-5, abs_tol=1e-4)
 
 
 def test_language_model_learns():
     rng = np.random.default_rng(4)
-    run = np.array([lm.CLASSES] * lm.CONTEXT + [1, 2, 3, 4] * 4000, np.int16)
-    shares = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    model = lm.Model(shares)
-    before = model.log_probabilities(run).mean()
-    squares = [np.full_like(getattr(model, n), 1e-4) for n in model.NAMES]
-    for _ in range(4):
-        lm.learn(model, run, rng, squares, lm.RATE)
-    assert model.log_probabilities(run).mean() > before + 2
+    voc = plain_vocabulary({lm.END: 1} | {f"t{k:04d}".encode(): 100 for k in range(2000)})
+    numbers = np.array([lm.Vocabulary.BEGIN] * lm.CONTEXT + [3, 900, 4, 1500] * 4000, np.int32)
+    model = lm.Model(voc)
+    before = model.log_probabilities(numbers).mean()
+    squares, touched = np.ones_like(model.rows), np.zeros(len(model.rows), np.float32)
+    for _ in range(6):
+        lm.learn(model, numbers, rng, squares, touched, lm.RATE)
+    assert model.log_probabilities(numbers).mean() > before + 4
+    assert touched.sum() > 0
 
 
 def test_language_model_odd_rows(spark, odd):
-    out = lm.scored(odd)
+    out = lm.scored(odd.selectExpr("*", "1 as held_out", "2 as ids", "3 as key", "4 as own"))
     assert out.count() == odd.count()
     r = {x["doc_id"]: x for x in out.collect()}
     assert r[0]["n_tokens"] == r[1]["n_tokens"] == 1 and r[0]["score"] == r[1]["score"]
