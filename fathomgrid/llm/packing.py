@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, in bulk-synchronous supersteps.
 
 Documents are tokenised and cut into pieces; only those over the capacity are cut. In a superstep Spark sorts the open
-pieces and the gaps of all sequences by size, from large to small, into ranges. Each task sweeps over its range: a piece
+pieces and the gaps of all sequences by size, from large to small, into ranges, whose borders come from counts by size. Each task sweeps over its range: a piece
 takes the smallest gap passed so far that is still free, its successor among the gaps. What a range leaves over, pieces
 without a gap and gaps without a piece, is carried down to the ranges of smaller sizes: the tasks' counts of both settle
 which ranks of pieces meet which ranks of gaps, and a join by rank matches them. A gap takes one piece in a superstep; then
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec, Words, byte_alphabet, codec, default_path, split
-from .common import stored
+from .common import n_partitions, stored
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -104,6 +104,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, number long" + ", ids array<int>" * with_ids)
 
 
+#: Rows of a range, at least; with more rows than that for each shuffle partition, ranges grow.
+RANGE = 1 << 15
 #: Kinds of rows that a sweep gives out: a gap and a piece left over, a match, and a task's counts.
 GAP, PIECE, MATCH, COUNTS = range(4)
 _SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long"
@@ -150,9 +152,27 @@ def swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
         yield rows(GAP, len(free), None, None, number[free], size[free], np.arange(len(free))[::-1].copy())
         yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)])
 
-    items = pieces.select(F.col("size").alias("size"), F.lit(PIECE).alias("kind"), "number").union(gaps.select("gap", F.lit(GAP), "sequence"))
-    order = [F.desc("size"), F.col("kind"), F.col("number")]
-    return items.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, _SWEPT)
+    items = pieces.select("size", F.lit(PIECE).alias("kind"), "number").union(gaps.select("gap", F.lit(GAP), "sequence"))
+    table, ranges = _ranges(items)
+    part = F.col("first") + F.pmod(F.xxhash64("number"), F.col("ranges"))
+    dealt = items.join(table, ["size", "kind"]).select("size", "kind", "number", part.cast("int").alias("part"))
+    return dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.desc("size"), "kind", "number").select("size", "kind", "number").mapInArrow(sweep, _SWEPT)
+
+
+def _ranges(items: DataFrame) -> tuple[DataFrame, int]:
+    """The first range of each (size, kind) and over how many it goes, two rows for each size at most; the number of ranges.
+
+    Ranges hold about equally many rows, from large to small sizes. Rows of a size that fills more than one are dealt to
+    them by number."""
+    spark = items.sparkSession
+    found = sorted(((-r["size"], r["kind"], r["n"]) for r in items.groupBy("size", "kind").agg(F.count("*").alias("n")).collect()))
+    total = sum(n for _, _, n in found)
+    rows, at, out = max(RANGE, -(-total // n_partitions(spark))), 0, []
+    for size, kind, n in found:
+        out.append((-size, kind, at // rows, -(-n // rows)))
+        at += n
+    ranges = max((first + n for _, _, first, n in out), default=1)
+    return F.broadcast(spark.createDataFrame(out, "size int, kind int, first int, ranges int")), ranges
 
 
 def carried(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -211,7 +231,7 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             step = stored(swept(pieces, gaps), "sweep")
             counts = sorted((r["part"], r["number"], r["sequence"], r["place"]) for r in step.where(F.col("kind") == COUNTS).collect())
             runs = carried([c[:3] for c in counts])
-            met = stored(_met(step, runs), "carried") if runs else None
+            met = stored(_met(step, runs).coalesce(n_partitions(spark) // 8 + 1), "carried") if runs else None
             n_pieces = sum(c[1] + c[3] for c in counts)
             n_met = sum(c[3] for c in counts) + sum(r[4] for r in runs)
             gone, used = Counter(), Counter()
