@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, seconds3, with_extension
 from .asof import late, nearest, ranked, since_previous
 
 
-def screens(manifest: DataFrame, component: str, files: DataFrame | None = None) -> DataFrame:
-    """path, t of the binary entries of one component, of files that exist."""
-    out = manifest.where((F.col("type") == "binary") & (F.col("component") == component)).select("path", micros(F.to_timestamp("captured")).alias("t"))
+def screens(manifest: DataFrame, components: list[str], files: DataFrame | None = None) -> DataFrame:
+    """path, t of the binary entries of the screen's components, of files that exist."""
+    out = manifest.where((F.col("type") == "binary") & F.col("component").isin(components)).select("path", micros(F.to_timestamp("captured")).alias("t"))
     return out if files is None else out.join(files.select("path").distinct(), "path", "left_semi")
 
 
@@ -21,6 +21,21 @@ def renders(manifest: DataFrame, fans: list[str], files: DataFrame | None = None
     return out if files is None else out.join(files.select("path").distinct(), "path", "left_semi")
 
 
+def half_of(fan: Column) -> Column:
+    """The half of the screen that shows a fan: left for a horizontal one that isn't among the third heads, else right."""
+    return F.when(fan.startswith("horizontal-h") & ~fan.startswith("horizontal-h3"), "left").otherwise("right")
+
+
+def beside(videos: DataFrame, screen: str) -> DataFrame:
+    """screen, other: the screen's video with each other one (metadata only, one row for each video)."""
+    return videos.where(F.col("video") != screen).select(F.lit(screen).alias("screen"), F.col("video").alias("other")).distinct()
+
+
+def with_detections(frames: DataFrame, detected: DataFrame) -> DataFrame:
+    """frames with the detections of their path, which many frames may share; null where a path has none."""
+    return frames.join(detected.select("path", "detections"), "path", "left")
+
+
 def first_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in that order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")

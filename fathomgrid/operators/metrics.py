@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import gray_floor
+
 BINS = 72
 LEVELS = 256
 N_THETA = 256
@@ -95,6 +97,41 @@ def angular_profile(pixels: DataFrame, by: list[str], cx: float, cy: float, bins
     return pixels.select(*by, k.alias("bin"), "u").groupBy(*by, "bin").agg(F.sum("u").alias("mass"))
 
 
+def enough(pixels: DataFrame, by: list[str], least: int = 200) -> DataFrame:
+    """by of the groups of at least so many pixels."""
+    return pixels.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*by)
+
+
+def circular_peaks(a: DataFrame, b: DataFrame, by: list[str], bins: int = N_THETA) -> DataFrame:
+    """by, offset_deg, peak: the turn of b's profile (by, bin, mass) that fits a's best, clockwise in (-180, 180], and the
+    normalised correlation there; the least turn of equals to nine places. Profiles may lack empty bins; without variance
+    on a side offset_deg is null and peak 0.
+
+    All pairs of a group's bins meet, a fixed number; a turn's products are summed as they come."""
+
+    def centred(profile: DataFrame, name: str) -> DataFrame:
+        full = dense(profile.select(*by, "bin", F.col("mass").alias("n")), by, bins)
+        return full.select(*by, F.col("bin").alias(f"bin_{name}"), (F.col("n") - F.avg("n").over(Window.partitionBy(*by))).alias(name))
+
+    x, y = centred(a, "x"), centred(b, "y")
+    norms = x.groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias("xx")).join(y.groupBy(*by).agg(F.sum(F.col("y") * F.col("y")).alias("yy")), by)
+    turn = F.pmod(F.col("bin_x") - F.col("bin_y"), F.lit(bins))
+    sums = x.join(y, by).groupBy(*by, turn.alias("turn")).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    scale = F.sqrt(F.col("xx") * F.col("yy"))
+    rated = sums.join(norms, by).select(*by, "turn", F.when(scale > 0, F.round(F.col("xy") / scale, 9)).alias("c"))
+    best = rated.groupBy(*by).agg(F.max_by("turn", F.struct("c", -F.col("turn"))).alias("turn"), F.max("c").alias("c"))
+    degrees = F.when(F.col("turn") <= bins // 2, F.col("turn")).otherwise(F.col("turn") - bins) * (360.0 / bins)
+    return best.select(*by, F.when(F.col("c").isNotNull(), degrees).alias("offset_deg"), F.coalesce("c", F.lit(0.0)).alias("peak"))
+
+
+def over_cutoffs(pixels: DataFrame, by: list[str], cutoffs: list[float]) -> DataFrame:
+    """by, cutoff (dB), kept_px, mass: of pixels (gray), those at a cutoff's gray value and over, and their sum, for each."""
+    table = F.array(*(F.struct(F.lit(float(c)).alias("cutoff"), F.lit(gray_floor(c)).alias("least")) for c in cutoffs))
+    rows = pixels.select(*by, "gray", F.explode(table).alias("c"))
+    kept = F.col("gray") >= F.col("c.least")
+    return rows.groupBy(*by, F.col("c.cutoff").alias("cutoff")).agg(F.count_if(kept).alias("kept_px"), F.coalesce(F.sum(F.when(kept, F.col("gray"))), F.lit(0)).alias("mass"))
+
+
 def radial_peaks(cells: DataFrame, by: list[str], window: int, value: str = "v", sample: str = "s") -> DataFrame:
     """The cells that no cell within `window` samples on the same beam exceeds; equal neighbours all stay."""
     near = Window.partitionBy(*by).orderBy(sample).rangeBetween(-window, window)

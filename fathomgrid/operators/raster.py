@@ -215,9 +215,12 @@ def ramp_table(ramp: list[tuple[float, float, float, float]] | None = None) -> n
     """The colour (red, green, blue) of each gray value."""
     stops = np.array(ramp if ramp and len(ramp) >= 2 else RAMP, np.float64)
     t = (np.arange(256) / 255 * COLOR_STEPS).astype(np.int64) / COLOR_STEPS
-    # before the first stop the ramp goes on along its first piece
     out = np.stack([np.interp(t, stops[:, 0], stops[:, k]) for k in (1, 2, 3)], 1)
-    return _round(out).astype(np.uint8)
+    # before the first stop the ramp goes on along its first piece
+    before = t < stops[0, 0]
+    slope = (stops[1, 1:] - stops[0, 1:]) / (stops[1, 0] - stops[0, 0])
+    out[before] = stops[0, 1:] + (t[before] - stops[0, 0])[:, None] * slope
+    return _round(out).clip(0, 255).astype(np.uint8)
 
 
 def rendered(pings: DataFrame, size: int = SIZE, style: Style | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -7,33 +7,17 @@ price an amplitude. Doubles are rounded on both sides, since engines add in diff
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
-from ..operators import asof, detect, fold, frames, masks, metrics, palette, raster, sweep
+from ..operators import asof, detect, fold, frames, masks, metrics, palette, raster, regions, sweep
 from ..sources import ranges, records
+from ..sources.shared import kept, shared_folder
 from ..streaming import folds
+from .registry import query, r6, table
 
 SCREEN, FANS = "error", ["click", "purchase", "signup", "view"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +30,6 @@ def screen(e: DataFrame) -> DataFrame:
     return e.where(F.col("stream") == SCREEN)
 
 
-def r6(x: Column | str, name: str, places: int = 6) -> Column:
-    return F.round(x, places).alias(name)
-
-
 _EVENTS = "e as (select event_id as id, epoch_us(ts) as t, event_type as stream, value, cast(json_extract_string(props, '$.k') as bigint) as n, ts from events)"
 _FANS = ", ".join(f"('{s}')" for s in FANS)
 
@@ -347,7 +327,7 @@ def fan_extent(spark, sf_dir):
 
 @query(f"""
 with x as (select *, s_acctbal / 100000 as dlon, (s_suppkey % 360) as heading from supplier),
-o as (select s_suppkey, heading, dlon * 111320.0 * cos(radians((44.0 + 44.001) / 2)) as east, (44.001 - 44.0) * 111320.0 as north from x)
+o as (select s_suppkey, heading, dlon * 111320.0 * cos(radians((44.0 + 44.001) / 2)) as east, (44.001 - 44.0)::double * 111320.0 as north from x)
 select s_suppkey, round(east, 4) as east, round(north, 4) as north, round(east * cos(radians(heading)) - north * sin(radians(heading)), 4) as lateral, round(east * sin(radians(heading)) + north * cos(radians(heading)), 4) as forward from o""")
 def pose_offsets(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("heading", F.col("s_suppkey") % 360)
@@ -439,11 +419,22 @@ def ping_filter(spark, sf_dir):
 
 @query()
 def component_matching(spark, sf_dir):
-    """Each hour's picture of the screen against the nearest one of a fan, within an hour."""
-    s = _signals(spark, sf_dir).select("stream", "t", F.col("t").alias("id"), "signal")
-    met = asof.nearest(s.where(F.col("stream") == SCREEN), s.where(F.col("stream") != SCREEN), FANS, "earlier", asof.HOUR, 24 * asof.HOUR).where("found is not null")
-    pairs = met.select(F.concat_ws("-", F.col("driver.t").cast("string"), "stream").alias("pair"), F.lit(48).alias("h"), F.lit(48).alias("w"), F.col("driver.signal").alias("target"), F.lit(48).alias("render_h"), F.lit(48).alias("render_w"), F.col("found.signal").alias("render"))
-    return masks.pairs_matched(pairs, 0.1, 0.9, [0.3, 0.5, 0.7], 2, 4).drop("components")
+    """Each hour's picture of the screen against the nearest one of each fan, within a day: how their masks match."""
+    s = kept(_signals(spark, sf_dir).select("stream", "t", "signal"), "signals")
+    ids = s.select("stream", "t", F.col("t").alias("id"))
+    # times are aligned first; pictures are fetched by (stream, t) afterwards
+    met = asof.nearest(ids.where(F.col("stream") == SCREEN), ids.where(F.col("stream") != SCREEN), FANS, "earlier", asof.HOUR, 24 * asof.HOUR).where("found is not null")
+    met = met.select(F.concat_ws("-", F.col("driver.t").cast("string"), "stream").alias("pair"), F.array(F.struct(F.lit("target").alias("side"), F.lit(SCREEN).alias("stream"), F.col("driver.t").alias("t")), F.struct(F.lit("render").alias("side"), F.col("stream").alias("stream"), F.col("found.t").alias("t"))).alias("of"))
+    wanted = met.select("pair", F.explode("of").alias("of")).select("pair", "of.*").join(s, ["stream", "t"])
+    pixels = kept(regions.pixel_rows(wanted, ["pair", "side"], "signal", F.lit(48)).select("pair", "side", "y", "x", (F.col("c0") / 255).alias("u")), "pixels")
+    mask = kept(masks.matched(regions.labelled(masks.masked(pixels, 0.1, 0.9, 48, 48), masks.BY), 2), "mask")
+    parts = kept(masks.components(mask, [0.3, 0.5, 0.7]), "components")
+    big, kept_parts = masks.large(mask, parts, 4)
+    feet = kept(masks.footprints(big, 2), "footprints")
+    shares = mask.groupBy("pair").agg(*(F.count_if((F.col("side") == k) & m).alias(f"{k}_{n}") for k in ("target", "render") for n, m in (("px", F.lit(True)), ("matched", F.col("matched")))))
+    joined = masks.clusters(feet).groupBy("pair").agg(F.count("*").alias("clusters"), F.sum("renders").alias("renders"), F.sum("targets").alias("targets"))
+    seen = masks.deltas(kept_parts, feet, [0.3, 0.5, 0.7]).groupBy("pair").agg(F.count("*").alias("components"), F.round(F.avg("delta_db"), 6).alias("delta_db"))
+    return shares.join(joined, "pair", "left").join(seen, "pair", "left")
 
 
 @query("""
@@ -452,7 +443,7 @@ n as (select *, case when x - lag(x) over (partition by frame, y order by x) = 1
 select frame, y, x, max(case when new = 1 then x end) over (partition by frame, y order by x) as run from n""")
 def pixel_runs(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("y"), F.col("l_quantity").cast("int").alias("x")).distinct()
-    return masks.touching(c)
+    return regions.runs(c, ["frame"])
 
 
 @query("""
@@ -468,17 +459,10 @@ def stream_fold(spark, sf_dir):
     import uuid
 
     spark.conf.set(*folds.STATE_STORE)
-    out = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path isn't a file
     rows = rows.select(F.col("event_type").alias("stream"), scalars.micros(F.col("ts")).alias("t"), F.col("event_id").alias("id"), F.col("value").alias("x"))
     job = folds.smoothed_stream(rows, scalars.BLEND["medium"]).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("stream", "id", r6("y", "y"))
-
-
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-

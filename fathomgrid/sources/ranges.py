@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 #: Longest request, usual window, and the shortest that a window is halved to.
 LONGEST, WINDOW, SHORTEST = timedelta(days=3), timedelta(minutes=5), timedelta(seconds=30)
@@ -96,8 +96,54 @@ class _Reader(DataSourceReader):
         yield from rows
 
 
+class PageSource(DataSource):
+    """A stream of pages. Options: client (`module:function`, called as function(resource, token) -> (rows, next token or
+    None)), resources (comma), schema. The offset of the stream is each resource's next token, so that Spark's checkpoint
+    is the record of progress: a restarted stream goes on where it stopped, and reads a page again if it wasn't committed.
+    A resource whose last page has been read gives nothing more."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pages"
+
+    def schema(self) -> str:
+        return self.options["schema"]
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Pages(self.options)
+
+
+class _Pages(SimpleDataSourceStreamReader):
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def _client(self):
+        module, _, function = self.options["client"].partition(":")
+        return getattr(import_module(module), function)
+
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.options["resources"].split(","), "")
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self._pages(start)
+        return iter(rows), end
+
+    def _pages(self, start: dict) -> tuple[list[tuple], dict]:
+        rows, end = [], {}
+        for resource, token in start.items():
+            page, following = ([], None) if token is None else self._client()(resource, token)
+            rows += page
+            end[resource] = following
+        return rows, end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        rows, _ = self._pages(start)
+        return iter(rows)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RangeSource)
+    spark.dataSource.register(PageSource)
 
 
 def envelope(df: DataFrame, t: str, start, end, pad: str = "5 minutes") -> DataFrame:

@@ -67,14 +67,16 @@ def markers(documents: DataFrame) -> DataFrame:
     """marker_id, latitude, longitude, depth, is_synthetic, ts (milliseconds) of marker documents (ordinal, data: JSON text,
     received: timestamp). Readings may stand under `readings` or by themselves; rows without a numeric position go; a missing
     ts is the time received; a missing id is `reading-<ordinal>`."""
-    value = lambda k: F.coalesce(F.get_json_object("data", f"$.readings.{k}"), F.when(F.get_json_object("data", "$.readings").isNull(), F.get_json_object("data", f"$.{k}")))
-    number = lambda k: value(k).try_cast("double")
-    out = documents.select(
-        F.coalesce(F.nullif(value("marker_id"), F.lit("")), F.concat(F.lit("reading-"), F.col("ordinal").cast("string"))).alias("marker_id"),
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in ("marker_id", "latitude", "longitude", "depth", "is_synthetic", "ts")])
+    parsed = documents.withColumn("__d", F.from_json("data", T.StructType([T.StructField("readings", texts), *texts.fields])))
+    r = parsed.select("ordinal", "received", F.coalesce("__d.readings", F.struct(*(F.col(f"__d.{n}") for n in texts.names))).alias("r")).select("ordinal", "received", "r.*")
+    number = lambda k: F.col(k).try_cast("double")
+    out = r.select(
+        F.coalesce(F.nullif("marker_id", F.lit("")), F.concat(F.lit("reading-"), F.col("ordinal").cast("string"))).alias("marker_id"),
         number("latitude").alias("latitude"),
         number("longitude").alias("longitude"),
         number("depth").alias("depth"),
-        F.coalesce(value("is_synthetic").try_cast("boolean"), F.lit(False)).alias("is_synthetic"),
+        F.coalesce(F.col("is_synthetic").try_cast("boolean"), F.lit(False)).alias("is_synthetic"),
         F.coalesce(number("ts").cast("long"), F.unix_millis(F.col("received").cast("timestamp"))).alias("ts"),
     )
     return out.where("latitude is not null and longitude is not null")
@@ -85,6 +87,26 @@ def in_range(df: DataFrame, t: str, start: str, end: str) -> DataFrame:
     return df.where((F.col(t) >= F.lit(start).cast(df.schema[t].dataType)) & (F.col(t) <= F.lit(end).cast(df.schema[t].dataType)))
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a folder's manifests, files of a JSON array or of one object a line: the columns of MANIFEST as type,
+    path, captured, resource, component, each path once: the first by file and place."""
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    return entries(rows.select(F.struct("__file", "__at").alias("arrival"), *MANIFEST.names))
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """type, path, captured, resource, component of manifest rows (the columns of MANIFEST and arrival), each path once: the
+    first to arrive. An aggregate, so that a much-repeated path isn't gathered in one task."""
+    first = rows.groupBy("path").agg(F.min_by(F.struct("type", F.col("timeCaptured").alias("captured"), F.col("resourceName").alias("resource"), F.col("componentName").alias("component")), "arrival").alias("e"))
+    return first.select("e.type", "path", "e.captured", "e.resource", "e.component")
+
+
+def owners(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """parts (part_id) with robot_id and location_id of known (part_id, robot_id, location_id); null for unknown ones. Spark
+    broadcasts `known` if it is small."""
+    return parts.join(known, "part_id", "left")
+
+
 def new_files(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """wanted less those whose path is present."""
     return wanted.join(present.select("path").distinct(), "path", "left_anti")
@@ -103,8 +125,8 @@ def labels(spark: SparkSession, path: str) -> list[str]:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """path, height, width, pixels (rgb bytes) of the pictures under a folder, by Spark's image reader. Those of
-    names that begin with `_` stay out."""
-    rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(path).select("image.*")
+    names that begin with `_` stay out. One that can't be read has a height of -1 and no pixels."""
+    rows = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(path).select("image.*")
 
     def turn(batches):
         import numpy as np
@@ -112,6 +134,9 @@ def images(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for data, h, w, c in zip(batch["data"], batch["height"], batch["width"], batch["nChannels"], strict=True):
+                if h < 0:
+                    out.append(None)
+                    continue
                 p = np.frombuffer(data, np.uint8).reshape(h, w, c)
                 out.append((p[..., 2::-1] if c >= 3 else np.repeat(p, 3, 2)).tobytes())
             yield batch[["origin", "height", "width"]].rename(columns={"origin": "path"}).assign(pixels=out)

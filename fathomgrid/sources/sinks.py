@@ -56,6 +56,12 @@ def write_counts(report: DataFrame, streams: list[str], path: str) -> bool:
     return True
 
 
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """CSV and JSON of a table of metrics."""
+    metrics.write.mode("overwrite").csv(f"{path}/metrics_csv", header=True, emptyValue="")
+    metrics.write.mode("overwrite").json(f"{path}/metrics_json")
+
+
 def playback(readings: DataFrame, images: DataFrame, sonar: DataFrame) -> DataFrame:
     """One row for each entry of a playback document: kind, ts, and its JSON; documents are written in order of kind and ts
     by the reader's choice of partitions, so that no task gathers all pictures."""

@@ -6,9 +6,10 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathomgrid.functions import scalars
-from fathomgrid.operators import asof, detect, fold, masks, palette, raster, sweep
+from fathomgrid.operators import asof, detect, fold, frames, masks, palette, raster, regions, sweep
 from fathomgrid.sources import ranges, records, sinks
 
 
@@ -133,69 +134,133 @@ def test_filter_does_not_depend_on_partitions(spark):
     assert {(r["stream"], r["t"]): bytes(r["signal"]) for r in one} == {(r["stream"], r["t"]): bytes(r["signal"]) for r in two}
 
 
-def test_dilation_and_labels():
+def test_spread_and_regions(spark):
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        m = rng.random((13, 17)) < 0.3
-        want = np.zeros_like(m)
-        for dy, half in masks.ellipse(2):
-            for dx in range(-half, half + 1):
-                for y, x in zip(*np.nonzero(m), strict=True):
-                    if 0 <= y + dy < 13 and 0 <= x + dx < 17:
-                        want[y + dy, x + dx] = True
-        assert (masks.dilated(m, 2) == want).all()
-        n, lab = masks.labelled(m)
-        seen, count = np.zeros_like(m), 0
-        for y, x in zip(*np.nonzero(m), strict=True):
-            if not seen[y, x]:
-                count += 1
-                stack = [(y, x)]
-                seen[y, x] = True
-                while stack:
-                    a, b = stack.pop()
-                    assert lab[a, b] == lab[y, x]
-                    for c in range(max(0, a - 1), min(13, a + 2)):
-                        for d in range(max(0, b - 1), min(17, b + 2)):
-                            if m[c, d] and not seen[c, d]:
-                                seen[c, d] = True
-                                stack.append((c, d))
-        assert n == count == len(np.unique(lab[m])) and (lab[~m] == 0).all()
-    assert masks.labelled(np.zeros((3, 3), bool))[0] == 0
-
-
-def test_matching():
+    pictures = [rng.random((13, 17)) < 0.3 for _ in range(20)]
+    rows = [(k, int(y), int(x)) for k, m in enumerate(pictures) for y, x in zip(*np.nonzero(m), strict=True)]
+    pixels = spark.createDataFrame(rows, "pair int, y int, x int")
+    wide = {tuple(r) for r in regions.spread(pixels, ["pair"], 2).collect()}
+    assert wide == {(k, y + dy, x + dx) for k, y, x in rows for dy in range(-2, 3) for dx in range(-2, 3) if abs(dx) <= round((4 - dy * dy) ** 0.5)}
+    found = {(r["pair"], r["y"], r["x"]): r["region"] for r in regions.labelled(pixels, ["pair"]).collect()}
+    assert len(found) == len(rows)
+    left = set(found)
+    seen = set()
+    while left:
+        start = left.pop()
+        stack, group = [start], {start}
+        while stack:
+            k, y, x = stack.pop()
+            near = {(k, y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left
+            left -= near
+            group |= near
+            stack += near
+        assert len({found[p] for p in group}) == 1
+        seen.add((start[0], found[start]))
+        assert found[start] == min(y * regions.ROW + x for _, y, x in group)
+    assert len(seen) == len({(k, r) for (k, _, _), r in found.items()})
+    assert regions.labelled(pixels.limit(0), ["pair"]).count() == 0
+
+
+def _sides(spark, target, render):
+    rows = [("p", s, int(y), int(x), float(v[y, x]) / 255) for s, v in (("target", target), ("render", render)) for y, x in zip(*np.nonzero(v), strict=True)]
+    pixels = spark.createDataFrame(rows, "pair string, side string, y int, x int, u double")
+    mask = masks.matched(regions.labelled(masks.masked(pixels, 0.1, 0.9, 60, 60), masks.BY), masks.TOLERANCE)
+    big, parts = masks.large(mask, masks.components(mask, [0.6]))
+    return pixels, mask, parts, masks.footprints(big)
+
+
+def test_matching(spark):
     image = np.zeros((60, 60), np.uint8)
     image[20:26, 20:26] = 128
     image[40:44, 30:36] = 200
-    frame, comps, ratios = masks.matched_pair(image, image, 0.1, 0.9, [0.6])
-    assert frame["target_px"] == frame["target_matched"] == 60 and frame["dust_px"] == 0
-    assert [c["delta_db"] for c in comps if c["side"] == "target"] == [0, 0] and ratios == [1, 1]
-    frame, comps, ratios = masks.matched_pair(image, np.zeros_like(image), 0.1, 0.9, [0.6])
-    assert frame["target_matched"] == 0 and frame["silent"] == [36, 24] and ratios == []
+    _, mask, parts, feet = _sides(spark, image, image)
+    assert mask.where("side = 'target' and matched").count() == 60
+    assert [r["delta_db"] for r in masks.deltas(parts, feet, [0.6]).collect()] == [0, 0]
+    assert [(r["targets"], r["renders"]) for r in masks.clusters(feet).collect()] == [(1, 1), (1, 1)]
+    pixels, mask, parts, feet = _sides(spark, image, np.zeros_like(image))
+    assert mask.where("matched").isEmpty() and masks.clusters(feet).isEmpty()
+    states = {r["band"]: r["silent"] for r in masks.unmatched_states(mask, pixels, [0.6], 0.1, 0.9).collect()}
+    assert states == {0: 36, 1: 24}
     wide = np.zeros((60, 60), np.uint8)
     wide[20:26, 14:32] = 128
     two = np.zeros((60, 60), np.uint8)
     two[20:26, 14:20] = two[20:26, 26:32] = 128
-    assert masks.matched_pair(two, wide, 0.1, 0.9, [0.6])[2] == [0.5]
-    assert masks.matched_pair(wide, two, 0.1, 0.9, [0.6])[2] == [2.0]
-
-
-def test_palette():
-    colors = np.array([[0, 0, 255]] * 60 + [[0, 255, 0]] * 60 + [[255, 255, 0]] * 60 + [[255, 0, 0]] * 76, np.uint8)
-    bands, edges = palette.bands(colors, 0.1, 0.95)
-    assert [b["name"] for b in bands] == ["blue", "green", "yellow", "red"] and len(edges) == 5
-    assert not bands[0]["invertible"]
-    assert [b["name"] for b in palette.bands(np.full((256, 3), 7, np.uint8), 0.1, 0.9)[0]] == ["q1", "q2", "q3", "q4"]
-    assert palette.gate(colors)[[0, 100, 150, 250]].tolist() == [False, True, True, True]
-    ramp = np.stack([np.arange(256)] * 3, 1)
-    assert palette.inverted(np.array([[10, 10, 10], [255, 0, 0]]), ramp).tolist()[0] == 10
-    assert palette.hsv(np.array([[255, 0, 0], [0, 255, 0], [0, 0, 255], [0, 0, 0]], np.uint8)).tolist() == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [0, 0, 0]]
+    for target, render, want in ((two, wide, 0.5), (wide, two, 2.0)):
+        assert masks.fragmentation(masks.clusters(_sides(spark, target, render)[3])).first()["fragmentation"] == want
+
+
+def test_palette(spark):
+    schema = "p int, idx int, r double, g double, b double"
+    colors = [(0, 0, 255)] * 60 + [(0, 255, 0)] * 60 + [(255, 255, 0)] * 60 + [(255, 0, 0)] * 76
+    rows = [(1, i, *map(float, c)) for i, c in enumerate(colors)] + [(2, i, 7.0, 7.0, 7.0) for i in range(256)]
+    table = spark.createDataFrame(rows, schema)
+    found = {}
+    for r in palette.bands(table, ["p"], 0.1, 0.95).orderBy("p", "band").collect():
+        found.setdefault(r["p"], []).append(r)
+    assert [r["name"] for r in found[1]] == ["blue", "green", "yellow", "red"] and not found[1][0]["invertible"]
+    assert [r["name"] for r in found[2]] == ["q1", "q2", "q3", "q4"]
+    passed = {r["idx"] for r in table.where("p = 1").where(palette.gate(F.col("r"), F.col("g"), F.col("b"))).collect()}
+    assert {100, 150, 250} <= passed and 0 not in passed
+    ramp = spark.createDataFrame([(i, float(i), float(i), float(i)) for i in range(256)], "idx int, r double, g double, b double")
+    points = spark.createDataFrame([(1, 10.0, 10.0, 10.0), (2, 255.0, 0.0, 0.0)], "k int, r double, g double, b double")
+    assert {r["k"]: r["gray"] for r in palette.inverted(points, ramp).collect()} == {1: 10, 2: 0}
+    with pytest.raises(ValueError):
+        palette.nearest_color(points, spark.range(5000).selectExpr("id as idx", "1.0 as r", "1.0 as g", "1.0 as b"), ["r", "g", "b"])
+    pure = spark.createDataFrame([(255, 0, 0), (0, 255, 0), (0, 0, 255), (0, 0, 0)], "r int, g int, b int")
+    assert {tuple(r) for r in pure.select(*palette.hsv(F.col("r"), F.col("g"), F.col("b"))).collect()} == {(0, 255, 255), (60, 255, 255), (120, 255, 255), (0, 0, 0)}
+
+
+def test_legend_bar(spark):
     screen = np.zeros((200, 400, 3), np.uint8)
     hues = np.linspace(0, 1, 200)
     screen[195:199, 50:250] = (np.stack([np.abs(hues * 6 - 3) - 1, 2 - np.abs(hues * 6 - 2), 2 - np.abs(hues * 6 - 4)], 1).clip(0, 1) * 255).astype(np.uint8)
-    bar = palette.legend_bar(screen)
-    assert bar is not None and bar.shape == (256, 3) and np.abs(bar[0] - screen[196, 50]).max() < 20
-    assert palette.legend_bar(np.zeros((100, 100, 3), np.uint8)) is None
+    rows = [("a", 200, 400, screen.tobytes()), ("none", 100, 100, bytes(30_000))]
+    out = palette.bars(spark.createDataFrame(rows, "path string, height int, width int, pixels binary")).orderBy("idx").collect()
+    assert len(out) == 256 and {r["path"] for r in out} == {"a"}
+    want = screen[196, 50:250].astype(int)
+    for r in out:
+        assert np.abs(np.array([r["r"], r["g"], r["b"]]) - want[round(r["idx"] * 199 / 255)]).max() < 20
+
+
+def test_pictures_on_another_grid(spark):
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 2, (12, 18)) * rng.random((12, 18))
+    rows = [(int(y), int(x), float(image[y, x])) for y, x in zip(*np.nonzero(image), strict=True)]
+    out = np.zeros((4, 6))
+    for r in regions.regridded(spark.createDataFrame(rows, "y int, x int, u double"), [], (12, 18), (4, 6)).collect():
+        out[r["y"], r["x"]] = r["u"]
+    assert np.allclose(out, image.reshape(4, 3, 6, 3).mean((1, 3)))
+    data = rng.integers(0, 3, (5, 7), dtype=np.uint8)
+    pixels = regions.pixel_rows(spark.createDataFrame([(1, data.tobytes())], "k int, d binary"), ["k"], "d", F.lit(7)).collect()
+    assert {(r["y"], r["x"], r["c0"]) for r in pixels} == {(int(y), int(x), int(data[y, x])) for y, x in zip(*np.nonzero(data), strict=True)}
+
+
+def test_ramp_goes_on_below_its_first_stop():
+    table = raster.ramp_table([(0.5, 100, 0, 50), (0.75, 150, 50, 50), (1.0, 200, 100, 50)])
+    assert table[0].tolist() == [0, 0, 50] and table[255].tolist() == [200, 100, 50]
+    assert 40 <= table[64][0] <= 60
+
+
+def test_page_stream_goes_on_after_a_restart(spark, tmp_path):
+    ranges.register(spark)
+    for _ in range(4):  # each start reads a page of each resource, from where the one before stopped
+        rows = spark.readStream.format("pages").options(client="tests.pages_client:read", resources="a,b", schema="stream string, n int").load()
+        job = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
+        job.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("a", 1), ("a", 2), ("a", 3), ("b", 9)]
+
+
+def test_metric_files(spark, tmp_path):
+    sinks.write_metrics(spark.createDataFrame([("x", 1.5), ("y", None)], "name string, emd double"), str(tmp_path))
+    assert spark.read.json(str(tmp_path / "metrics_json")).count() == spark.read.csv(str(tmp_path / "metrics_csv"), header=True).count() == 2
+
+
+def test_manifests(spark, tmp_path):
+    (tmp_path / "m.json").write_text('[{"type": "binary", "path": "a.jpg", "timeCaptured": "2024-01-01T00:00:00Z", "componentName": "c0"}, {"type": "tabular", "path": "b.json", "timeCaptured": "2024-01-01T00:00:01.5Z", "resourceName": "f1"}, {"type": "binary", "path": "a.jpg", "timeCaptured": "2025-01-01T00:00:00Z", "componentName": "c1"}]')
+    m = records.manifest(spark, str(tmp_path / "m.json"))
+    assert {(r["path"], r["component"]) for r in m.collect()} == {("a.jpg", "c0"), ("b.json", None)}
+    assert [r["path"] for r in frames.screens(m, ["c0", "c1"]).collect()] == ["a.jpg"]
+    assert [(r["path"], r["t"] % 10_000_000) for r in frames.renders(m, ["f1"]).collect()] == [("b.png", 1_500_000)]
 
 
 def test_detection(spark):

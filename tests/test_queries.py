@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from fathomgrid.plans import queries
+from fathomgrid.plans import pictures, queries  # noqa: F401
+from fathomgrid.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -25,13 +26,13 @@ def plain(rows):
     return sorted((tuple(map(fix, r)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = df.collect()
     assert rows
-    if name in queries.SQL:
-        found = con.execute(queries.SQL[name])
+    if name in SQL:
+        found = con.execute(SQL[name])
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(df.columns)
         at = [df.columns.index(c) for c in columns]
@@ -39,8 +40,8 @@ def test_query(spark, con, name):
 
 
 def test_stream_equals_batch(spark):
-    batch = {(r["stream"], r["id"]): r["y"] for r in queries.QUERIES["ema_fold"](spark, SF).collect()}
-    stream = {(r["stream"], r["id"]): r["y"] for r in queries.QUERIES["stream_fold"](spark, SF).collect()}
+    batch = {(r["stream"], r["id"]): r["y"] for r in QUERIES["ema_fold"](spark, SF).collect()}
+    stream = {(r["stream"], r["id"]): r["y"] for r in QUERIES["stream_fold"](spark, SF).collect()}
     assert batch.keys() == stream.keys() and all(abs(batch[k] - stream[k]) < 1e-5 for k in batch)
 
 
