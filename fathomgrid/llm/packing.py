@@ -105,10 +105,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
 
 #: Rows of a range, at least; with more rows than that for each shuffle partition, ranges grow.
-RANGE = 1 << 15
+RANGE = 1 << 18
 #: Kinds of rows that a sweep gives out: a gap and a piece left over, a match, and a task's counts.
 GAP, PIECE, MATCH, COUNTS = range(4)
-_SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long"
+_SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long, total long"
 
 
 def matches(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +122,13 @@ def matches(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[met], b[met]
 
 
-def swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
-    """The outcome of each range's sweep over pieces (number, size) and gaps (sequence, gap), as rows of _SWEPT.
+def swept(pieces: DataFrame, gaps: DataFrame, most: int) -> DataFrame:
+    """The outcome of each range's sweep over pieces (number, size) and gaps (sequence, gap), `most` rows or fewer, as rows
+    of _SWEPT.
 
-    `place` is a left-over piece's rank in its range from the largest on, a left-over gap's from the smallest on. A task
-    holds a range, of which Spark sets the size, as three numbers a row."""
+    `place` is a left-over piece's rank in its range from the largest on, a left-over gap's from the smallest on. A task's
+    counts are those of left-over pieces, their tokens, left-over gaps and matches. A task holds a range as three numbers
+    a row."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -140,19 +142,21 @@ def swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
         free[a] = open_[b] = False
         free, open_ = np.flatnonzero(free), np.flatnonzero(open_)
 
-        def rows(kind: int, n: int, number, size, sequence, gap, place) -> pa.RecordBatch:
+        def rows(kind: int, n: int, number, size, sequence, gap, place, total=None) -> pa.RecordBatch:
             fill = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind), pa.int32()), fill(number, pa.int64()), fill(size, pa.int32()), fill(sequence, pa.int64()), fill(gap, pa.int32()), pa.array(np.full(n, part), pa.int32()), fill(place, pa.int64())],
-                names=["kind", "number", "size", "sequence", "gap", "part", "place"],
+                [pa.array(np.full(n, kind), pa.int32()), fill(number, pa.int64()), fill(size, pa.int32()), fill(sequence, pa.int64()), fill(gap, pa.int32()), pa.array(np.full(n, part), pa.int32()), fill(place, pa.int64()), fill(total, pa.int64())],
+                names=["kind", "number", "size", "sequence", "gap", "part", "place", "total"],
             )
 
         yield rows(MATCH, len(a), number[b], size[b], number[a], size[a], None)
         yield rows(PIECE, len(open_), number[open_], size[open_], None, None, np.arange(len(open_)))
         yield rows(GAP, len(free), None, None, number[free], size[free], np.arange(len(free))[::-1].copy())
-        yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)])
+        yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)], [int(size[open_].sum(dtype=np.int64))])
 
     items = pieces.select("size", F.lit(PIECE).alias("kind"), "number").union(gaps.select("gap", F.lit(GAP), "sequence"))
+    if most <= RANGE:
+        return items.repartition(1).sortWithinPartitions(F.desc("size"), "kind", "number").mapInArrow(sweep, _SWEPT)
     table, ranges = _ranges(items)
     part = F.col("first") + F.pmod(F.xxhash64("number"), F.col("ranges"))
     dealt = items.join(table, ["size", "kind"]).select("size", "kind", "number", part.cast("int").alias("part"))
@@ -222,18 +226,20 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out: list[DataFrame] = []
     gaps, small = none, []
     pieces = sizes.limit(0)
+    most = sizes.count()
     for least in (math.ceil(capacity * FIRST), 0):
         last = least == 0
         pieces = pieces.union(sizes.where(F.col("size") < math.ceil(capacity * FIRST)) if last else sizes.where(F.col("size") >= least))
         for x in small if last else []:
             gaps = gaps.union(x)
         while True:
-            step = stored(swept(pieces, gaps), "sweep")
-            counts = sorted((r["part"], r["number"], r["sequence"], r["place"]) for r in step.where(F.col("kind") == COUNTS).collect())
+            step = stored(swept(pieces, gaps, most), "sweep")
+            counts = sorted((r["part"], r["number"], r["sequence"], r["place"], r["total"]) for r in step.where(F.col("kind") == COUNTS).collect())
             runs = carried([c[:3] for c in counts])
             met = stored(_met(step, runs).coalesce(n_partitions(spark) // 8 + 1), "carried") if runs else None
             n_pieces = sum(c[1] + c[3] for c in counts)
             n_met = sum(c[3] for c in counts) + sum(r[4] for r in runs)
+            most -= n_met  # a match leaves a gap, or none
             gone, used = Counter(), Counter()
             for part, _, other, _, n in runs:
                 gone[part] += n
@@ -241,8 +247,9 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             opened: Counter = Counter()
             rest = step.where((F.col("kind") == PIECE) & (F.col("place") >= _by_part(gone)))
             if n_met < n_pieces and n_met < BUSY * n_pieces and (last or not n_met):
-                need = -(-rest.agg(F.sum("size")).first()[0] // capacity)
-                for part, n, _, _ in counts:
+                tokens = rest.agg(F.sum("size")).first()[0] if runs else sum(c[4] for c in counts)
+                need = -(-tokens // capacity)
+                for part, n, *_ in counts:
                     opened[part] = min(need, n - gone[part])
                     need -= opened[part]
             fresh = rest.where(F.col("place") < _by_part(gone + opened)).select("number", "size", F.col("number").alias("sequence"), F.lit(capacity).alias("gap"))

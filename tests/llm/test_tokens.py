@@ -138,11 +138,13 @@ def best_fit_decreasing(sizes, cap):
 
 
 @pytest.mark.parametrize("kind", ["uniform", "large", "small", "equal"])
-def test_placed_fills_no_sequence_over_and_nearly_as_few_as_best_fit(spark, kind):
+@pytest.mark.parametrize("rows", [packing.RANGE, 100])
+def test_placed_fills_no_sequence_over_and_nearly_as_few_as_best_fit(spark, kind, rows, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", rows)  # with 100 there are many ranges
     rng, cap = random.Random(9), 512
     draw = {"uniform": lambda: rng.randint(1, cap), "large": lambda: rng.randint(150, 280), "small": lambda: rng.choice([1, 2, 3, 5, 40, 300]), "equal": lambda: 171}[kind]
     sizes = [draw() for _ in range(700)]
-    path = f"{spark.conf.get('spark.checkpoint.dir')}/sizes-{kind}"
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/sizes-{kind}-{rows}"
     spark.createDataFrame(list(enumerate(sizes)), "number long, size int").write.mode("overwrite").parquet(path)
     out = packing.placed(spark.read.parquet(path), cap).collect()
     assert sorted(r["number"] for r in out) == list(range(700))
