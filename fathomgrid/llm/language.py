@@ -1,11 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counting and scoring run in Arrow batches inside Spark tasks; Spark shuffles and sums the counts. The matrix of
-log-probabilities (buckets x languages) has a fixed number of buckets and is broadcast. Weights are fixed-point
-integers, so that a text's score doesn't depend on what else is in its batch.
-
-Defined cases: a null or empty text, or one without a letter, is `und` with score 0. Rows whose label is null teach
-nothing. With no labelled row at all every text is `und`. `keep_known` also takes a text for unknown that is less likely
+log-probabilities (buckets x languages) has a fixed number of buckets and is broadcast; languages are the MOST labels with
+the most texts, so that dirty labels can't swell it. Weights are fixed-point integers, so that a text's score doesn't
+depend on what else is in its batch.
+
+Defined cases: a null or empty text, or one without a letter, is `und` with score 0. A text of any length is read to its
+end. Rows whose label is null, or not among the MOST, teach nothing. With no labelled row at all, or an empty table, every
+text is `und`. Of equally likely languages the first by name is predicted; labels of equally many texts are taken by name.
+Repeated rows teach each. `keep_known` also takes a text for unknown that is less likely
 in its best language than that language's own n-grams are by FLOOR nats a gram. Texts under SHORT characters are too short
 for that, and keep their best language. Equal texts get equal results. Columns besides the named
 ones are ignored by `predict` and carried by `keep_known`.
@@ -26,6 +29,8 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SCALE = 1 << 16
 UNKNOWN = "und"
+#: Languages that are learnt, at most.
+MOST = 256
 #: Nats for each n-gram that a text may fall short of its language's expected log-likelihood, and characters to be judged by it.
 FLOOR, SHORT = 1.3, 30
 _MIX = np.uint32(0x9E3779B1)
@@ -47,8 +52,14 @@ def gram_buckets(points: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS
         yield bucket
 
 
-def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """lang, bucket, n: n-gram counts of all labelled texts."""
+def languages(docs: DataFrame, most: int = MOST) -> list[str]:
+    """The labels with the most texts, `most` of them or fewer."""
+    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
+    return sorted(r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect())
+
+
+def gram_counts(docs: DataFrame, langs: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """lang, bucket, n: n-gram counts of all texts with one of the labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[str, np.ndarray] = {}
@@ -66,7 +77,7 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             at = np.flatnonzero(tally)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(tally[at], pa.int64())})
 
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    labelled = docs.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).select("text", "lang")
     return labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -85,7 +96,10 @@ class Model:
 
 def train(docs: DataFrame, buckets: int = BUCKETS) -> Model:
     """The model of all rows with text and lang. One column of `buckets` numbers for each language comes to the driver."""
-    rows = gram_counts(docs, buckets).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("found")).collect()
+    langs = languages(docs)
+    if not langs:
+        return Model([], np.zeros((buckets, 0), np.int64))
+    rows = gram_counts(docs, langs, buckets).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("found")).collect()
     rows.sort(key=lambda r: r["lang"])
     counts = np.zeros((buckets, len(rows)), np.int64)
     for i, r in enumerate(rows):
