@@ -4,15 +4,19 @@ Text is normalised and split as the tokenizer file says; each piece is then enco
 parts are short, the parts are encoded, and neighbours are joined: tokens around a join are encoded again in a window
 that grows until both of its ends agree with the tokens outside. Agreement is exact: a token sequence is the encoding of
 its text if and only if every two neighbours alone encode to themselves. Texts over LONG code points are cut into
-blocks that Spark encodes in parallel, and the blocks of a text are joined in the same way.
+blocks that Spark encodes in parallel, and the blocks of a text are joined in the same way. A text with characters that
+aren't plain is cut before small and capital letters that follow a blank, where nothing that the file does to text reaches
+across; what is plain between such cuts is cut further.
 
-Defined cases: null and empty texts have no ids. Special tokens' strings in a text become their ids. Equal texts have
+Defined cases: null and empty texts have no ids. A text of any length is encoded whole. Repeated rows are encoded each. An
+empty table gives an empty result. Ties between merges are the file's: the lowest rank, then the leftmost. Special tokens' strings in a text become their ids. Equal texts have
 equal ids. Other columns of docs are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -39,6 +43,8 @@ _PLAIN = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]|<\|")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: The pieces of a lower-cased plain word.
 split = _PIECE.findall
+#: Where a text can be cut whatever its characters: after a blank and before a letter of ASCII.
+_SAFE = re.compile(r"(?<=[\t\n\x0b\x0c\r\x20])(?=[A-Za-z])")
 _SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 
 
@@ -117,6 +123,8 @@ class Codec:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The leftmost pair of lowest rank is merged until none is left."""
+        if len(symbols) > 4 * LEAF:
+            return self._merged_by_heap(symbols)
         symbols, get = list(symbols), self.ranks.get
         ranks = [get(p, NEVER) for p in zip(symbols, symbols[1:], strict=False)]
         while ranks and (lowest := min(ranks)) != NEVER:
@@ -129,6 +137,26 @@ class Codec:
                 ranks[at] = get((symbols[at], symbols[at + 1]), NEVER)
         return symbols
 
+    def _merged_by_heap(self, symbols: list[int]) -> list[int]:
+        """The same for many symbols, in about linear time: pairs wait in a heap, and symbols know their neighbours."""
+        symbols, n = list(symbols), len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := self.ranks.get((symbols[i], symbols[i + 1]), NEVER)) != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= n or self.ranks.get((symbols[i], symbols[j])) != rank:
+                continue  # one of the pair has been merged with another since
+            symbols[i], symbols[j] = self.results[rank], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (r := self.ranks.get((symbols[a], symbols[b]), NEVER)) != NEVER:
+                    heapq.heappush(heap, (r, a))
+        return [x for x in symbols if x >= 0]
+
     def _agrees(self, a: int, b: int) -> bool:
         return self.merged([*self.symbols(a), *self.symbols(b)]) == [a, b]
 
@@ -142,7 +170,7 @@ class Codec:
         size = 1
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
-            window = self.encoded([s for t in (*left[a:], *right[:b]) for s in self.symbols(t)])
+            window = self.merged([s for t in (*left[a:], *right[:b]) for s in self.symbols(t)])
             if (a == 0 or self.agrees(left[a - 1], window[0])) and (b == len(right) or self.agrees(window[-1], right[b])):
                 left[a:] = window
                 left.extend(right[b:])
@@ -283,11 +311,26 @@ def parts(text: str, size: int = BLOCK) -> Iterator[tuple[str, bool, bool]]:
         yield text[at:], False, False
 
 
+def any_parts(text: str, size: int = BLOCK) -> Iterator[tuple[str, bool, bool]]:
+    """The parts of any text, as of `parts`: runs between safe cuts that aren't plain are parts as they are."""
+    if not _PLAIN.search(text):
+        yield from parts(text.lower(), size)
+        return
+    at = 0
+    cuts = [m.start() for m in _SAFE.finditer(text)]
+    for k, cut in enumerate([*cuts, len(text)]):
+        following = cuts[k + 1] if k + 1 < len(cuts) else len(text)
+        if cut == len(text) or following - at > size and cut > at:
+            run = text[at:cut]
+            at = cut
+            if run:
+                yield from [(run, False, False)] if _PLAIN.search(run) else parts(run.lower(), size)
+
+
 def _long_digests(docs: DataFrame, path: str, block: int) -> DataFrame:
     """Digest columns of texts over LONG: their parts are encoded in parallel and joined again.
 
     A row is known by a number that Spark gives it; the parts of a text, which came in one row, meet in one group.
-    A text with characters that aren't plain is one part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     part_type = f"doc_id {kind}, key long, part int, after boolean, before boolean"
@@ -295,8 +338,7 @@ def _long_digests(docs: DataFrame, path: str, block: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                plain = not _PLAIN.search(text)
-                for k, (part, after, before) in enumerate(parts(text.lower(), block) if plain else [(text, False, False)]):
+                for k, (part, after, before) in enumerate(any_parts(text, block)):
                     yield pa.RecordBatch.from_arrays([pa.array([doc], batch.schema.field(0).type), pa.array([key], pa.int64()), pa.array([k], pa.int32()), pa.array([after]), pa.array([before]), pa.array([part], pa.string())], names=["doc_id", "key", "part", "after", "before", "text"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
