@@ -11,8 +11,8 @@ The sample holds as many texts as the weights expect to be target-like, and take
 noise. The noise is a hash of id and text, so a sample can be repeated. The cut is found by an exact radix search over
 counts; texts with the very same key at the cut stay together.
 
-Defined cases: a null text counts as empty; an empty text has no feature and weight 0. Repeated rows share their noise,
-so they stay or go together. Null ids are ordinary values. If no label marks a good text, every weight is 0 and all
+Defined cases: a null text counts as empty; an empty text has no feature and weight 0. A text of any length is read to its
+end. Repeated rows share their noise, so they stay or go together. Null ids are ordinary values. If no label marks a good text, every weight is 0 and all
 rows stay. An empty table gives an empty result. Other columns of docs are carried by `keep_good`; clashing names in
 labels don't matter, since only its id and label columns are used.
 """
@@ -298,9 +298,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are sampled, with all their columns. Only weights are kept between the passes over texts."""
+    """The rows of docs that are sampled, with all their columns. Rows are stored with their weights, so that texts are
+    scored once."""
     ratios = fitted(docs, labels)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _draw().alias("draw"), "text")
-    weights = weighed(rows, ratios, ["row", "draw"])
-    low, size = cut(stored(weights.select("log_weight", "draw"), "weights"))
+    weights = stored(weighed(rows, ratios, ["row", "draw"]), "weights")
+    low, size = cut(weights.select("log_weight", "draw"))
     return _keyed(weights).where((F.col("__key") >= low) & F.lit(size > 0)).select("row.*")

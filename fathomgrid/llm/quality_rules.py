@@ -6,7 +6,8 @@ Everything is DataFrame and SQL functions. Texts are read once, into measures an
 compared by 64-bit hashes of their words within a text.
 
 Defined cases: a null or empty text has no words, and fails the base rules as any text of under 50 words. Null ids and
-repeated rows are judged like others. An empty table gives an empty result. Columns besides doc_id and text are ignored.
+repeated rows are judged like others. A text of any length is measured whole. A posterior probability just at the limit is
+good. An empty table gives an empty result. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations

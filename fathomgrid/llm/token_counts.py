@@ -8,7 +8,8 @@ are counted alone.
 
 The vocabulary is that of a sentencepiece file (pieces and scores), used as a unigram model. The piece that stands for
 unknown characters is never matched in a text. Defined cases: a null or
-empty text has no tokens. Rows keep their number and order of columns doc_id, n_tokens; other columns are ignored.
+empty text has no tokens. A text of any length is counted whole. Repeated rows and null ids are counted each. An empty
+table gives an empty result. Rows keep their number and order of columns doc_id, n_tokens; other columns are ignored.
 """
 
 from __future__ import annotations

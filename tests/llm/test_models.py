@@ -339,3 +339,17 @@ def test_quality_rules_find_junk(spark):
     out = quality_rules.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").where("not base_failed")
     assert out.where("quality = 1 and not kept").count() <= 2
     assert out.where("quality = 0 and kept").count() <= 0.2 * out.where("quality = 0").count()
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(["one two three"] * 5, "en") + rows(["un deux trois"] * 4, "fr") + rows(["x y"] * 1, "dirty") + rows(["y z"], "b"), SCHEMA)
+    assert language.languages(docs, 3) == ["b", "en", "fr"]
+    monkeypatch.setattr(language.languages, "__defaults__", (2,))
+    assert language.train(docs).langs == ["en", "fr"]
+    out = language.identify(docs.selectExpr("*", "'x' as lang_pred", "1 as held_out", "2 as score")).collect()
+    assert len(out) == 11 and {r["lang_pred"] for r in out} <= {"en", "fr"}
+
+
+def test_quality_rules_with_clashing_columns(spark, odd):
+    wide = odd.selectExpr("*", "1 as n_words", "2 as kept", "3 as w", "4 as t")
+    assert quality_rules.judged(wide).count() == odd.count()

@@ -177,3 +177,41 @@ def test_pack(spark, library):
     total = int(out.length.sum())
     assert out.sequence_id.nunique() <= 1.02 * -(-total // 2048) + 1
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_long_texts_of_any_characters_are_cut_and_joined(spark, library):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["a", "Be", "é", "中", "Σ", "'s", "1", "́", "ß", "<|", "x" * 90]) for _ in range(rng.randint(1, 5)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 300))) for _ in range(25)] + ["plain words " * 400 + "中 and " + "more plain words " * 400, "中" * 3000]
+    for t in texts:
+        parts = list(bpe.any_parts(t, 100))
+        assert len(parts) > 1 or len(t) < 400 or " " not in t
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in bpe.digests(docs, long=200, block=100).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert (out[i]["n_tokens"], out[i]["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_token_counts_of_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "one two", "x"), (1, "one two", "x"), (None, "one two", "x"), (2, None, "x")], "doc_id long, text string, n_tokens string")
+    out = sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(docs).collect()), key=repr)
+    n = out[0][1]
+    assert n > 0 and out == [(1, n), (1, n), (2, 0), (None, n)]
+
+
+def test_pack_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two", 3), (2, None, 4)], "doc_id long, text string, piece int").selectExpr("*", "1 as number", "2 as size", "'x' as sequence_id")
+    assert sorted(r["doc_id"] for r in packing.pack(docs).collect()) == [1, 2]
+
+
+def test_merging_by_heap_equals_merging_by_scan(monkeypatch):
+    c = bpe.codec(bpe.default_path())
+    rng = random.Random(12)
+    for n in (200, 333, 1000):
+        for letters in (b"a", b"ab", b"theinra", bytes(range(256))):
+            symbols = [c.inner[rng.choice(letters)] for _ in range(n)]
+            by_heap = c.merged(symbols)
+            with monkeypatch.context() as m:
+                m.setattr(bpe, "LEAF", 10_000)
+                assert by_heap == c.merged(symbols)
