@@ -5,7 +5,12 @@ the character under it. The characters passed, step by step, are the embedded st
 strings at a small Hamming distance, as the walks meet again after an edit. A fingerprint samples the embedded string at
 each 2**level-th step, four bits of the character each; the level grows with the length, so that some hundred samples
 cover the whole text, and the samples of a level contain those of the next. Likeness is the share of equal samples.
-`near_duplicates` samples bits of fingerprints into bands, links the texts of a band to one of them and verifies.
+
+`classes` bands fingerprints by sampled digits. Places are drawn over a span of samples; a fingerprint has bands for the
+longest two spans that it fills, at its own level and, near the upper end of a level, at the next, so that two fingerprints
+whose numbers of samples are within a fifth share a span and all of its places. All members of a small band are compared.
+In a large one they are compared with one member, another for each band and round, until a round links no more; what is
+left apart there is compared pair by pair if 64 sampled bits of both are near enough. Likeness verifies each pair.
 
 Walks of many texts advance together in numpy; the last and longest ones go on alone. Equal texts have equal fingerprints.
 
@@ -17,16 +22,19 @@ a single document is next to itself. An empty table gives an empty result. Other
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, stored
-from .graph import components
+from .common import cleaned, n_partitions, stored
+from .graph import components, linked_in_postings, met_in_postings
 
 SAMPLES = 512
 #: Steps after which the shared random bits repeat.
@@ -234,43 +242,109 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(walk, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-#: Bands, and sampled digits of a fingerprint in each.
-BANDS, DIGITS = 24, 6
-_CHOICES = [sorted(random.Random(k).sample(range(SAMPLES // 2), DIGITS)) for k in range(BANDS)]
+#: Bands of a span, and sampled digits in each.
+BANDS, DIGITS = 12, 8
+#: Each span is so much longer than the one before.
+GROWTH = 1.25
+#: Samples from which a fingerprint has bands at the next level as well.
+UPPER = 0.7 * SAMPLES
+#: Of 64 sampled bits so many may differ in a pair from a large band: at a likeness of 0.8 it is 7 on average, and over
+#: this in one pair of a million.
+NEAR_BITS = 22
+SPANS = [max(1, math.floor(GROWTH**k)) for k in range(64)]
+
+
+@cache
+def places(span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of each band's digits in a span, and those of 64 sampled bits with their shifts."""
+    rng = random.Random(span)
+    n = SPANS[span]
+    digits = min(DIGITS, n // 2 + 1)
+    bands = np.array([sorted(rng.sample(range(n), digits)) for _ in range(BANDS)])
+    return bands, np.array([rng.randrange(n) for _ in range(64)]), np.array([rng.randrange(4) for _ in range(64)], np.uint8)
 
 
-def bands(fingerprint: str) -> list[str]:
-    """Keys by sampled digits, at the fingerprint's own level and the next coarser one. Short ones have one key: all."""
+def spans(fingerprint: str) -> list[tuple[int, int, np.ndarray]]:
+    """(level, span, digits) of the spans that a fingerprint has bands for."""
     level, digits = fingerprint.split(":")
+    x = np.frombuffer(digits.encode(), np.uint8)
     out = []
-    for level, x in ((int(level, 16), digits), (int(level, 16) + 1, digits[::2])):
-        if len(x) < SAMPLES // 4:
-            out.append(f"{level}:{x}")
-            continue
-        out += [f"{level}.{k}:" + "".join(x[i % len(x)] if len(x) < SAMPLES // 2 else x[i] for i in choice) for k, choice in enumerate(_CHOICES)]
+    for more in (0, 1) if len(x) >= UPPER else (0,):
+        x = x[:: 1 + more]
+        top = int(np.searchsorted(SPANS, len(x), "right")) - 1  # spans of one length, of short texts, are one
+        top = SPANS.index(SPANS[top]) if len(x) else -1
+        out += [(int(level, 16) + more, k, x) for k in {top, SPANS.index(SPANS[top - 1]) if top > 0 else top} if k >= 0]
     return out
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id linked, itself included): texts in one band whose likeness to the band's first
-    text is `least` or more are linked; texts of equal fingerprint always."""
-    table = stored(fingerprint_table(docs), "fingerprints")
-    owners = table.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).where("id is not null")
+def bands(fingerprint: str) -> list[int]:
+    """A key for each band: 48 bits of a hash, then the level and the span."""
+    out = []
+    for level, span, x in spans(fingerprint):
+        of = (level << 6 | span) & 0x7FFF
+        for k, row in enumerate(x[places(span)[0]]):
+            out.append((xxhash.xxh64_intdigest(row.tobytes(), level << 12 | span << 6 | k) >> 16) << 15 | of)
+    return out
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [bands(x) for x in batch.column("fingerprint").to_pylist()]
-            rows = pa.array([i for i, k in enumerate(keys) for _ in k], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.string()), batch.column("id").take(rows), batch.column("fingerprint").take(rows)], names=["band", "id", "fingerprint"])
 
+def sampled_bits(fingerprint: str, key: int) -> int:
+    """64 sampled bits of a fingerprint at the level and span of a key, as a signed number."""
+    of, (level, span) = key & 0x7FFF, (key >> 6 & 0x1FF, key & 0x3F)
+    x = next(x for i, k, x in spans(fingerprint) if (i << 6 | k) & 0x7FFF == of)
+    _, at, shifts = places(span)
+    digit = np.where(x[at] > 57, x[at] - 87, x[at] - 48)
+    return int(np.packbits((digit >> shifts) & 1).view(">i8")[0])
+
+
+def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
+    """fingerprint, class_id of each distinct fingerprint of a stored table (doc_id, fingerprint): the smallest doc_id that is
+    reached through pairs of likeness `least` or more that share a band."""
+    owners = stored(table.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "owners")
+    known = owners.where("id is not null")
+    rows = known.mapInArrow(_spread, "key long, id long")
+    met = stored(met_in_postings(rows), "met")
+    large = met.where("b is null").select("key", F.col("a").alias("id"))
+    pairs = met.where("b is not null").select("a", "b").distinct()
+    verify = lambda p: _verified(p, known, least)
+    links = verify(pairs)
+    if not large.isEmpty():
+        large = stored(large.join(known, "id").mapInArrow(_with_bits, "key long, id long, bits long"), "large")
+        links = linked_in_postings(large, links, ["bits"], lambda x, y: F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= NEAR_BITS, verify)
+    labels = components(links)
+    return owners.join(labels, owners["id"] == labels["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [bands(x) for x in batch.column("fingerprint").to_pylist()]
+        rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), batch.column("id").take(pa.array(rows))], names=["key", "id"])
+
+
+def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sampled_bits(x, k) for x, k in zip(batch.column("fingerprint").to_pylist(), batch.column("key").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(found, pa.int64())], names=["key", "id", "bits"])
+
+
+def _verified(pairs: DataFrame, owners: DataFrame, least: float) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [likeness(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    rows = stored(owners.mapInArrow(spread, "band string, id long, fingerprint string"), "bands")
-    first = rows.groupBy("band").agg(F.min_by("fingerprint", "id").alias("x"), F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = rows.join(first, "band").where("id != a").select("a", F.col("id").alias("b"), "x", F.col("fingerprint").alias("y")).dropDuplicates(["a", "b"])
-    labels = components(pairs.mapInArrow(verify, "a long, b long"))
-    named = owners.join(labels, owners["id"] == labels["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
-    return table.join(named, "fingerprint", "left").select("doc_id", "class_id")
+    left, right = (owners.select(F.col("id").alias(k), F.col("fingerprint").alias(v)) for k, v in ("ax", "by"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id of each row, as `classes` finds them."""
+    table = stored(fingerprint_table(docs), "fingerprints")
+    return table.join(classes(table, least), "fingerprint").select("doc_id", "class_id")
+
+
+def fingerprinted(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """The columns of `compared`, and class_id."""
+    table = stored(compared(docs), "compared")
+    cleaned(docs.sparkSession)
+    return table.join(classes(table.select("doc_id", "fingerprint"), least), "fingerprint").select(*table.columns, "class_id")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, sums, text_chunks
+from .common import in_fold, text_chunks
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)

@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Near-duplicates by SimHash and a byte-position inverted index with count filtering.
 
 `linked` is exact: all texts whose 64-bit fingerprints differ in few bits are linked. Two fingerprints that differ in
-at most d bits agree in at least 8 - d of their bytes, place by place. The index has a posting for each choice of blocks
-of bytes that must all agree for some choice; in a posting the bytes shared by each pair are tallied, pairs that reach
-the guaranteed minimum stay, and their bits are compared. Postings are joined only while small. The members of a large
+at most d bits agree in at least 8 - d of their bytes, place by place. A posting of one byte place would hold a 256th of
+all texts, so postings are by four byte places at once: for each two of the four pairs of neighbouring places, as two
+bits can spoil two pairs at most. The byte places of all postings in which a pair meets are tallied, and of the places
+that no posting speaks for those that agree; pairs that reach the guaranteed minimum of 8 - d stay, and their bits are
+compared. Postings are joined only while small. The members of a large
 posting are linked exactly by another way: each member stands at its fingerprint and at every fingerprint one bit away;
 members that meet at a place differ in two bits at most, so a star to the smallest of them gives the same components as
 all their pairs.
@@ -13,14 +15,16 @@ of the rarest shingles of each text (prefix filter), filters by size and place,
 
 Defined cases: null and empty texts have no shingle and the fingerprint zero, linked like any other. A text of fewer
 words than a shingle has one shingle. A null id never names a component unless all ids are null. Equal texts have equal
-fingerprints. An empty table gives an empty result.
+fingerprints. A text of any length is read whole. A bit set in just half of the hashes is 0. Repeated rows are members like
+others. Rows that share an id are taken together: what links one of their texts links the id. `near_duplicates` takes ids
+that are whole numbers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate, chain, combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import checkpointed, stored, utf8, word_bytes
-from .graph import components
+from .common import checkpointed, cleaned, stored, utf8, word_bytes
+from .graph import LARGE, components, linked_in_postings, met_in_postings
 
 SEED = 42
 #: Differing bits at which fingerprints still link. The choice of blocks and the stars are made for two.
 BITS = 2
-#: Members over which a posting is linked by stars rather than by pairs.
-LARGE = 64
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -80,10 +82,11 @@ def _byte(x: Column, k: int) -> Column:
     return F.shiftrightunsigned(x, 8 * k).bitwiseAND(0xFF)
 
 
-def shared_bytes(x: Column, y: Column) -> Column:
-    """How many of the eight bytes agree, place by place."""
+def tally(x: Column, y: Column, places: Column) -> Column:
+    """How many bytes agree, place by place: those at `places`, known from postings, and of the others those found equal."""
     apart = x.bitwiseXOR(y)
-    return sum((F.when(_byte(apart, k) == 0, 1).otherwise(0) for k in range(1, 8)), F.when(_byte(apart, 0) == 0, 1).otherwise(0))
+    others = [F.when((places.bitwiseAND(1 << k) == 0) & (_byte(apart, k) == 0), 1).otherwise(0) for k in range(8)]
+    return sum(others, F.bit_count(places))
 
 
 def links(bits: DataFrame) -> DataFrame:
@@ -91,16 +94,18 @@ def links(bits: DataFrame) -> DataFrame:
     same components as all such links."""
     distinct = checkpointed(bits.select("bits").where("bits is not null").distinct())
     # 2 differing bits leave two of four blocks of two bytes untouched
-    masks = [sum(0xFFFF << (16 * k) for k in pair) for pair in combinations(range(4), 2)]
+    choices = [0b11 << (2 * i) | 0b11 << (2 * j) for i, j in combinations(range(4), 2)]  # of byte places
+    masks = [sum(0xFF << (8 * k) for k in range(8) if c >> k & 1) for c in choices]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    postings = distinct.select("bits", F.posexplode(F.array(*(F.col("bits").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "key"))
-    sizes = postings.groupBy("choice", "key").agg(F.count("*").alias("members")).where("members > 1")
-    postings = stored(postings.join(sizes, ["choice", "key"]), "postings")
+    keys = F.array(*(F.struct(F.lit(c).alias("places"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for c, m in zip(choices, signed, strict=True)))
+    postings = distinct.select("bits", F.explode(keys).alias("p")).select("bits", "p.places", "p.key")
+    sizes = postings.groupBy("places", "key").agg(F.count("*").alias("members")).where("members > 1")
+    postings = stored(postings.join(sizes, ["places", "key"]), "postings")
     small = postings.where(F.col("members") <= LARGE)
-    x = small.select("choice", "key", F.col("bits").alias("a"))
-    y = small.select("choice", "key", F.col("bits").alias("b"))
-    pairs = x.join(y, ["choice", "key"]).where("a < b")
-    pairs = pairs.where((shared_bytes(F.col("a"), F.col("b")) >= 8 - BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
+    x = small.select("places", "key", F.col("bits").alias("a"))
+    y = small.select("places", "key", F.col("bits").alias("b"))
+    met = x.join(y, ["places", "key"]).where("a < b").groupBy("a", "b").agg(F.bit_or("places").alias("places"))
+    pairs = met.where((tally(F.col("a"), F.col("b"), F.col("places")) >= 8 - BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
     members = postings.where(F.col("members") > LARGE).select("bits").distinct()
     flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
     places = members.select("bits", F.explode(F.array("bits", *(F.col("bits").bitwiseXOR(F.lit(m)) for m in flips))).alias("place"))
@@ -124,6 +129,8 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: Of `near_duplicates`: words in a shingle, and the buckets by whose counts shingles are ordered.
 WORDS, ORDER_BUCKETS = 5, 1 << 18
+#: Longs of parities of a text's shingles: they rule out most unlike pairs of large postings, and no alike one.
+PARITY = 8
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -133,7 +140,7 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """How many texts' shingles fall into each bucket. It only orders shingles, so that buckets may be shared."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros(ORDER_BUCKETS, np.int64)
         for batch in batches:
             found = [_bucket(np.unique(shingle_hashes(word_bytes(t), words))) for t in utf8(batch.column(0))]
@@ -142,7 +149,7 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(tally)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(tally[at], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ORDER_BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -154,13 +161,14 @@ def prefix_length(n: int, least: float) -> int:
 
 
 def _sketches(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """doc_id, same (128-bit digest of the lower-cased words), n (distinct shingles), prefix (the rarest of them)."""
+    """doc_id, same (128-bit digest of the lower-cased words), n (distinct shingles), prefix (the rarest of them), parity (of
+    the shingles in each of 64 * PARITY buckets, as bits)."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
         for batch in batches:
-            same, n, prefix = [], [], []
+            same, n, prefix, parity = [], [], [], []
             for t in utf8(batch.column(1)):
                 w = word_bytes(t)
                 hashes = np.unique(shingle_hashes(w, words))
@@ -168,61 +176,28 @@ def _sketches(docs: DataFrame, words: int, least: float) -> DataFrame:
                 n.append(len(hashes))
                 order = np.argsort(frequency[_bucket(hashes)], kind="stable")[: prefix_length(len(hashes), least)] if len(hashes) else []
                 prefix.append(hashes[order].view(np.int64) if len(hashes) else hashes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "same", "n", "prefix"])
+                parity.append(parities(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "same", "n", "prefix", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, same binary, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, same binary, n int, prefix array<long>, parity array<long>")
 
 
-def _reach(least: float, n, m, i, j, lesser, greater):
-    """Whether sets of n and m shingles whose first common one is at the places i and j can have similarity `least`."""
-    return (lesser(n, m) >= least * greater(n, m) - 1e-6) & ((1 + least) * lesser(n - i, m - j) >= least * (n + m) - 1e-6)
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY buckets whether it holds an odd number of the hashes, as bits of PARITY longs. Two sets differ
+    by as many members at least as their bits do."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _met(owners: DataFrame, least: float) -> DataFrame:
-    """a, b of members that meet in a posting of up to LARGE members; key, a, place, n, with b null, of members of larger ones.
-
-    Postings come sorted, one after the other; of a large one no more than a batch is held."""
-    fields = ["key", "a", "b", "place", "n"]
-
-    def large(key: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.nulls(len(key), pa.int64()), pa.array(place, pa.int32()), pa.array(n, pa.int32())], names=fields)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        over = None  # the key of a posting already known to be large
-        for batch in chain(batches, (None,)):
-            if batch is not None:
-                held = [np.concatenate((h, c.to_numpy().astype(np.int64))) for h, c in zip(held, batch.columns, strict=True)]
-            key = held[0]
-            if not len(key):
-                continue
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            lengths = np.diff(np.append(starts, len(key)))
-            big = lengths > LARGE
-            if over is not None and key[0] == over:
-                big[0] = True
-            whole = np.ones(len(starts), bool)
-            whole[-1] = batch is None or bool(big[-1])  # else the last posting may go on
-            rows = np.repeat(big, lengths)
-            if rows.any():
-                yield large(*(h[rows] for h in held))
-            over = key[-1] if big[-1] else None
-            _, ids, place, n = held
-            for size in np.unique(lengths[whole & ~big & (lengths > 1)]):
-                first = starts[whole & ~big & (lengths == size)]
-                i, j = np.triu_indices(size, 1)
-                step = max(1, (1 << 18) // len(i))
-                for k in range(0, len(first), step):
-                    x = (first[k : k + step, None] + i).ravel()
-                    y = (first[k : k + step, None] + j).ravel()
-                    good = _reach(least, n[x], n[y], place[x], place[y], np.minimum, np.maximum) & (ids[x] != ids[y])
-                    a, b = ids[x[good]], ids[y[good]]
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none.cast(pa.int32()), none.cast(pa.int32())], names=fields)
-            held = [h[len(key) if whole[-1] else starts[-1] :] for h in held]
+def _parities_allow(least: float, n: Column, m: Column, x: Column, y: Column) -> Column:
+    """Whether sets of n and m shingles with these parities can have similarity `least`."""
+    apart = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    return apart * (1 + least) <= (1 - least) * (n + m) + 1e-6
 
-    rows = owners.select("id", "n", F.posexplode("prefix").alias("place", "key")).select("key", "id", "place", "n")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long, place int, n int")
+
+def _reach(least: float, n, m, i, j, lesser, greater):
+    """Whether sets of n and m shingles whose first common one is at the places i and j can have similarity `least`."""
+    return (lesser(n, m) >= least * greater(n, m) - 1e-6) & ((1 + least) * lesser(n - i, m - j) >= least * (n + m) - 1e-6)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -243,35 +218,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stored(alike.select("a", "b").distinct(), "verified")
 
 
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def _similar(docs: DataFrame, owners: DataFrame, words: int, least: float) -> DataFrame:
     """a, b: links between texts of similarity `least` or more, enough of them to have the same components as all.
 
-    Two such texts share a shingle of their prefixes, so each pair meets in a posting. Members of a large posting are
-    first compared with one of them; then only those pairs are left that no links join yet, and these are all compared.
-    """
-    met = stored(_met(owners, least), "met")
+    Two such texts share a shingle of their prefixes, so each pair meets in a posting."""
+    rows = owners.select("id", "n", F.posexplode("prefix").alias("place", "key")).select("key", "id", "place", "n")
+    met = met_in_postings(rows, "place int, n int", lambda x, y: _reach(least, x[1], y[1], x[0], y[0], np.minimum, np.maximum))
+    met = stored(met, "met")
+    cleaned(docs.sparkSession)
     large = met.where("b is null").select("key", F.col("a").alias("id"), "place", "n")
-    rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    first = large.groupBy("key").agg(F.min(rank)["id"].alias("first"))
-    stars = large.join(first, "key").where("id != first").select(*_pair(F.col("id"), F.col("first")))
-    pairs = stored(met.where("b is not null").select("a", "b").union(stars).distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # all members of large postings are among them
+    pairs = stored(met.where("b is not null").select("a", "b").distinct(), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     sets = stored(_sets(docs, ids, words), "sets")
     links = _verified(pairs, sets, least)
+    cleaned(docs.sparkSession)
     if large.isEmpty():
         return links
-    labels = components(links)
-    large = large.join(labels, large["id"] == labels["node"], "left").select("key", "id", "place", "n", F.coalesce("component", "id").alias("c"))
-    large = stored(large, "large")
-    shares = large.groupBy("key", "c").agg(F.count("*").alias("members"))
-    main = shares.groupBy("key").agg(F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    rest = large.join(main, "key").where("c != main").select("key", *(F.col(k).alias(f"x_{k}") for k in ("id", "place", "n", "c")))
-    apart = rest.join(large, "key").where((F.col("x_c") != F.col("c")) & _reach(least, F.col("x_n"), F.col("n"), F.col("x_place"), F.col("place"), F.least, F.greatest))
-    return links.union(_verified(apart.select(*_pair(F.col("x_id"), F.col("id"))).distinct(), sets, least))
+    large = stored(large.join(owners.select("id", "parity"), "id").select("key", "id", "place", "n", "parity"), "large")
+    near = lambda x, y: _reach(least, x["n"], y["n"], x["place"], y["place"], F.least, F.greatest) & _parities_allow(least, x["n"], y["n"], x["parity"], y["parity"])
+    return linked_in_postings(large, links, ["place", "n", "parity"], near, lambda p: _verified(p, sets, least))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8) -> DataFrame:

@@ -242,3 +242,65 @@ def test_url_paths_of_any_length(spark):
     out = urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert len(out) == 4 and {r["verdict"] for r in out} == {"allow"}
     assert len({r["branch"] for r in out}) == 2
+
+
+def with_edits(rng, text, n):
+    chars = list(text)
+    for _ in range(n):
+        i = rng.randrange(len(chars))
+        chars[i : i + 1] = rng.choice(["q", "", chars[i] + "z"])
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("n", [12, 30, 64, 150, 400, 1000, 2300, 5000])
+def test_bands_meet_for_alike_fingerprints_of_any_length(n):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    met = alike = 0
+    for _ in range(60):
+        text = ""
+        while len(text) < n:
+            text += rng.choice(words) + " "
+        for edits in (1, 2, 4, 8):
+            a, b = fingerprints.fingerprints_of([text[:n], with_edits(rng, text[:n], max(1, edits * n // 400) if n >= 64 else min(edits, 3))])
+            if a != b and fingerprints.likeness(a, b) >= 0.8:
+                alike += 1
+                met += bool(set(fingerprints.bands(a)) & set(fingerprints.bands(b)))
+    assert met >= 0.9 * alike > 10
+
+
+def test_sampled_bits_are_near_for_alike_fingerprints():
+    rng = random.Random(8)
+    text = "".join(rng.choice("etaoinshrdlu ") for _ in range(3000))
+    a, b, c = fingerprints.fingerprints_of([text, with_edits(rng, text, 25), text[::-1]])
+    key = next(iter(set(fingerprints.bands(a)) & set(fingerprints.bands(b))))
+    x, y = (fingerprints.sampled_bits(f, key) for f in (a, b))
+    assert ((x ^ y) & (1 << 64) - 1).bit_count() <= fingerprints.NEAR_BITS
+    assert ((x ^ fingerprints.sampled_bits(c, key)) & (1 << 64) - 1).bit_count() > fingerprints.NEAR_BITS
+
+
+def test_fingerprint_classes_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [r["text"] for r in spark.read.parquet(DOCS).limit(60).collect()]
+    texts += [with_edits(rng, t, max(1, len(t) // 60)) for t in texts if len(t or "") > 40]
+    base = "".join(rng.choice("etaoin shrdlu") for _ in range(600))
+    texts += [with_edits(rng, base, rng.randint(3, 12)) for _ in range(90)]  # bands of over 64 members
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, base)], "doc_id long, text string").selectExpr("*", "1 as class_id", "2 as fingerprint", "3 as key")
+    rows = fingerprints.fingerprinted(docs).collect()
+    assert len(rows) == len(texts) + 1
+    found = {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None}
+    prints = fingerprints.fingerprints_of(texts)
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if fingerprints.likeness(prints[a], prints[b]) >= 0.8]
+    want = components_of(len(texts), pairs)
+    assert sum(found[i] == want[i] for i in range(len(texts))) >= 0.98 * len(texts)
+    assert all(want[found[i]] == want[i] for i in range(len(texts)))  # nothing is joined that isn't alike
+    assert fingerprints.fingerprinted(docs.limit(0)).count() == 0
+
+
+def test_parities_never_rule_out_more_than_the_difference():
+    rng = np.random.default_rng(10)
+    bits = lambda x: int.from_bytes(simhash.parities(x).tobytes(), "little")
+    for n in (0, 1, 40, 700):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64))))
+        assert (bits(a) ^ bits(b)).bit_count() <= len(np.setxor1d(a, b))
