@@ -48,23 +48,23 @@ def connected(nodes: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
             return labels
 
 
-def disk_offsets(radius: int) -> list[tuple[int, int]]:
-    """(dy, dx) of a round kernel: the pixels of each row within the ellipse's half width there, rounded."""
-    out = []
-    for dy in range(-radius, radius + 1):
-        half = round((radius * radius - dy * dy) ** 0.5)
-        out += [(dy, dx) for dx in range(-half, half + 1)]
-    return out
+def half_widths(radius: int) -> list[tuple[int, int]]:
+    """(dy, half) of a round kernel: how far the ellipse reaches to either side in each row, rounded."""
+    return [(dy, round((radius * radius - dy * dy) ** 0.5)) for dy in range(-radius, radius + 1)]
 
 
-def around(offsets: list[tuple[int, int]]) -> Column:
-    """An array of the places (y, x) at offsets from a pixel."""
-    return F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in offsets))
+def disk_offsets(radius: int) -> list[tuple[int, int]]:
+    """(dy, dx) of the kernel's places."""
+    return [(dy, dx) for dy, half in half_widths(radius) for dx in range(-half, half + 1)]
 
 
 def spread(pixels: DataFrame, by: list[str], radius: int) -> DataFrame:
-    """The distinct places (by, y, x) within the round kernel of a pixel."""
-    return pixels.select(*by, F.explode(around(disk_offsets(radius))).alias("p")).select(*by, "p.y", "p.x").distinct()
+    """The distinct places (by, y, x) within the round kernel of a pixel. Runs of pixels are spread, not single ones: a place
+    comes once for each of the kernel's rows that reach it."""
+    whole = runs(pixels.select(*by, "y", "x"), by).groupBy(*by, "y", "run").agg(F.max("x").alias("to"))
+    rows = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("run") - half).alias("from"), (F.col("to") + half).alias("to")) for dy, half in half_widths(radius)))
+    wide = whole.select(*by, F.explode(rows).alias("r"))
+    return wide.select(*by, F.col("r.y").alias("y"), F.explode(F.sequence("r.from", "r.to")).alias("x")).distinct()
 
 
 def pixel_rows(pictures: DataFrame, keep: list[str], column: str, width: Column, channels: int = 1) -> DataFrame:
