@@ -453,16 +453,58 @@ def tumbling_means(spark, sf_dir):
     return folds.tumbling(e, "ts", "1 hour", "1 hour", ["stream"]).select("stream", "start", "n", r6("mean", "mean"))
 
 
-@query(_EMA)
-def stream_fold(spark, sf_dir):
-    """The fold as a stream over the table's files, run until all of them are read; its result is a table."""
+_CLOSED = 1 << 52  # a time in the next century: a row of it moves the watermark past all others
+
+
+def _run_fold(spark, rows: DataFrame, late: str) -> DataFrame:
+    """The fold over a stream until all that is there has been read; its result is a table."""
     import uuid
 
     spark.conf.set(*folds.STATE_STORE)
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path isn't a file
-    rows = rows.select(F.col("event_type").alias("stream"), scalars.micros(F.col("ts")).alias("t"), F.col("event_id").alias("id"), F.col("value").alias("x"))
-    job = folds.smoothed_stream(rows, scalars.BLEND["medium"]).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    job = folds.smoothed_stream(rows, scalars.BLEND["medium"], late).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("stream", "id", r6("y", "y"))
+
+
+def _closing(spark) -> DataFrame:
+    """A stream of one row without x, at the time that closes a stream."""
+    import uuid
+
+    schema = "stream string, t long, id long, x double"
+    path = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+    spark.createDataFrame([(None, _CLOSED, None, None)], schema).coalesce(1).write.parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+@query(_EMA)
+def stream_fold(spark, sf_dir):
+    """The fold as a stream over the table's files; rows are held until the closing row's watermark."""
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path isn't a file
+    rows = rows.select(F.col("event_type").alias("stream"), scalars.micros(F.col("ts")).alias("t"), F.col("event_id").alias("id"), F.col("value").alias("x"))
+    return _run_fold(spark, rows.unionByName(_closing(spark)), "10 minutes")
+
+
+_WEEK = "cast(floor((epoch_us(ts) / 3600000000.0 + event_id % 7) / 168) as bigint)"
+
+
+@query(f"""
+with recursive a as (select event_type as stream, event_id as id, value as x, ts, epoch_us(ts) as t, {_WEEK} as week from events),
+seen as (select week, max(t) as top, row_number() over (order by week) as batch from a group by week),
+passed as (select week, (select max(top) // 1000 * 1000 - 10800000000 from seen s where s.batch < w.batch - 1) as mark from seen w),
+o as (select stream, id, x, row_number() over (partition by stream order by t, id) as k from a join passed using (week) where mark is null or t > mark),
+f as (select stream, id, k, x as y from o where k = 1 union all select o.stream, o.id, o.k, 0.25 * o.x + 0.75 * f.y from f join o on o.stream = f.stream and o.k = f.k + 1)
+select stream, id, round(y, 6) as y from f""")
+def late_fold(spark, sf_dir):
+    """Rows come up to six hours late, a week's in one micro-batch. They are folded in their order, but for those that are over
+    three hours behind the latest row of the batches but the last: their slots may have been given out."""
+    import uuid
+
+    e = events(spark, sf_dir).select("stream", "t", "id", F.col("value").alias("x"))
+    e = kept(e.withColumn("week", F.floor((F.col("t") / 3_600_000_000 + F.col("id") % 7) / 168).cast("long")), "arrivals")
+    path = f"{shared_folder(spark)}/weeks-{uuid.uuid4().hex}"
+    for r in sorted(r["week"] for r in e.select("week").distinct().collect()):  # the order of files is the order of their writing
+        e.where(F.col("week") == r).drop("week").coalesce(1).write.mode("append").parquet(path)
+    e.limit(1).select(F.lit(None).cast("string").alias("stream"), F.lit(_CLOSED).alias("t"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x")).coalesce(1).write.mode("append").parquet(path)
+    rows = spark.readStream.schema(e.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _run_fold(spark, rows, "3 hours")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from .pages import PageSource
+from .writers import PictureSink, PlaybackSink
 
 #: Longest request, usual window, and the shortest that a window is halved to.
 LONGEST, WINDOW, SHORTEST = timedelta(days=3), timedelta(minutes=5), timedelta(seconds=30)
@@ -48,7 +51,9 @@ class TooLarge(Exception):
 
 class RangeSource(DataSource):
     """Options: client (`module:function`, called as function(stream, start, end, closed) -> rows), streams (comma), start,
-    end (ISO), schema. A window that is too large is halved down to half a minute; any other failure fails the task."""
+    end (ISO), schema, stream_column and time_column (`stream` and `ts`). A window that is too large is halved down to half a
+    minute; any other failure fails the task. With spark.sql.python.filterPushdown.enabled, comparisons of both columns with
+    constants leave out streams and windows before anything is fetched; Spark still applies them to what is read."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,24 +66,56 @@ class RangeSource(DataSource):
         return _Reader(self.options)
 
 
+def _naive(value) -> datetime | None:
+    """A pushed constant as a UTC time without zone, as clients get; None if it isn't a time."""
+    if isinstance(value, str):
+        try:
+            value = datetime.fromisoformat(value)
+        except ValueError:
+            return None
+    if not isinstance(value, datetime):
+        return None
+    return value.astimezone(timezone.utc).replace(tzinfo=None) if value.tzinfo else value
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
+        self.low: datetime | None = None
+        self.high: datetime | None = None
+        self.streams = list(dict.fromkeys(self.options["streams"].split(",")))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Narrows streams and times by what is compared with a constant; all filters are given back, to be applied to rows."""
+        stream, time = (self.options.get(k, d) for k, d in (("stream_column", "stream"), ("time_column", "ts")))
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == (stream,) and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.streams = [s for s in self.streams if s in wanted]
+            at = _naive(f.value) if column == (time,) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) else None
+            if at and not isinstance(f, (LessThan, LessThanOrEqual)):
+                self.low = max(self.low, at) if self.low else at
+            if at and not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.high = min(self.high, at) if self.high else at
+            yield f
 
     def partitions(self) -> list[InputPartition]:
         start, end = checked(*(datetime.fromisoformat(self.options[k]) for k in ("start", "end")))
-        out = []
-        for stream in self.options["streams"].split(","):
-            at = start
-            while True:
-                to = min(at + WINDOW, end)
-                out.append(_Part(stream, at, to, to == end))
-                if to == end:
-                    break
-                at = to
-        return out
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        spans, at = [], start
+        while True:
+            to = min(at + WINDOW, end)
+            # windows are half open but for the last, which holds its end
+            if (self.high is None or at <= self.high) and (self.low is None or self.low < to or to == end and self.low == end):
+                spans.append((at, to, to == end))
+            if to == end:
+                break
+            at = to
+        return [_Part(stream, *span) for stream in self.streams for span in spans]
+
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # no window is left, and Spark runs one task for nothing
+            return
         stream, start, end, last = partition.value
         module, _, function = self.options["client"].partition(":")
         yield from self._window(getattr(import_module(module), function), stream, datetime.fromisoformat(start), datetime.fromisoformat(end), last)
@@ -96,54 +133,9 @@ class _Reader(DataSourceReader):
         yield from rows
 
 
-class PageSource(DataSource):
-    """A stream of pages. Options: client (`module:function`, called as function(resource, token) -> (rows, next token or
-    None)), resources (comma), schema. The offset of the stream is each resource's next token, so that Spark's checkpoint
-    is the record of progress: a restarted stream goes on where it stopped, and reads a page again if it wasn't committed.
-    A resource whose last page has been read gives nothing more."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pages"
-
-    def schema(self) -> str:
-        return self.options["schema"]
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Pages(self.options)
-
-
-class _Pages(SimpleDataSourceStreamReader):
-    def __init__(self, options):
-        self.options = dict(options)
-
-    def _client(self):
-        module, _, function = self.options["client"].partition(":")
-        return getattr(import_module(module), function)
-
-    def initialOffset(self) -> dict:
-        return dict.fromkeys(self.options["resources"].split(","), "")
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._pages(start)
-        return iter(rows), end
-
-    def _pages(self, start: dict) -> tuple[list[tuple], dict]:
-        rows, end = [], {}
-        for resource, token in start.items():
-            page, following = ([], None) if token is None else self._client()(resource, token)
-            rows += page
-            end[resource] = following
-        return rows, end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, _ = self._pages(start)
-        return iter(rows)
-
-
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RangeSource)
-    spark.dataSource.register(PageSource)
+    for source in (RangeSource, PageSource, PictureSink, PlaybackSink):
+        spark.dataSource.register(source)
 
 
 def envelope(df: DataFrame, t: str, start, end, pad: str = "5 minutes") -> DataFrame:

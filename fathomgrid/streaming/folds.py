@@ -2,8 +2,8 @@
 
 A scalar exponential fold can be cut into time buckets, as a bucket maps what comes in linearly to what goes out: buckets
 are folded in parallel from zero, then one row for each bucket is chained, then buckets are folded again from their true
-beginning. The streaming form keeps one value per stream and, within a batch, takes rows in order of time; rows
-that come in a later batch than their successors are folded when they come.
+beginning. The streaming form holds rows until the watermark, so that it
+gives the same results whatever the order in which rows come in time (see `ordered`).
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from . import ordered
 
 HOUR = 3_600_000_000
 
@@ -56,31 +57,10 @@ def smoothed(rows: DataFrame, share: float, bucket: int = HOUR) -> DataFrame:
     return dealt.mapInPandas(fold, schema)
 
 
-class _Smooth(StatefulProcessor):
-    def __init__(self, share: float):
-        self.share = share
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.y = handle.getValueState("y", "y double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "id"])
-        y = self.y.get()[0] if self.y.exists() else None
-        out = []
-        for x in batch["x"]:
-            y = x if y is None else self.share * x + (1 - self.share) * y
-            out.append(y)
-        if out:
-            self.y.update((y,))
-        yield batch.assign(y=out)[["stream", "t", "id", "x", "y"]]
-
-    def close(self) -> None:
-        pass
-
-
-def smoothed_stream(rows: DataFrame, share: float) -> DataFrame:
-    """A streaming DataFrame's rows (stream string, t long, id long, x double) with y. Needs the RocksDB state store."""
-    return rows.where("x is not null").groupBy("stream").transformWithStateInPandas(_Smooth(share), "stream string, t long, id long, x double, y double", "append", "none")
+def smoothed_stream(rows: DataFrame, share: float, late: str = "10 minutes", initial: DataFrame | None = None, slot: int = ordered.SLOT) -> DataFrame:
+    """A streaming DataFrame's rows (stream string, t long, id long, x double) with y, in order of time, once the watermark has
+    passed them. initial: the last rows of a fold to go on from (stream, t, id, y). Needs the RocksDB state store."""
+    return ordered.folded_stream(rows, ordered.Smooth(share), "y double", late, initial, slot)
 
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -241,15 +241,6 @@ def test_ramp_goes_on_below_its_first_stop():
     assert 40 <= table[64][0] <= 60
 
 
-def test_page_stream_goes_on_after_a_restart(spark, tmp_path):
-    ranges.register(spark)
-    for _ in range(4):  # each start reads a page of each resource, from where the one before stopped
-        rows = spark.readStream.format("pages").options(client="tests.pages_client:read", resources="a,b", schema="stream string, n int").load()
-        job = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
-        job.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("a", 1), ("a", 2), ("a", 3), ("b", 9)]
-
-
 def test_metric_files(spark, tmp_path):
     sinks.write_metrics(spark.createDataFrame([("x", 1.5), ("y", None)], "name string, emd double"), str(tmp_path))
     assert spark.read.json(str(tmp_path / "metrics_json")).count() == spark.read.csv(str(tmp_path / "metrics_csv"), header=True).count() == 2
