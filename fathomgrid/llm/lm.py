@@ -14,8 +14,9 @@ row by how often the task has touched it; each text is learnt from in one round,
 is a parameter table of fixed size, and a HEAD of frequent tokens' counts of bounded size; the counts of other tokens are
 joined to the texts that hold them.
 
-A probability doesn't depend on what else is in a batch: products are of fixed shapes, everything else goes row by row,
-and the logarithms are added as integers; so equal texts have equal scores. The parameters depend on how the input is
+A probability doesn't depend on what else is in a batch: factors of products are whole numbers of a grid, so small that
+their sums are exact in any order; everything else goes row by row, and the logarithms are added as integers; so equal texts
+have equal scores. The parameters depend on how the input is
 split into partitions, as each task takes its own steps; the same files give the same model.
 
 Defined cases: a null or empty text is the end token alone. A text of any length is scored whole. Repeated rows are scored
@@ -25,6 +26,7 @@ empty table, all counts are zero and the model is uniform over its classes. Othe
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,8 +56,8 @@ RATE = 0.12
 HEAD = 1 << 17
 #: Fixed-point logarithms count in units of 1 / SHIFT.
 SHIFT = 1 << 32
-#: Rows of products of fixed shape: for classes, and for the tokens of a group.
-ROWS, GROUP_ROWS = 1024, 64
+#: Rows of a product.
+ROWS = 1024
 #: Tokens that are scored together.
 TOGETHER = 1 << 16
 #: Parameter rows that are averaged together.
@@ -207,34 +209,33 @@ class Model:
         """Normalised natural log-probabilities of the tokens of the vocabulary, and of the classes of others, at the places
         from CONTEXT on of a run of tokens; 0 where a text hasn't begun."""
         voc = self.voc
-        q = self.predicted(self.seen[voc.row_of[numbers]])
+        scale_q, scale_w = self.scales()
+        q = np.rint(self.predicted(self.seen[voc.row_of[numbers]]) * scale_q).astype(np.float64)
         own = numbers[CONTEXT:]
         classes = voc.class_of[own].astype(np.int64)
         out = np.zeros(len(own), np.float64)
-        weights = np.ascontiguousarray(self.said.T)
-        block = np.zeros((ROWS, SIZE + 1), np.float32)
+        product = lambda rows, weights: ((rows @ np.rint(weights * scale_w).astype(np.float64).T) / (scale_q * scale_w)).astype(np.float32)
         for a in range(0, len(own), ROWS):
-            n = min(ROWS, len(own) - a)
-            block[:n] = q[a : a + n]
-            out[a : a + n] = _log_softmax(block @ weights, np.append(np.minimum(classes[a : a + n], CLASSES - 1), np.zeros(ROWS - n, np.int64)))[:n]
+            out[a : a + ROWS] = _log_softmax(product(q[a : a + ROWS], self.said), np.minimum(classes[a : a + ROWS], CLASSES - 1))
         out[classes == CLASSES] = 0
         grouped = np.flatnonzero((classes >= SINGLE) & (classes < SINGLE + GROUPS))
         grouped = grouped[np.argsort(classes[grouped], kind="stable")]
         ends = np.searchsorted(classes[grouped], np.arange(SINGLE, SINGLE + GROUPS + 1))
         tokens = self.token.reshape(GROUPS, voc.width, SIZE + 1)
         for k in range(GROUPS):
-            at = grouped[ends[k] : ends[k + 1]]
-            if not len(at):
-                continue
-            n, m = len(at), len(voc.groups[k])
-            blocks = np.zeros((-(-n // GROUP_ROWS), GROUP_ROWS, SIZE + 1), np.float32)
-            blocks.reshape(-1, SIZE + 1)[:n] = q[at]
-            scores = blocks @ np.ascontiguousarray(tokens[k, :m].T)
-            places = np.zeros(blocks.shape[0] * GROUP_ROWS, np.int64)
-            places[:n] = voc.place_of[own[at]]
-            out[at] += _log_softmax(scores.reshape(-1, m), places)[:n]
+            for a in range(ends[k], ends[k + 1], ROWS):
+                at = grouped[a : min(a + ROWS, ends[k + 1])]
+                out[at] += _log_softmax(product(q[at], tokens[k, : len(voc.groups[k])]), voc.place_of[own[at]].astype(np.int64))
         return out
 
+    def scales(self) -> tuple[float, float]:
+        """Powers of two that make predicted vectors and weights whole numbers of up to 2^23 and 2^24, so that the sum of
+        SIZE + 1 products is exact as a double."""
+        most = lambda x: float(np.abs(x).max(initial=0))
+        q = max(1.0, CONTEXT * most(self.seen) * most(self.place))
+        w = max(1.0, most(self.said), most(self.token))
+        return 2.0 ** (23 - math.ceil(math.log2(q))), 2.0 ** (24 - math.ceil(math.log2(w)))
+
 
 def _log_softmax(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Of each row the log-probability of one column."""

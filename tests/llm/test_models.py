@@ -282,6 +282,15 @@ def test_language_model_scores_equal_brute_force(spark, monkeypatch):
         assert math.isclose(out[i], want, rel_tol=1e-5, abs_tol=1e-4)
 
 
+def test_equal_texts_have_equal_scores(spark):
+    docs = spark.read.parquet(f"{DOCS.replace('0.001', '0.01')}")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    by_text, groups = {}, Counter(texts.values())
+    for r in lm.scored(docs).collect():
+        by_text.setdefault(texts[r["doc_id"]], set()).add(r["score"])
+    assert sum(n > 1 for n in groups.values()) > 20 and all(len(x) == 1 for x in by_text.values())
+
+
 def test_language_model_learns():
     rng = np.random.default_rng(4)
     voc = plain_vocabulary({lm.END: 1} | {f"t{k:04d}".encode(): 100 for k in range(2000)})
