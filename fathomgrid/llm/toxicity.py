@@ -193,12 +193,16 @@ def train(toxic: np.ndarray, texts: list[list[str]], seed: int = 0) -> Model:
     lists = [np.array([index.setdefault(w, len(index)) for w in x], np.int64) for x in texts]
     points = np.frombuffer(" ".join(index).encode("utf-32-le"), np.uint32)
     bags = Bags(points, np.array([0, len(points)]))
-    owner = np.cumsum(np.bincount(bags.starts, minlength=len(bags.text))) - 1
-    found = [(owner[np.minimum(at + ~bags.inside[at], len(owner) - 1)], bucket[at].astype(np.int32)) for bucket, good in bags.grams() for at in [np.flatnonzero(good)]]
-    words, grams = (np.concatenate(x) for x in zip(*found, strict=True))
-    grams = grams[np.argsort(words, kind="stable")]
-    size = np.bincount(words, minlength=len(index))
+    owner = (np.cumsum(np.bincount(bags.starts, minlength=len(bags.text))) - 1).astype(np.int32)
+    owner = np.where(bags.inside, owner, np.append(owner[1:], owner[-1:]))  # a blank is of the word after it, where it begins a gram
+    size = sum(np.bincount(owner[: len(good)][good], minlength=len(index)) for _, good in bags.grams())
     start = np.cumsum(size) - size
+    grams, filled = np.empty(int(size.sum()), np.int32), start.copy()
+    for bucket, good in bags.grams():  # each order gives its grams in the order of words
+        word = owner[: len(good)][good]
+        n = np.bincount(word, minlength=len(index))
+        grams[np.arange(len(word)) + (filled - (np.cumsum(n) - n))[word]] = bucket[good]
+        filled += n
 
     rng = np.random.default_rng(seed)
     vectors, out, bias = rng.normal(0, 0.3, (BUCKETS, SIZE)), rng.normal(0, 1, (SIZE, 2)), np.array([0, BIAS])
