@@ -37,9 +37,9 @@ from .bpe import byte_alphabet
 from .common import stored, sums
 
 #: Characters of texts that are encoded at a time, that one call of B's library gets, and of a block.
-PART, CALL, BLOCK = 1 << 22, 1 << 16, 1 << 24
+PART, CALL, BLOCK = 1 << 21, 1 << 16, 1 << 23
 #: Distinct segments whose groups a worker keeps.
-KNOWN = 400_000
+KNOWN = 250_000
 #: A segment: blanks, then all up to a blank or line end that follows something else.
 _SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
