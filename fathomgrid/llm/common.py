@@ -26,7 +26,16 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that `stored` has written and that nothing reads any more."""
+    for table in tables:
+        hadoop = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def cleaned(spark: SparkSession) -> None:

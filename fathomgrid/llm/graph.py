@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, dropped, stored
 
 #: Members over which a posting isn't joined in full at once.
 LARGE = 64
@@ -117,7 +117,8 @@ def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], nea
         of = state.select("id", "c").distinct()
         joined = found.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         moved = components(joined).toDF("c", "root")
-        state = stored(state.join(moved, "c", "left").select("key", *columns, F.coalesce("root", "c").alias("c")), "large")
+        before, state = state, stored(state.join(moved, "c", "left").select("key", *columns, F.coalesce("root", "c").alias("c")), "large")
+        dropped(before)
     links = links.union(found)
     rest = state.join(main.select("key", "main"), "key").where("c != main").select("key", *(F.col(k).alias(f"x_{k}") for k in (*columns, "c")))
     apart = rest.join(state, "key").where((F.col("x_c") != F.col("c")) & near(other, own)).select(*pair).distinct()

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import checkpointed, cleaned, stored, utf8, word_bytes
+from .common import checkpointed, cleaned, dropped, stored, utf8, word_bytes
 from .graph import LARGE, components, linked_in_postings, met_in_postings
 
 SEED = 42
@@ -218,8 +218,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stored(alike.select("a", "b").distinct(), "verified")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links among candidate pairs (a < b, stored), enough of them to have the same components as all.
+
+    Sets travel with the pairs that are compared, so first each text meets its smallest partner only; of the other pairs
+    those are compared whose ends these links haven't joined."""
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(first, sets, least)
+    labels = components(links)
+    a, b = (labels.select(F.col("node").alias(k), F.col("component").alias(f"{k}_c")) for k in "ab")
+    rest = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    return links.union(_verified(rest, sets, least))
+
+
 def _similar(docs: DataFrame, owners: DataFrame, words: int, least: float) -> DataFrame:
-    """a, b: links between texts of similarity `least` or more, enough of them to have the same components as all.
+    """node, component of the links between texts of similarity `least` or more.
 
     Two such texts share a shingle of their prefixes, so each pair meets in a posting."""
     rows = owners.select("id", "n", F.posexplode("prefix").alias("place", "key")).select("key", "id", "place", "n")
@@ -227,16 +241,20 @@ def _similar(docs: DataFrame, owners: DataFrame, words: int, least: float) -> Da
     met = stored(met, "met")
     cleaned(docs.sparkSession)
     large = met.where("b is null").select("key", F.col("a").alias("id"), "place", "n")
+    large = stored(large.join(owners.select("id", "parity"), "id").select("key", "id", "place", "n", "parity"), "large")
     pairs = stored(met.where("b is not null").select("a", "b").distinct(), "candidates")
+    dropped(met)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     sets = stored(_sets(docs, ids, words), "sets")
-    links = _verified(pairs, sets, least)
+    links = _linked(pairs, sets, least)
     cleaned(docs.sparkSession)
-    if large.isEmpty():
-        return links
-    large = stored(large.join(owners.select("id", "parity"), "id").select("key", "id", "place", "n", "parity"), "large")
-    near = lambda x, y: _reach(least, x["n"], y["n"], x["place"], y["place"], F.least, F.greatest) & _parities_allow(least, x["n"], y["n"], x["parity"], y["parity"])
-    return linked_in_postings(large, links, ["place", "n", "parity"], near, lambda p: _verified(p, sets, least))
+    if not large.isEmpty():
+        near = lambda x, y: _reach(least, x["n"], y["n"], x["place"], y["place"], F.least, F.greatest) & _parities_allow(least, x["n"], y["n"], x["parity"], y["parity"])
+        links = linked_in_postings(large, links, ["place", "n", "parity"], near, lambda p: _verified(p, sets, least))
+    labels = components(links)
+    dropped(large, pairs, sets)
+    cleaned(docs.sparkSession)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8) -> DataFrame:
@@ -246,10 +264,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8) ->
     Rows whose doc_id is null get the component of their equals, or null.
     """
     sketches = stored(_sketches(docs, words, least), "sketches")
-    table = sketches.select("doc_id", "same", "n")
+    table = stored(sketches.select("doc_id", "same", "n"), "texts")
     owners = stored(table.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("id")).where("id is not null"), "owners")
     prefixes = sketches.withColumnRenamed("doc_id", "id").join(owners, ["same", "id"]).dropDuplicates(["same", "id"])
-    labels = components(_similar(docs, prefixes, words, least))
+    labels = _similar(docs, prefixes, words, least)
+    dropped(sketches)
     named = owners.join(labels, owners["id"] == labels["node"], "left").select("same", F.coalesce("component", "id").alias("component_id"))
     empty = table.where("n = 0").groupBy("same").agg(F.min("doc_id").alias("component_id"))
     return table.join(stored(named.union(empty), "components"), "same", "left").select("doc_id", "component_id", "same")
