@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, seconds3, with_extension
 from .asof import late, nearest, ranked, since_previous
+from .quantiles import at_ranks
 
 
 def screens(manifest: DataFrame, components: list[str], files: DataFrame | None = None) -> DataFrame:
@@ -67,9 +68,9 @@ def per_stream(fan: DataFrame, streams: list[str]) -> DataFrame:
 
 def intervals(frames: DataFrame, by: str = "stream") -> DataFrame:
     """by, interval (microseconds): the upper median of the times between neighbouring frames; a second for one frame."""
-    gaps = since_previous(frames, by)
-    upper = F.expr("percentile_disc(0.500000000001D) within group (order by since)")
-    return gaps.groupBy(by).agg(F.coalesce(upper, F.lit(1_000_000)).cast("long").alias("interval"))
+    found = at_ranks(since_previous(frames, by), [by], "since", F.floor(F.col("n") / 2)).select(F.col(by).alias("__by"), "value")
+    every = frames.select(by).distinct()
+    return every.join(found, every[by].eqNullSafe(found["__by"]), "left").select(by, F.coalesce("value", F.lit(1_000_000)).cast("long").alias("interval"))
 
 
 def skewed(found: DataFrame, interval: DataFrame) -> DataFrame:

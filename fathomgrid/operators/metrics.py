@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gray_floor
+from ..sources.shared import kept
+from .quantiles import quantiles
 
 BINS = 72
 LEVELS = 256
@@ -75,9 +77,8 @@ def band_of(u: Column, edges: list[float]) -> Column:
 
 
 def band_quantiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, n, p25, p50, p75, p90: exact, interpolated."""
-    q = F.percentile(value, [0.25, 0.5, 0.75, 0.9])
-    return df.groupBy(*by).agg(F.count(value).alias("n"), q.alias("q")).select(*by, "n", *(F.col("q")[i].alias(k) for i, k in enumerate(("p25", "p50", "p75", "p90"))))
+    """by, n, p25, p50, p75, p90: exact, interpolated; a group's values are never in one task."""
+    return quantiles(df, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
 
 
 def shift_sweep(a: DataFrame, b: DataFrame, shifts: list[int]) -> DataFrame:
@@ -141,6 +142,7 @@ def radial_peaks(cells: DataFrame, by: list[str], window: int, value: str = "v",
 def correlated(df: DataFrame, x: str, y: str, peak: str) -> DataFrame:
     """n, median_offset, offset_std, corr: of rows whose peak is at least the median's, the correlation of x and y (null for
     two rows or fewer)."""
-    middle = df.agg(F.median(peak).alias("m"), F.median(y).alias("median_offset"), F.stddev_pop(y).alias("offset_std"))
+    middle = quantiles(df, [], peak, {"m": 0.5}).select("m").crossJoin(quantiles(df, [], y, {"median_offset": 0.5}).select("median_offset")).crossJoin(df.agg(F.stddev_pop(y).alias("offset_std")))
+    middle = kept(middle, "middle")
     good = df.crossJoin(F.broadcast(middle.select("m"))).where(F.col(peak) >= F.col("m")).agg(F.count("*").alias("n"), F.corr(x, y).alias("c"))
     return good.crossJoin(F.broadcast(middle)).select("n", "median_offset", "offset_std", F.when(F.col("n") > 2, F.col("c")).alias("corr"))
