@@ -1,13 +1,18 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, in bulk-synchronous supersteps.
 
-Documents are tokenised and cut into pieces; only those over the capacity are cut. In a superstep Spark sorts the open
-pieces and the gaps of all sequences by size, from large to small, into ranges, whose borders come from counts by size. Each task sweeps over its range: a piece
-takes the smallest gap passed so far that is still free, its successor among the gaps. What a range leaves over, pieces
-without a gap and gaps without a piece, is carried down to the ranges of smaller sizes: the tasks' counts of both settle
-which ranks of pieces meet which ranks of gaps, and a join by rank matches them. A gap takes one piece in a superstep; then
-all gaps shrink at once, and what found no gap waits for the next superstep. When few pieces found a gap, as many sequences
-open as the rest needs at least, for its largest pieces. Pieces of a quarter of the capacity and more go first, the others
-then fill what these leave. Every superstep's outcome is a stored table; the driver sees counts by task only.
+Documents are tokenised and cut into pieces; only those over the capacity are cut. Pieces go by classes, from large to small:
+each class holds sizes down to a quarter of its largest. In a superstep Spark sorts a class's open pieces and the gaps that
+may hold them by size, from large to small, into ranges, whose borders come from counts by size. Each task sweeps over its
+range: a piece takes the smallest gap passed so far that is still free, its successor among the gaps. What a range leaves
+over, pieces without a gap and gaps without a piece, is carried down to the ranges of smaller sizes: the tasks' counts of
+both settle which ranks of pieces meet which ranks of gaps, and a join by rank matches them. Then all gaps shrink at once,
+and what found no gap waits for the next superstep.
+
+A gap of twice a small class's largest size and more takes a run of pieces in one superstep: pieces and gaps are laid out
+along lines, by sums over their ranges, and a piece goes to the gap on whose part of the line it begins; that part is shorter
+than the gap by a piece less one, so that what begins there fits. Sequences open only when no gap holds an open piece, as
+many as the rest's tokens need at least. Every superstep's outcome is a stored table; the driver sees counts by size and by
+task only.
 
 Defined cases: a null or empty text is a document of no tokens but the separator. A text of any length is cut and packed
 whole. Pieces of equal length are ordered by number. Repeated rows and ids are packed one by one. An empty table gives an
@@ -16,16 +21,15 @@ empty result. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Codec, Words, byte_alphabet, codec, default_path, split
@@ -35,10 +39,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker keeps, about 200 bytes each.
 WORDS = 250_000
-#: Pieces from this share of the capacity on go first.
-FIRST = 0.25
-#: Supersteps go on with the same sequences while this share of the open pieces finds a gap.
-BUSY = 0.1
+#: A class of pieces reaches down to its largest size by this.
+CLASS = 4
 
 
 class _Ids:
@@ -105,10 +107,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
 
 #: Rows of a range, at least; with more rows than that for each shuffle partition, ranges grow.
-RANGE = 1 << 18
+RANGE = 1 << 14
 #: Kinds of rows that a sweep gives out: a gap and a piece left over, a match, and a task's counts.
 GAP, PIECE, MATCH, COUNTS = range(4)
-_SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long, total long"
+_SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long, total long, least int, most int"
 
 
 def matches(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +124,12 @@ def matches(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[met], b[met]
 
 
-def swept(pieces: DataFrame, gaps: DataFrame, most: int) -> DataFrame:
-    """The outcome of each range's sweep over pieces (number, size) and gaps (sequence, gap), `most` rows or fewer, as rows
-    of _SWEPT.
+def swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The outcome of each range's sweep over pieces (number, size) and gaps (sequence, gap), as rows of _SWEPT.
 
     `place` is a left-over piece's rank in its range from the largest on, a left-over gap's from the smallest on. A task's
-    counts are those of left-over pieces, their tokens, left-over gaps and matches. A task holds a range as three numbers
-    a row."""
+    counts are those of left-over pieces, their tokens and least size, left-over gaps and matches, and the largest gap that it
+    leaves. A task holds a range as three numbers a row."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -142,25 +143,79 @@ def swept(pieces: DataFrame, gaps: DataFrame, most: int) -> DataFrame:
         free[a] = open_[b] = False
         free, open_ = np.flatnonzero(free), np.flatnonzero(open_)
 
-        def rows(kind: int, n: int, number, size, sequence, gap, place, total=None) -> pa.RecordBatch:
+        def rows(kind: int, n: int, number, size, sequence, gap, place, total=None, least=None, most=None) -> pa.RecordBatch:
             fill = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind), pa.int32()), fill(number, pa.int64()), fill(size, pa.int32()), fill(sequence, pa.int64()), fill(gap, pa.int32()), pa.array(np.full(n, part), pa.int32()), fill(place, pa.int64()), fill(total, pa.int64())],
-                names=["kind", "number", "size", "sequence", "gap", "part", "place", "total"],
+                [pa.array(np.full(n, kind), pa.int32()), fill(number, pa.int64()), fill(size, pa.int32()), fill(sequence, pa.int64()), fill(gap, pa.int32()), pa.array(np.full(n, part), pa.int32()), fill(place, pa.int64()), fill(total, pa.int64()), fill(least, pa.int32()), fill(most, pa.int32())],
+                names=["kind", "number", "size", "sequence", "gap", "part", "place", "total", "least", "most"],
             )
 
         yield rows(MATCH, len(a), number[b], size[b], number[a], size[a], None)
         yield rows(PIECE, len(open_), number[open_], size[open_], None, None, np.arange(len(open_)))
         yield rows(GAP, len(free), None, None, number[free], size[free], np.arange(len(free))[::-1].copy())
-        yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)], [int(size[open_].sum(dtype=np.int64))])
+        widest = max(int((size[a] - size[b]).max(initial=0)), int(size[free].max(initial=0)))
+        yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)], [int(size[open_].sum(dtype=np.int64))], [int(size[open_].min(initial=1 << 30))], [widest])
 
+    return _dealt(pieces, gaps).mapInArrow(sweep, _SWEPT)
+
+
+def _dealt(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
+    """size, kind, number of pieces and gaps, range-sorted from large to small sizes."""
     items = pieces.select("size", F.lit(PIECE).alias("kind"), "number").union(gaps.select("gap", F.lit(GAP), "sequence"))
-    if most <= RANGE:
-        return items.repartition(1).sortWithinPartitions(F.desc("size"), "kind", "number").mapInArrow(sweep, _SWEPT)
     table, ranges = _ranges(items)
     part = F.col("first") + F.pmod(F.xxhash64("number"), F.col("ranges"))
     dealt = items.join(table, ["size", "kind"]).select("size", "kind", "number", part.cast("int").alias("part"))
-    return dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.desc("size"), "kind", "number").select("size", "kind", "number").mapInArrow(sweep, _SWEPT)
+    return dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.desc("size"), "kind", "number").select("size", "kind", "number")
+
+
+def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int, int]]:
+    """Runs of pieces (number, size) of `largest` or less in gaps (sequence, gap) of twice that and more: the matches (number,
+    size, sequence, gap: what of it is left when the piece comes), the gaps that are left, the pieces that are left, and these
+    pieces' tokens, number and least size.
+
+    Both are laid out along lines, the largest pieces and the smallest gaps first. A gap's part of its line is the gap less `largest` and one more, so
+    each but the last that pieces reach has a piece that begins there, and all that do fit."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ends = TaskContext.get().partitionId(), np.zeros(2, np.int64)
+        names = ["kind", "number", "size", "part", "at", "pieces", "gaps", "last"]
+        last = 0
+        for batch in batches:
+            size, kind, number = (c.to_numpy() for c in batch.columns)
+            is_gap = kind == GAP
+            lengths = np.where(is_gap, size - largest + 1, size).astype(np.int64)
+            at = np.empty(len(size), np.int64)
+            for k, own in enumerate((~is_gap, is_gap)):
+                upto = np.cumsum(lengths[own])
+                at[own] = ends[k] + upto - lengths[own]
+                ends[k] += int(upto[-1]) if len(upto) else 0
+            last = int(size[~is_gap][-1]) if (~is_gap).any() else last
+            none = pa.nulls(len(size), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(number), pa.array(size, pa.int32()), pa.array(np.full(len(size), part), pa.int32()), pa.array(at), none, none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([COUNTS], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array(ends[:1]), pa.array(ends[1:]), pa.array([last])], names=names)
+
+    step = stored(_dealt(pieces, gaps).mapInArrow(lay, "kind int, number long, size int, part int, at long, pieces long, gaps long, last long"), "laid")
+    counts = sorted((r["part"], r["pieces"], r["gaps"], r["last"]) for r in step.where(F.col("kind") == COUNTS).collect())
+    offsets, sums = ({}, {}), [0, 0]
+    for part, *totals, _ in counts:
+        for k in (0, 1):
+            offsets[k][part] = sums[k]
+            sums[k] += totals[k]
+    tail = next(c[3] for c in reversed(counts) if c[1])
+    x = step.where(F.col("kind") == PIECE).select("number", "size", (F.col("at") + _by_part(offsets[0])).alias("x"))
+    y = step.where(F.col("kind") == GAP).select(F.col("number").alias("sequence"), F.col("size").alias("gap"), (F.lit(sums[1]) - F.col("at") - _by_part(offsets[1])).alias("to"))
+    y = y.withColumn("y", F.col("to") - F.col("gap") + largest - 1)
+    bucket = lambda c: F.floor(c / F.lit(capacity)).cast("long")
+    placed = x.where(F.col("x") < sums[1]).withColumn("bucket", bucket(F.col("x")))
+    lines = y.where(F.col("y") <= sums[0] - tail).withColumn("bucket", F.explode(F.sequence(bucket(F.col("y")), bucket(F.col("to") - 1))))
+    met = placed.join(lines, "bucket").where((F.col("x") >= F.col("y")) & (F.col("x") < F.col("to")))
+    own = Window.partitionBy("sequence")  # of pieces that one gap holds
+    met = met.select("number", "size", "sequence", (F.col("gap") - F.col("x") + F.min("x").over(own)).alias("gap"), (F.col("gap") - F.sum("size").over(own)).alias("left"))
+    met = stored(met.select("number", "size", "sequence", F.col("gap").cast("int").alias("gap"), F.col("left").cast("int").alias("left")), "filled")
+    left = met.select("sequence", F.col("left").alias("gap")).distinct().union(y.where(F.col("y") > sums[0] - tail).select("sequence", "gap"))
+    rest = x.where(F.col("x") >= sums[1]).select("number", "size")
+    known = rest.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.min("size"), F.lit(0))).first() if sums[0] > sums[1] else (0, 0, 0)
+    return met.drop("left"), left.where("gap > 0"), rest, tuple(known)
 
 
 def _ranges(items: DataFrame) -> tuple[DataFrame, int]:
@@ -219,52 +274,99 @@ def _by_part(values: dict[int, int]) -> Column:
     return F.coalesce(F.element_at(table, F.col("part")), F.lit(0))
 
 
-def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """number, sequence_id, offset of each piece of a stored table (number, size). A sequence has its first piece's number."""
-    spark = sizes.sparkSession
-    none = spark.createDataFrame([], "sequence long, gap int")
-    out: list[DataFrame] = []
-    gaps, small = none, []
-    pieces = sizes.limit(0)
-    most = sizes.count()
-    for least in (math.ceil(capacity * FIRST), 0):
-        last = least == 0
-        pieces = pieces.union(sizes.where(F.col("size") < math.ceil(capacity * FIRST)) if last else sizes.where(F.col("size") >= least))
-        for x in small if last else []:
-            gaps = gaps.union(x)
-        while True:
-            step = stored(swept(pieces, gaps, most), "sweep")
-            counts = sorted((r["part"], r["number"], r["sequence"], r["place"], r["total"]) for r in step.where(F.col("kind") == COUNTS).collect())
-            runs = carried([c[:3] for c in counts])
-            met = stored(_met(step, runs).coalesce(n_partitions(spark) // 8 + 1), "carried") if runs else None
-            n_pieces = sum(c[1] + c[3] for c in counts)
-            n_met = sum(c[3] for c in counts) + sum(r[4] for r in runs)
-            most -= n_met  # a match leaves a gap, or none
-            gone, used = Counter(), Counter()
-            for part, _, other, _, n in runs:
-                gone[part] += n
-                used[other] += n
-            opened: Counter = Counter()
-            rest = step.where((F.col("kind") == PIECE) & (F.col("place") >= _by_part(gone)))
-            if n_met < n_pieces and n_met < BUSY * n_pieces and (last or not n_met):
-                tokens = rest.agg(F.sum("size")).first()[0] if runs else sum(c[4] for c in counts)
-                need = -(-tokens // capacity)
-                for part, n, *_ in counts:
-                    opened[part] = min(need, n - gone[part])
-                    need -= opened[part]
-            fresh = rest.where(F.col("place") < _by_part(gone + opened)).select("number", "size", F.col("number").alias("sequence"), F.lit(capacity).alias("gap"))
-            new = [step.where(F.col("kind") == MATCH).select("number", "size", "sequence", "gap"), *([met] if met is not None else []), *([fresh] if +opened else [])]
-            left = step.where((F.col("kind") == GAP) & (F.col("place") >= _by_part(used))).select("sequence", "gap")
-            for x in new:
-                out.append(x)
-                left = left.union(x.select("sequence", (F.col("gap") - F.col("size")).alias("gap")).where("gap > 0"))
-            pieces, gaps = rest.where(F.col("place") >= _by_part(gone + opened)).select("number", "size"), left.where(F.col("gap") >= least)
-            if not last:
-                small.append(left.where(F.col("gap") < least))
-            if n_met + sum(opened.values()) == n_pieces or not last and n_met < BUSY * n_pieces and not +opened:
-                break
+class _Open:
+    """The open pieces of a class and the gaps that may hold them, and what has been placed so far."""
+
+    def __init__(self, capacity: int, nothing: DataFrame):
+        self.capacity, self.supersteps, self.opened = capacity, 0, 0
+        self.out: list[DataFrame] = []
+        self.pieces = nothing
+        self.gaps = nothing.sparkSession.createDataFrame([], "sequence long, gap int")
+        self.tokens = self.count = self.least = 0
+
+    def fill(self, largest: int) -> None:
+        """Lays runs of pieces into the gaps of at least twice the largest size."""
+        wide = self.gaps.where(F.col("gap") >= 2 * largest)
+        if not self.count or wide.isEmpty():
+            return
+        met, left, self.pieces, (self.tokens, self.count, self.least) = filled(self.pieces, wide, largest, self.capacity)
+        self.out.append(met)
+        self.gaps = self._few(self.gaps.where(F.col("gap") < 2 * largest).union(left))
+        self.supersteps += 1
+
+    def _few(self, table: DataFrame) -> DataFrame:
+        """The table stored in few files, as supersteps are many and their tables small."""
+        return stored(table.coalesce(n_partitions(table.sparkSession) // 8 + 1), "gaps")
+
+    def sweep(self) -> bool:
+        """One superstep of single matches; whether another may match more."""
+        spark = self.gaps.sparkSession
+        step = stored(swept(self.pieces, self.gaps.where(F.col("gap") >= self.least)), "sweep")
+        counts = sorted((r["part"], r["number"], r["sequence"], r["place"], r["total"], r["least"], r["most"]) for r in step.where(F.col("kind") == COUNTS).collect())
+        runs = carried([c[:3] for c in counts])
+        met = stored(_met(step, runs).coalesce(n_partitions(spark) // 8 + 1), "carried") if runs else None
+        n_met = sum(c[3] for c in counts) + sum(r[4] for r in runs)
+        gone, used = Counter(), Counter()
+        for part, _, other, _, n in runs:
+            gone[part] += n
+            used[other] += n
+        new = [step.where(F.col("kind") == MATCH).select("number", "size", "sequence", "gap"), *([met] if met is not None else [])]
+        narrow = self.gaps.where(F.col("gap") < self.least)
+        left = step.where((F.col("kind") == GAP) & (F.col("place") >= _by_part(used))).select("sequence", "gap")
+        for x in new:
+            left = left.union(x.select("sequence", (F.col("gap") - F.col("size")).alias("gap")).where("gap > 0"))
+        self.out += new
+        self.gaps = self._few(left.union(narrow))
+        self.pieces = step.where((F.col("kind") == PIECE) & (F.col("place") >= _by_part(gone))).select("number", "size")
+        self.count = sum(c[1] for c in counts) - sum(gone.values())
+        self.tokens = sum(c[4] for c in counts)
+        self.least = min((c[5] for c in counts if c[1] > gone[c[0]]), default=self.least)
+        if runs and self.count:
+            self.tokens = self.pieces.agg(F.sum("size")).first()[0]
+        self.supersteps += 1
+        # gaps of the same range that stayed free are smaller than what was left over, but those of larger ones may not be
+        return bool(n_met and self.count and (runs or max(c[6] for c in counts) >= self.least))
+
+    def open(self) -> None:
+        """Opens as many sequences as the open pieces' tokens need at least."""
+        need = -(-self.tokens // self.capacity)
+        fresh = self.gaps.sparkSession.range(need).select((-1 - F.lit(self.opened) - F.col("id")).alias("sequence"), F.lit(self.capacity).alias("gap"))
+        self.opened += need
+        self.gaps = self.gaps.union(fresh)
+
+    def place(self, pieces: DataFrame, sizes: dict[int, int]) -> None:
+        """Places all pieces of a class; sizes: how many there are of each."""
+        self.pieces, self.count, self.tokens = pieces, sum(sizes.values()), sum(s * n for s, n in sizes.items())
+        self.least, largest = min(sizes), max(sizes)
+        few = largest * CLASS > self.capacity  # a gap holds a few of them
+        while self.count:
+            if not few:
+                self.fill(largest)
+            while self.count and self.sweep():
+                pass
+            if self.count:
+                self.open()
+
+
+def placed(sizes: DataFrame, capacity: int = CAPACITY, watch: Callable[[int], None] | None = None) -> DataFrame:
+    """number, sequence_id, offset of each piece of a stored table (number, size). A sequence that a piece of over half the
+    capacity opens has its number, others have negative ones. watch: is told the number of supersteps."""
+    known = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    state = _Open(capacity, sizes.limit(0))
+    alone = sizes.where(F.col("size") > capacity // 2).select("number", "size", F.col("number").alias("sequence"), F.lit(capacity).alias("gap"))
+    state.out.append(alone)
+    state.gaps = state.gaps.union(alone.select("sequence", (F.col("gap") - F.col("size")).alias("gap")).where("gap > 0"))
+    high = capacity // 2
+    while high:
+        low = high // (2 if high == capacity // 2 else CLASS)
+        own = {s: n for s, n in known.items() if low < s <= high}
+        if own:
+            state.place(sizes.where((F.col("size") > low) & (F.col("size") <= high)), own)
+        high = low
+    if watch:
+        watch(state.supersteps)
     result = sizes.limit(0).select("number", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    for x in out:
+    for x in state.out:
         result = result.union(x.select("number", F.col("sequence").alias("sequence_id"), (capacity - F.col("gap")).cast("long").alias("offset")))
     return result
 
