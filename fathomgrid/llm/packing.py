@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, in bulk-synchronous supersteps.
 
 Documents are tokenised and cut into pieces; only those over the capacity are cut. Pieces go by classes, from large to small:
-each class holds sizes down to a quarter of its largest. In a superstep Spark sorts a class's open pieces and the gaps that
+those of which a sequence holds one, two or three, then each class holds sizes down to a quarter of its largest. In a superstep Spark sorts a class's open pieces and the gaps that
 may hold them by size, from large to small, into ranges, whose borders come from counts by size. Each task sweeps over its
 range: a piece takes the smallest gap passed so far that is still free, its successor among the gaps. What a range leaves
 over, pieces without a gap and gaps without a piece, is carried down to the ranges of smaller sizes: the tasks' counts of
@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -356,13 +357,14 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY, watch: Callable[[int], No
     alone = sizes.where(F.col("size") > capacity // 2).select("number", "size", F.col("number").alias("sequence"), F.lit(capacity).alias("gap"))
     state.out.append(alone)
     state.gaps = state.gaps.union(alone.select("sequence", (F.col("gap") - F.col("size")).alias("gap")).where("gap > 0"))
-    high = capacity // 2
-    while high:
-        low = high // (2 if high == capacity // 2 else CLASS)
+    # those of which a sequence holds two, three, and more
+    ends = [capacity // 2, capacity // 3, capacity // 4]
+    while ends[-1]:
+        ends.append(ends[-1] // CLASS)
+    for high, low in pairwise(ends):
         own = {s: n for s, n in known.items() if low < s <= high}
         if own:
             state.place(sizes.where((F.col("size") > low) & (F.col("size") <= high)), own)
-        high = low
     if watch:
         watch(state.supersteps)
     result = sizes.limit(0).select("number", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
