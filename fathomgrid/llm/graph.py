@@ -91,13 +91,15 @@ def met_in_postings(rows: DataFrame, extra: str = "", good: Callable[[tuple, tup
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, f"key long, a long, b long{', ' * bool(extra)}{extra}")
 
 
-def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], near: Callable[[dict, dict], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], near: Callable[[dict, dict], Column], verify: Callable[[DataFrame], DataFrame], last: DataFrame | None = None, last_near: Callable[[dict, dict], Column] | None = None) -> DataFrame:
     """links (a, b) and more of them, between members of the large postings (key, id, extra columns), enough to have the same
     components as all verified pairs of members for which `near` holds of the extra columns.
 
     In each round the members outside a posting's largest component are compared with one member of it, a different one
     for each posting and round, until a round links few of them; then only the pairs are left that no links join yet, and
     these are all verified. Between rounds only the components that new links join are labelled anew.
+    last (id, more columns), last_near: wide columns that only the last step looks at, so that rounds don't carry them, and what
+    must hold of them besides.
     """
     columns = ["id", *extra]
     own, other = {k: F.col(k) for k in extra}, {k: F.col(f"x_{k}") for k in extra}
@@ -120,6 +122,14 @@ def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], nea
         before, state = state, stored(state.join(moved, "c", "left").select("key", *columns, F.coalesce("root", "c").alias("c")), "large")
         dropped(before)
     links = links.union(found)
-    rest = state.join(main.select("key", "main"), "key").where("c != main").select("key", *(F.col(k).alias(f"x_{k}") for k in (*columns, "c")))
-    apart = rest.join(state, "key").where((F.col("x_c") != F.col("c")) & near(other, own)).select(*pair).distinct()
+    rest = state.join(main.select("key", "main"), "key").where("c != main")
+    both = near(other, own)
+    if last is not None:
+        wide = [k for k in last.columns if k != "id"]
+        in_mixed = state.join(rest.select("key").distinct(), "key", "left_semi")
+        rest, state = rest.join(last, "id"), in_mixed.join(last, "id")
+        columns = [*columns, *wide]
+        both &= last_near({k: F.col(f"x_{k}") for k in wide}, {k: F.col(k) for k in wide})
+    rest = rest.select("key", *(F.col(k).alias(f"x_{k}") for k in (*columns, "c")))
+    apart = rest.join(state, "key").where((F.col("x_c") != F.col("c")) & both).select(*pair).distinct()
     return links.union(verify(apart))

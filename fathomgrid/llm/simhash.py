@@ -241,7 +241,8 @@ def _similar(docs: DataFrame, owners: DataFrame, words: int, least: float) -> Da
     met = stored(met, "met")
     cleaned(docs.sparkSession)
     large = met.where("b is null").select("key", F.col("a").alias("id"), "place", "n")
-    large = stored(large.join(owners.select("id", "parity"), "id").select("key", "id", "place", "n", "parity"), "large")
+    large = stored(large, "large")
+    parity = stored(owners.select("id", "n", "parity").join(large.select("id").distinct(), "id", "left_semi"), "parity")
     pairs = stored(met.where("b is not null").select("a", "b").distinct(), "candidates")
     dropped(met)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
@@ -249,10 +250,18 @@ def _similar(docs: DataFrame, owners: DataFrame, words: int, least: float) -> Da
     links = _linked(pairs, sets, least)
     cleaned(docs.sparkSession)
     if not large.isEmpty():
-        near = lambda x, y: _reach(least, x["n"], y["n"], x["place"], y["place"], F.least, F.greatest) & _parities_allow(least, x["n"], y["n"], x["parity"], y["parity"])
-        links = linked_in_postings(large, links, ["place", "n", "parity"], near, lambda p: _verified(p, sets, least))
+        near = lambda x, y: _reach(least, x["n"], y["n"], x["place"], y["place"], F.least, F.greatest)
+        odd = lambda x, y: _parities_allow(least, x["m"], y["m"], x["parity"], y["parity"])
+        m = parity.select("id", F.col("n").alias("m"), "parity")
+        ends = [m.select(*(F.col(c).alias(f"{k}_{c}") for c in m.columns)) for k in "ab"]
+
+        def verify(p: DataFrame) -> DataFrame:
+            p = p.join(ends[0], F.col("a") == F.col("a_id")).join(ends[1], F.col("b") == F.col("b_id"))
+            return _verified(p.where(odd(*({c: F.col(f"{k}_{c}") for c in ("m", "parity")} for k in "ab"))).select("a", "b"), sets, least)
+
+        links = linked_in_postings(large, links, ["place", "n"], near, verify, m, odd)
     labels = components(links)
-    dropped(large, pairs, sets)
+    dropped(large, parity, pairs, sets)
     cleaned(docs.sparkSession)
     return labels
 
