@@ -14,7 +14,7 @@ from ..functions import geometry, scalars
 from ..operators import asof, detect, fold, frames, masks, metrics, palette, raster, regions, sweep
 from ..sources import ranges, records
 from ..sources.shared import kept, shared_folder
-from ..streaming import folds
+from ..streaming import folds, nearest
 from .registry import query, r6, table
 
 SCREEN, FANS = "error", ["click", "purchase", "signup", "view"]
@@ -508,3 +508,20 @@ def late_fold(spark, sf_dir):
     e.limit(1).select(F.lit(None).cast("string").alias("stream"), F.lit(_CLOSED).alias("t"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x")).coalesce(1).write.mode("append").parquet(path)
     rows = spark.readStream.schema(e.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(path)
     return _run_fold(spark, rows, "3 hours")
+
+
+@query(_nearest_sql("earlier") + "\nselect screen_id, stream, case when gap <= 600000000 then found_id end as found_id, case when gap <= 600000000 then round(gap / 1000.0) / 1000.0 end as delta_s from met")
+def nearest_stream(spark, sf_dir):
+    """Screens against fans as two streams over the table's files, until closing rows of both have moved the watermark past all."""
+    import uuid
+
+    spark.conf.set(*folds.STATE_STORE)
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = rows.select(F.col("event_type").alias("stream"), scalars.micros(F.col("ts")).alias("t"), F.col("event_id").alias("id"))
+    last = _closing(spark).select(F.lit(FANS[0]).alias("stream"), "t", "id")
+    met = nearest.nearest_stream(rows.where(F.col("stream") == SCREEN).unionByName(last), rows.where(F.col("stream") != SCREEN).unionByName(last), FANS, 600_000_000, "earlier")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    job = met.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    found = spark.read.parquet(f"{out}/rows")
+    return found.select(F.col("id").alias("screen_id"), "stream", "found_id", scalars.seconds3(F.abs(F.col("t") - F.col("found_t"))).alias("delta_s"))

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fathomgrid.streaming import folds, ordered
+from fathomgrid.operators import asof
+from fathomgrid.streaming import folds, nearest, ordered
 from tests.stream_helpers import Counted
 
 SCHEMA = "stream string, t long, id long, x double"
@@ -123,3 +124,23 @@ def test_a_key_of_a_million_rows_is_folded_by_slots(spark, tmp_path):
     for i in range(200):  # as good as the whole sum, since older rows weigh less than a double holds
         y = 0.5 * ((n - 200 + i) % 10) + 0.5 * y
     assert out.count() == n and abs(out.where(F.col("id") == n - 1).first()["y"] - y) < 1e-12
+
+
+@pytest.mark.parametrize("tie", ["later", "earlier"])
+def test_nearest_of_two_streams_equals_the_batch_form(spark, tmp_path, tie):
+    rng = random.Random(8)
+    drivers = [(None, rng.randrange(1, 3000) * SECOND, i, 0.0) for i in range(120)] + [(None, 500 * SECOND, 200, 0.0)]
+    cands = [(rng.choice("ab"), rng.randrange(1, 300) * 10 * SECOND, 1000 + i, 0.0) for i in range(150)] + [("a", 490 * SECOND, 2000, 0.0), ("a", 510 * SECOND, 2001, 0.0), ("a", 490 * SECOND, 2002, 0.0), ("x", 5 * SECOND, 2003, 0.0)]
+    late = lambda rows: sorted(rows, key=lambda r: r[1] + rng.randrange(0, 120) * SECOND)
+    for name, rows in (("d", late(drivers)), ("c", late(cands))):
+        for k in range(0, len(rows), 40):
+            write(spark, tmp_path / name, rows[k : k + 40])
+        write(spark, tmp_path / name, [("a", 1 << 52, None, None)])
+    tolerance = 25 * SECOND
+    met = nearest.nearest_stream(source(spark, tmp_path / "d"), source(spark, tmp_path / "c"), ["a", "b", "c"], tolerance, tie, "2 minutes", 60 * SECOND)
+    run(spark, met, tmp_path)
+    batch = asof.nearest(spark.createDataFrame(drivers, SCHEMA).drop("stream", "x"), spark.createDataFrame(cands, SCHEMA), ["a", "b", "c"], tie, tolerance)
+    want = sorted((r["stream"], r["driver"]["id"], r["found"]["id"] if r["found"] else -1) for r in batch.collect())
+    found = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["stream"], r["id"], -1 if r["found_id"] is None else r["found_id"]) for r in found) == want
+    assert len([x for x in want if x[2] >= 0]) > 100
