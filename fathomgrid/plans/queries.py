@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
-from ..operators import asof, detect, fold, frames, masks, metrics, palette, raster, regions, sweep
+from ..operators import asof, colors, detect, fold, frames, masks, metrics, palette, raster, regions, sweep
 from ..sources import ranges, records
 from ..sources.shared import kept, shared_folder
 from ..streaming import folds, nearest
@@ -525,3 +525,28 @@ def nearest_stream(spark, sf_dir):
     job.awaitTermination()
     found = spark.read.parquet(f"{out}/rows")
     return found.select(F.col("id").alias("screen_id"), "stream", "found_id", scalars.seconds3(F.abs(F.col("t") - F.col("found_t"))).alias("delta_s"))
+
+
+def _colored(spark, sf_dir) -> DataFrame:
+    """Pixels made of lineitem: a supplier is a picture."""
+    line = table(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_suppkey").alias("picture"), F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x"), (F.col("l_quantity") * 5).cast("int").alias("r"), F.floor(F.round(F.col("l_discount") * 100) * 25).cast("int").alias("g"), (F.col("l_linenumber") * 36).alias("b"))
+
+
+@query("""
+with p as (select l_suppkey as picture, l_orderkey as y, l_linenumber as x, cast(l_quantity * 5 as int) as r, cast(floor(round(l_discount * 100) * 25) as int) as g, l_linenumber * 36 as b from lineitem),
+c as (select picture, avg(r) as cr, avg(g) as cg, avg(b) as cb from p where picture % 7 <> 0 group by all),
+d as (select p.*, coalesce((r - cr) * (r - cr) + (g - cg) * (g - cg) + (b - cb) * (b - cb) <= 6400, false) as near from p left join c using (picture))
+select picture, y, x, case when near then 0 else r end as r, case when near then 0 else g end as g, case when near then 0 else b end as b from d""")
+def background_strip(spark, sf_dir):
+    """Pictures without the colours around given ones: the mean of all pixels, for six pictures of seven."""
+    pixels = _colored(spark, sf_dir)
+    given = pixels.where("picture % 7 <> 0").groupBy("picture").agg(*(F.avg(c).alias(c) for c in colors.RGB))
+    return colors.stripped(pixels, given, "picture", 80.0)
+
+
+@query()
+def background_colors(spark, sf_dir):
+    """The background colour of each picture by k-means over its colours."""
+    found = colors.backgrounds(colors.color_counts(_colored(spark, sf_dir), "picture"), "picture")
+    return found.select("picture", *(r6(c, c, 4) for c in colors.RGB))
