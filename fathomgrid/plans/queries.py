@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
-from ..operators import asof, colors, detect, fold, frames, masks, metrics, palette, raster, regions, sweep
+from ..operators import asof, colors, conversion, detect, fold, frames, masks, metrics, palette, raster, regions, sweep
 from ..sources import ranges, records
 from ..sources.shared import kept, shared_folder
 from ..streaming import folds, nearest
@@ -550,3 +550,28 @@ def background_colors(spark, sf_dir):
     """The background colour of each picture by k-means over its colours."""
     found = colors.backgrounds(colors.color_counts(_colored(spark, sf_dir), "picture"), "picture")
     return found.select("picture", *(r6(c, c, 4) for c in colors.RGB))
+
+
+_FAN, _RING = "[-31.0, -20.5, -9.75, 0.25, 10.5, 21.0, 30.5]", "[-154.0, -102.5, -51.25, 0.5, 51.75, 103.0, 154.5]"
+_CELLS = "select l_suppkey as frame, l_suppkey % 2 as g, l_linenumber - 1 as beam, cast(l_quantity as int) - 1 as sample, max(l_extendedprice / 110000) as v from lineitem group by all"
+
+
+@query(f"""
+with c as ({_CELLS}),
+geo as (select * from (values (0, {_FAN}, -13.37, 26.71, 12.93, 13.01), (1, {_RING}, -12.93, 25.77, 12.81, 25.79)) t(g, az, min_h, span_h, max_v, span_v)),
+p as (select g, az, py, px, min_h + px / 24.0 * span_h as y, max_v - py / 24.0 * span_v as x from geo, range(24) a(py), range(24) b(px)),
+q as (select *, sqrt(x * x + y * y) / 0.25 - 1 as place, degrees(atan2(y, x)) as a0 from p),
+w as (select *, az[1] + (a0 - az[1]) - 360 * floor((a0 - az[1]) / 360) as a from q),
+s as (select *, a > az[7] as seam, len(list_filter(az, lambda v: v < a)) as j, cast(floor(place) as int) as s0 from w where place >= 0 and place <= 49 and (a <= az[7] or az[7] - az[1] > 300)),
+b as (select *, case when seam then 6 else greatest(j - 1, 0) end as b0, case when seam then 0 else least(j, 6) end as b1, place - s0 as fs, least(s0 + 1, 49) as s1 from s),
+f as (select *, case when b0 = b1 then 0 else (a - az[b0 + 1]) / (case when seam then az[1] + 360 - az[7] else az[b1 + 1] - az[b0 + 1] end) end as fb from b),
+t as (select g, py, px, b0 as beam, s0 as sample, (1 - fb) * (1 - fs) as weight from f union all select g, py, px, b0, s1, (1 - fb) * fs from f
+      union all select g, py, px, b1, s0, fb * (1 - fs) from f union all select g, py, px, b1, s1, fb * fs from f)
+select frame, cast(py as int) as py, cast(px as int) as px, round(sum(v * weight), 6) as value from c join t using (g, beam, sample) where weight > 0 group by frame, py, px""")
+def scan_converted(spark, sf_dir):
+    """Cells made of lineitem, a supplier's as a picture of 24 by 24 pixels: even ones by a fan, odd ones by a ring."""
+    line = table(spark, sf_dir, "lineitem")
+    cells = line.groupBy(F.col("l_suppkey").alias("frame"), (F.col("l_suppkey") % 2).cast("int").alias("g"), (F.col("l_linenumber") - 1).alias("beam"), (F.col("l_quantity").cast("int") - 1).alias("sample")).agg((F.max("l_extendedprice") / 110000).alias("v"))
+    fans = [(0, [float(x) for x in _FAN[1:-1].split(",")], 50, 0.25, -13.37, 26.71, 12.93, 13.01), (1, [float(x) for x in _RING[1:-1].split(",")], 50, 0.25, -12.93, 25.77, 12.81, 25.79)]
+    geo = spark.createDataFrame(fans, "g int, beams array<double>, samples int, step double, min_h double, span_h double, max_v double, span_v double")
+    return conversion.converted(cells, conversion.taps(geo, "g", 24), ["frame"], "g").select("frame", "py", "px", r6("value", "value"))
