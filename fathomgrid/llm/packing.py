@@ -1,14 +1,14 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, in bulk-synchronous supersteps.
 
 Documents are tokenised and cut into pieces; only those over the capacity are cut. Pieces go by classes, from large to small:
-those of which a sequence holds one, two or three, then each class holds sizes down to a quarter of its largest. In a superstep Spark sorts a class's open pieces and the gaps that
+those of which a sequence holds one, two, three, and all smaller ones. In a superstep Spark sorts a class's open pieces and the gaps that
 may hold them by size, from large to small, into ranges, whose borders come from counts by size. Each task sweeps over its
 range: a piece takes the smallest gap passed so far that is still free, its successor among the gaps. What a range leaves
 over, pieces without a gap and gaps without a piece, is carried down to the ranges of smaller sizes: the tasks' counts of
 both settle which ranks of pieces meet which ranks of gaps, and a join by rank matches them. Then all gaps shrink at once,
 and what found no gap waits for the next superstep.
 
-A gap of twice a small class's largest size and more takes a run of pieces in one superstep: pieces and gaps are laid out
+A gap of twice the largest open size and more takes a run of small pieces in one superstep: pieces and gaps are laid out
 along lines, by sums over their ranges, and a piece goes to the gap on whose part of the line it begins; that part is shorter
 than the gap by a piece less one, so that what begins there fits. Sequences open only when no gap holds an open piece, as
 many as the rest's tokens need at least. Every superstep's outcome is a stored table; the driver sees counts by size and by
@@ -40,7 +40,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker keeps, about 200 bytes each.
 WORDS = 250_000
-#: A class of pieces reaches down to its largest size by this.
+#: Pieces of which a sequence holds at least so many are laid into gaps by runs.
 CLASS = 4
 
 
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 RANGE = 1 << 14
 #: Kinds of rows that a sweep gives out: a gap and a piece left over, a match, and a task's counts.
 GAP, PIECE, MATCH, COUNTS = range(4)
-_SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long, total long, least int, most int"
+_SWEPT = "kind int, number long, size int, sequence long, gap int, part int, place long, total long, least int, largest int, most int"
 
 
 def matches(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +129,8 @@ def swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
     """The outcome of each range's sweep over pieces (number, size) and gaps (sequence, gap), as rows of _SWEPT.
 
     `place` is a left-over piece's rank in its range from the largest on, a left-over gap's from the smallest on. A task's
-    counts are those of left-over pieces, their tokens and least size, left-over gaps and matches, and the largest gap that it
-    leaves. A task holds a range as three numbers a row."""
+    counts are those of left-over pieces, their tokens, least and largest size, left-over gaps and matches, and the largest gap
+    that it leaves. A task holds a range as three numbers a row."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -144,18 +144,18 @@ def swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
         free[a] = open_[b] = False
         free, open_ = np.flatnonzero(free), np.flatnonzero(open_)
 
-        def rows(kind: int, n: int, number, size, sequence, gap, place, total=None, least=None, most=None) -> pa.RecordBatch:
+        def rows(kind: int, n: int, number, size, sequence, gap, place, total=None, least=None, largest=None, most=None) -> pa.RecordBatch:
             fill = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind), pa.int32()), fill(number, pa.int64()), fill(size, pa.int32()), fill(sequence, pa.int64()), fill(gap, pa.int32()), pa.array(np.full(n, part), pa.int32()), fill(place, pa.int64()), fill(total, pa.int64()), fill(least, pa.int32()), fill(most, pa.int32())],
-                names=["kind", "number", "size", "sequence", "gap", "part", "place", "total", "least", "most"],
+                [pa.array(np.full(n, kind), pa.int32()), fill(number, pa.int64()), fill(size, pa.int32()), fill(sequence, pa.int64()), fill(gap, pa.int32()), pa.array(np.full(n, part), pa.int32()), fill(place, pa.int64()), fill(total, pa.int64()), fill(least, pa.int32()), fill(largest, pa.int32()), fill(most, pa.int32())],
+                names=["kind", "number", "size", "sequence", "gap", "part", "place", "total", "least", "largest", "most"],
             )
 
         yield rows(MATCH, len(a), number[b], size[b], number[a], size[a], None)
         yield rows(PIECE, len(open_), number[open_], size[open_], None, None, np.arange(len(open_)))
         yield rows(GAP, len(free), None, None, number[free], size[free], np.arange(len(free))[::-1].copy())
         widest = max(int((size[a] - size[b]).max(initial=0)), int(size[free].max(initial=0)))
-        yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)], [int(size[open_].sum(dtype=np.int64))], [int(size[open_].min(initial=1 << 30))], [widest])
+        yield rows(COUNTS, 1, [len(open_)], None, [len(free)], None, [len(a)], [int(size[open_].sum(dtype=np.int64))], [int(size[open_].min(initial=1 << 30))], [int(size[open_].max(initial=0))], [widest])
 
     return _dealt(pieces, gaps).mapInArrow(sweep, _SWEPT)
 
@@ -169,10 +169,10 @@ def _dealt(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
     return dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.desc("size"), "kind", "number").select("size", "kind", "number")
 
 
-def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int, int]]:
+def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int, int, int]]:
     """Runs of pieces (number, size) of `largest` or less in gaps (sequence, gap) of twice that and more: the matches (number,
     size, sequence, gap: what of it is left when the piece comes), the gaps that are left, the pieces that are left, and these
-    pieces' tokens, number and least size.
+    pieces' tokens, number, least and largest size.
 
     Both are laid out along lines, the largest pieces and the smallest gaps first. A gap's part of its line is the gap less `largest` and one more, so
     each but the last that pieces reach has a piece that begins there, and all that do fit."""
@@ -215,7 +215,7 @@ def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int) -> t
     met = stored(met.select("number", "size", "sequence", F.col("gap").cast("int").alias("gap"), F.col("left").cast("int").alias("left")), "filled")
     left = met.select("sequence", F.col("left").alias("gap")).distinct().union(y.where(F.col("y") > sums[0] - tail).select("sequence", "gap"))
     rest = x.where(F.col("x") >= sums[1]).select("number", "size")
-    known = rest.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.min("size"), F.lit(0))).first() if sums[0] > sums[1] else (0, 0, 0)
+    known = rest.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.min("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first() if sums[0] > sums[1] else (0, 0, 0, 0)
     return met.drop("left"), left.where("gap > 0"), rest, tuple(known)
 
 
@@ -283,17 +283,22 @@ class _Open:
         self.out: list[DataFrame] = []
         self.pieces = nothing
         self.gaps = nothing.sparkSession.createDataFrame([], "sequence long, gap int")
-        self.tokens = self.count = self.least = 0
+        self.tokens = self.count = self.least = self.largest = 0
+        #: No gap is larger.
+        self.widest = capacity
 
-    def fill(self, largest: int) -> None:
-        """Lays runs of pieces into the gaps of at least twice the largest size."""
+    def fill(self) -> bool:
+        """Lays runs of pieces into the gaps of at least twice the largest size, if there are any."""
+        largest = self.largest
         wide = self.gaps.where(F.col("gap") >= 2 * largest)
-        if not self.count or wide.isEmpty():
-            return
-        met, left, self.pieces, (self.tokens, self.count, self.least) = filled(self.pieces, wide, largest, self.capacity)
+        if largest * CLASS > self.capacity or self.widest < 2 * largest or wide.isEmpty():
+            return False
+        met, left, self.pieces, (self.tokens, self.count, self.least, self.largest) = filled(self.pieces, wide, largest, self.capacity)
+        self.widest = 2 * largest - 1 if self.count else self.capacity  # with pieces left over, every wide gap is filled
         self.out.append(met)
         self.gaps = self._few(self.gaps.where(F.col("gap") < 2 * largest).union(left))
         self.supersteps += 1
+        return True
 
     def _few(self, table: DataFrame) -> DataFrame:
         """The table stored in few files, as supersteps are many and their tables small."""
@@ -303,7 +308,7 @@ class _Open:
         """One superstep of single matches; whether another may match more."""
         spark = self.gaps.sparkSession
         step = stored(swept(self.pieces, self.gaps.where(F.col("gap") >= self.least)), "sweep")
-        counts = sorted((r["part"], r["number"], r["sequence"], r["place"], r["total"], r["least"], r["most"]) for r in step.where(F.col("kind") == COUNTS).collect())
+        counts = sorted((r["part"], r["number"], r["sequence"], r["place"], r["total"], r["least"], r["most"], r["largest"]) for r in step.where(F.col("kind") == COUNTS).collect())
         runs = carried([c[:3] for c in counts])
         met = stored(_met(step, runs).coalesce(n_partitions(spark) // 8 + 1), "carried") if runs else None
         n_met = sum(c[3] for c in counts) + sum(r[4] for r in runs)
@@ -322,6 +327,8 @@ class _Open:
         self.count = sum(c[1] for c in counts) - sum(gone.values())
         self.tokens = sum(c[4] for c in counts)
         self.least = min((c[5] for c in counts if c[1] > gone[c[0]]), default=self.least)
+        self.largest = max((c[7] for c in counts if c[1] > gone[c[0]]), default=self.largest)
+        self.widest = max(c[6] for c in counts)  # what is carried shrinks gaps of these
         if runs and self.count:
             self.tokens = self.pieces.agg(F.sum("size")).first()[0]
         self.supersteps += 1
@@ -329,23 +336,22 @@ class _Open:
         return bool(n_met and self.count and (runs or max(c[6] for c in counts) >= self.least))
 
     def open(self) -> None:
-        """Opens as many sequences as the open pieces' tokens need at least."""
-        need = -(-self.tokens // self.capacity)
+        """Opens as many sequences as the open pieces need at least: any two or three of up to a half or a third of the capacity
+        fit, and no more; smaller ones need what their tokens do."""
+        many = self.largest * CLASS > self.capacity
+        need = -(-self.count // self.each) if many else -(-self.tokens // self.capacity)
         fresh = self.gaps.sparkSession.range(need).select((-1 - F.lit(self.opened) - F.col("id")).alias("sequence"), F.lit(self.capacity).alias("gap"))
         self.opened += need
         self.gaps = self.gaps.union(fresh)
+        self.widest = self.capacity
 
-    def place(self, pieces: DataFrame, sizes: dict[int, int]) -> None:
-        """Places all pieces of a class; sizes: how many there are of each."""
+    def place(self, pieces: DataFrame, sizes: dict[int, int], each: int) -> None:
+        """Places all pieces of a class; sizes: how many there are of each; each: how many of the largest a sequence holds."""
+        self.each = each
         self.pieces, self.count, self.tokens = pieces, sum(sizes.values()), sum(s * n for s, n in sizes.items())
-        self.least, largest = min(sizes), max(sizes)
-        few = largest * CLASS > self.capacity  # a gap holds a few of them
+        self.least, self.largest, self.widest = min(sizes), max(sizes), self.capacity
         while self.count:
-            if not few:
-                self.fill(largest)
-            while self.count and self.sweep():
-                pass
-            if self.count:
+            if not self.fill() and not self.sweep() and self.count:
                 self.open()
 
 
@@ -358,13 +364,11 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY, watch: Callable[[int], No
     state.out.append(alone)
     state.gaps = state.gaps.union(alone.select("sequence", (F.col("gap") - F.col("size")).alias("gap")).where("gap > 0"))
     # those of which a sequence holds two, three, and more
-    ends = [capacity // 2, capacity // 3, capacity // 4]
-    while ends[-1]:
-        ends.append(ends[-1] // CLASS)
+    ends = [capacity // 2, capacity // 3, capacity // CLASS, 0]
     for high, low in pairwise(ends):
         own = {s: n for s, n in known.items() if low < s <= high}
         if own:
-            state.place(sizes.where((F.col("size") > low) & (F.col("size") <= high)), own)
+            state.place(sizes.where((F.col("size") > low) & (F.col("size") <= high)), own, capacity // high)
     if watch:
         watch(state.supersteps)
     result = sizes.limit(0).select("number", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
