@@ -169,13 +169,14 @@ def _dealt(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
     return dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.desc("size"), "kind", "number").select("size", "kind", "number")
 
 
-def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int, int, int]]:
+def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int, each: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int, int, int]]:
     """Runs of pieces (number, size) of `largest` or less in gaps (sequence, gap) of twice that and more: the matches (number,
     size, sequence, gap: what of it is left when the piece comes), the gaps that are left, the pieces that are left, and these
     pieces' tokens, number, least and largest size.
 
     Both are laid out along lines, the largest pieces and the smallest gaps first. A gap's part of its line is the gap less `largest` and one more, so
-    each but the last that pieces reach has a piece that begins there, and all that do fit."""
+    each but the last that pieces reach has a piece that begins there, and all that do fit. With `each`, lines count pieces:
+    a gap, of so many times `largest` and more, takes so many."""
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ends = TaskContext.get().partitionId(), np.zeros(2, np.int64)
@@ -184,7 +185,7 @@ def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int) -> t
         for batch in batches:
             size, kind, number = (c.to_numpy() for c in batch.columns)
             is_gap = kind == GAP
-            lengths = np.where(is_gap, size - largest + 1, size).astype(np.int64)
+            lengths = np.where(is_gap, each or size - largest + 1, 1 if each else size).astype(np.int64)
             at = np.empty(len(size), np.int64)
             for k, own in enumerate((~is_gap, is_gap)):
                 upto = np.cumsum(lengths[own])
@@ -202,16 +203,17 @@ def filled(pieces: DataFrame, gaps: DataFrame, largest: int, capacity: int) -> t
         for k in (0, 1):
             offsets[k][part] = sums[k]
             sums[k] += totals[k]
-    tail = next(c[3] for c in reversed(counts) if c[1])
+    tail = 1 if each else next(c[3] for c in reversed(counts) if c[1])
     x = step.where(F.col("kind") == PIECE).select("number", "size", (F.col("at") + _by_part(offsets[0])).alias("x"))
     y = step.where(F.col("kind") == GAP).select(F.col("number").alias("sequence"), F.col("size").alias("gap"), (F.lit(sums[1]) - F.col("at") - _by_part(offsets[1])).alias("to"))
-    y = y.withColumn("y", F.col("to") - F.col("gap") + largest - 1)
+    y = y.withColumn("y", F.col("to") - (F.lit(each) if each else F.col("gap") - largest + 1))
     bucket = lambda c: F.floor(c / F.lit(capacity)).cast("long")
     placed = x.where(F.col("x") < sums[1]).withColumn("bucket", bucket(F.col("x")))
     lines = y.where(F.col("y") <= sums[0] - tail).withColumn("bucket", F.explode(F.sequence(bucket(F.col("y")), bucket(F.col("to") - 1))))
     met = placed.join(lines, "bucket").where((F.col("x") >= F.col("y")) & (F.col("x") < F.col("to")))
     own = Window.partitionBy("sequence")  # of pieces that one gap holds
-    met = met.select("number", "size", "sequence", (F.col("gap") - F.col("x") + F.min("x").over(own)).alias("gap"), (F.col("gap") - F.sum("size").over(own)).alias("left"))
+    before = F.coalesce(F.sum("size").over(own.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = met.select("number", "size", "sequence", (F.col("gap") - before).alias("gap"), (F.col("gap") - F.sum("size").over(own)).alias("left"))
     met = stored(met.select("number", "size", "sequence", F.col("gap").cast("int").alias("gap"), F.col("left").cast("int").alias("left")), "filled")
     left = met.select("sequence", F.col("left").alias("gap")).distinct().union(y.where(F.col("y") > sums[0] - tail).select("sequence", "gap"))
     rest = x.where(F.col("x") >= sums[1]).select("number", "size")
@@ -288,15 +290,16 @@ class _Open:
         self.widest = capacity
 
     def fill(self) -> bool:
-        """Lays runs of pieces into the gaps of at least twice the largest size, if there are any."""
-        largest = self.largest
-        wide = self.gaps.where(F.col("gap") >= 2 * largest)
-        if largest * CLASS > self.capacity or self.widest < 2 * largest or wide.isEmpty():
+        """Lays runs of pieces into the gaps of at least twice the largest size, or pairs and threes into those that hold any such,
+        if there are gaps like that."""
+        each = self.each if self.largest * CLASS > self.capacity else 0
+        wide = (each or 2) * self.largest
+        if self.widest < wide or self.gaps.where(F.col("gap") >= wide).isEmpty():
             return False
-        met, left, self.pieces, (self.tokens, self.count, self.least, self.largest) = filled(self.pieces, wide, largest, self.capacity)
-        self.widest = 2 * largest - 1 if self.count else self.capacity  # with pieces left over, every wide gap is filled
+        met, left, self.pieces, (self.tokens, self.count, self.least, self.largest) = filled(self.pieces, self.gaps.where(F.col("gap") >= wide), self.largest, self.capacity, each)
+        self.widest = self.capacity if each or not self.count else wide - 1  # with pieces left over, every wide gap is filled
         self.out.append(met)
-        self.gaps = self._few(self.gaps.where(F.col("gap") < 2 * largest).union(left))
+        self.gaps = self._few(self.gaps.where(F.col("gap") < wide).union(left))
         self.supersteps += 1
         return True
 
