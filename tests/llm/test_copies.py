@@ -125,6 +125,37 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [out[i] for i in range(len(texts))] == components_of(len(texts), pairs)
 
 
+def test_near_duplicates_come_from_fingerprints(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(100):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 400))]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([words, edited_words(rng, words, max(1, len(words) // 70))])]
+    rows += [(200 + i, " ".join(edited_words(rng, "a b c d e f g h i j k l m n o p q r s t u v w x y z".split() * 6, 2))) for i in range(100)]
+    none = lambda rows, *_: rows.selectExpr("key", "id as a", "cast(null as long) as b", "place", "n").limit(0)
+    monkeypatch.setattr(simhash, "met_in_postings", none)  # nothing from the rarest shingles
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i in kept for i in range(0, 201, 2))
+    assert sum(i in kept for i in range(1, 200, 2)) <= 2
+
+
+def test_members_of_a_fingerprint_posting_meet_over_batches(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 64, dtype=np.uint8)
+    rows = []
+    for i in range(300):
+        x = base.copy() if i % 3 else rng.integers(0, 256, 64, dtype=np.uint8)
+        x[rng.choice(64, 6, replace=False)] ^= 1
+        rows.append((i, x.view(np.int64).tolist()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        pairs = [tuple(r) for r in simhash.by_fingerprint(spark.createDataFrame(rows, "id long, print array<long>")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(set(pairs)) == len(pairs) and all(a < b and a % 3 and b % 3 for a, b in pairs)
+    assert components_of(300, pairs) == [i if i % 3 == 0 else 1 for i in range(300)]
+
+
 def walk(text):
     codes, _ = fingerprints._codes([text])
     level, at, step, out = fingerprints.level_of(len(text)), 0, 0, ""
