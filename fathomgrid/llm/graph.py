@@ -91,6 +91,24 @@ def met_in_postings(rows: DataFrame, extra: str = "", good: Callable[[tuple, tup
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, f"key long, a long, b long{', ' * bool(extra)}{extra}")
 
 
+def starred_in_postings(rows: DataFrame) -> DataFrame:
+    """key, a, b (a < b): in each posting of rows (key, id, both long) a member with the smallest and with the one before it,
+    so that pairs grow with the members. Postings of any size are read batch by batch."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), np.int64)  # key, smallest and last id of the posting that may go on
+        for batch in batches:
+            key, b = (np.concatenate((h, c.to_numpy())) for h, c in zip(held[[0, 2]], batch.columns, strict=True))
+            begins = np.append(True, key[1:] != key[:-1])[: len(key)]
+            least = np.append(held[1], b[held.shape[1] :])[begins][np.cumsum(begins) - 1]
+            before = np.append(b[:1], b[:-1])
+            star, chain = ~begins & (b != least), ~begins & (b != before) & (before != least)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(key[star], key[chain])), pa.array(np.append(least[star], before[chain])), pa.array(np.append(b[star], b[chain]))], names=["key", "a", "b"])
+            held = np.array([key[-1:], least[-1:], b[-1:]])
+
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key long, a long, b long")
+
+
 def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], near: Callable[[dict, dict], Column], verify: Callable[[DataFrame], DataFrame], last: DataFrame | None = None, last_near: Callable[[dict, dict], Column] | None = None) -> DataFrame:
     """links (a, b) and more of them, between members of the large postings (key, id, extra columns), enough to have the same
     components as all verified pairs of members for which `near` holds of the extra columns.

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import checkpointed, cleaned, dropped, stored, utf8, word_bytes
-from .graph import LARGE, components, linked_in_postings, met_in_postings
+from .graph import LARGE, components, linked_in_postings, met_in_postings, starred_in_postings
 
 SEED = 42
 #: Differing bits at which fingerprints still link. The choice of blocks and the stars are made for two.
@@ -206,24 +206,10 @@ def by_fingerprint(prints: DataFrame) -> DataFrame:
                 keys = keys << 8 | bits[:, CHOICES[:, k]]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(bits)), len(CHOICES))))], names=["key", "id"])
 
-    masks = np.array([sum(1 << int(k) for k in c) for c in CHOICES], np.uint64).view(np.int64)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)  # key, smallest and last id of the posting that may go on
-        for batch in batches:
-            key, b = (np.concatenate((h, c.to_numpy())) for h, c in zip(held[[0, 2]], batch.columns, strict=True))
-            begins = np.append(True, key[1:] != key[:-1])[: len(key)]
-            least = np.append(held[1], b[held.shape[1] :])[begins][np.cumsum(begins) - 1]
-            before = np.append(b[:1], b[:-1])
-            new = ~begins
-            star, chain = new & (b != least), new & (b != before) & (before != least)
-            a = np.concatenate((least[star], before[chain]))
-            places = np.concatenate((key[star], key[chain])) >> 8 * CHOICES.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate((b[star], b[chain]))), pa.array(masks[places])], names=["a", "b", "places"])
-            held = np.array([key[-1:], least[-1:], b[-1:]])
-
-    postings = prints.select("id", "print").mapInArrow(posted, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
-    met = postings.mapInArrow(meet, "a long, b long, places long").groupBy("a", "b").agg(F.bit_or("places").alias("places"))
+    masks = np.array([sum(1 << int(k) for k in c) for c in CHOICES], np.uint64).view(np.int64).tolist()
+    met = starred_in_postings(prints.select("id", "print").mapInArrow(posted, "key long, id long"))
+    places = F.get(F.array(*map(F.lit, masks)), F.shiftright("key", 8 * CHOICES.shape[1]).cast("int"))
+    met = met.groupBy("a", "b").agg(F.bit_or(places).alias("places"))
     x, y = (prints.select(F.col("id").alias(k), F.col("print").alias(f"{k}_print")) for k in "ab")
     byte = lambda k: F.shiftrightunsigned("places", 8 * k).bitwiseAND(0xFF)
     shared = sum((tally(F.get("a_print", F.lit(k)), F.get("b_print", F.lit(k)), byte(k)) for k in range(PRINT)), F.lit(0))
@@ -263,7 +249,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
     common = F.size(F.array_intersect("a_set", "b_set"))
     alike = pairs.join(left, "a").join(right, "b").where(common >= least * (F.size("a_set") + F.size("b_set") - common))
-    return stored(alike.select("a", "b").distinct(), "verified")
+    out = stored(alike.select("a", "b").distinct(), "verified")
+    cleaned(pairs.sparkSession)
+    return out
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
