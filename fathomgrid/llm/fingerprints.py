@@ -8,7 +8,8 @@ cover the whole text, and the samples of a level contain those of the next. Like
 
 `classes` bands fingerprints by sampled digits. Places are drawn over a span of samples; a fingerprint has bands for the
 longest two spans that it fills, at its own level and, near the upper end of a level, at the next, so that two fingerprints
-whose numbers of samples are within a fifth share a span and all of its places. All members of a small band are compared.
+whose numbers of samples are within a fifth share a span and all of its places. In a band each member is compared with the
+smallest and the one before it, then all members of a small band that these links haven't joined.
 In a large one they are compared with one member, another for each band and round, until a round links no more; what is
 left apart there is compared pair by pair if 64 sampled bits of both are near enough. Likeness verifies each pair.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cleaned, n_partitions, stored
-from .graph import components, linked_in_postings, met_in_postings
+from .graph import components, linked_in_postings, met_in_postings, starred_in_postings
 
 SAMPLES = 512
 #: Steps after which the shared random bits repeat.
@@ -301,12 +302,16 @@ def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
     reached through pairs of likeness `least` or more that share a band."""
     owners = stored(table.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "owners")
     known = owners.where("id is not null")
-    rows = known.mapInArrow(_spread, "key long, id long")
-    met = stored(met_in_postings(rows), "met")
-    large = met.where("b is null").select("key", F.col("a").alias("id"))
-    pairs = met.where("b is not null").select("a", "b").distinct()
     verify = lambda p: _verified(p, known, least)
-    links = verify(pairs)
+    rows = known.withColumn("c", F.col("id")).mapInArrow(_spread, "key long, id long, c long").select("key", "id")
+    links = verify(starred_in_postings(rows).select("a", "b").distinct())
+    labels = components(links)
+    apart = known.join(labels, known["id"] == labels["node"], "left").select("fingerprint", "id", F.coalesce("component", "id").alias("c"))
+    rows = apart.mapInArrow(_spread, "key long, id long, c long")
+    met = stored(met_in_postings(rows, "c long", lambda x, y: x[0] != y[0]), "met")
+    cleaned(table.sparkSession)
+    large = met.where("b is null").select("key", F.col("a").alias("id"))
+    links = links.union(verify(met.where("b is not null").select("a", "b").distinct()))
     if not large.isEmpty():
         large = stored(large.join(known, "id").mapInArrow(_with_bits, "key long, id long, bits long"), "large")
         links = linked_in_postings(large, links, ["bits"], lambda x, y: F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= NEAR_BITS, verify)
@@ -318,7 +323,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [bands(x) for x in batch.column("fingerprint").to_pylist()]
         rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), batch.column("id").take(pa.array(rows))], names=["key", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), *(batch.column(c).take(pa.array(rows)) for c in ("id", "c"))], names=["key", "id", "c"])
 
 
 def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

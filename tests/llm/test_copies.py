@@ -344,6 +344,26 @@ def test_fingerprint_classes_equal_brute_force(spark, monkeypatch):
     assert fingerprints.fingerprinted(docs.limit(0)).count() == 0
 
 
+def test_a_group_of_alike_fingerprints_makes_few_links(spark, monkeypatch):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghij klmnop") for _ in range(600))
+    table = [(i, fingerprints.fingerprints_of([with_edits(rng, base, 1)])[0]) for i in range(90)]
+    counts, whole = [], fingerprints.components
+
+    def counted(links):
+        counts.append(links.count())
+        return whole(links)
+
+    monkeypatch.setattr(fingerprints, "components", counted)
+    out = fingerprints.classes(spark.createDataFrame(table, "doc_id long, fingerprint string")).collect()
+    known = [(x, set(fingerprints.bands(x))) for _, x in table]
+    pairs = [(a, b) for a, b in itertools.combinations(range(90), 2) if known[a][1] & known[b][1] and fingerprints.likeness(table[a][1], table[b][1]) >= 0.8]
+    found = {r["fingerprint"]: r["class_id"] for r in out}
+    assert [found[x] for _, x in table] == components_of(90, pairs)
+    distinct = {frozenset((table[a][1], table[b][1])) for a, b in pairs if table[a][1] != table[b][1]}
+    assert max(counts) <= len(distinct) / 2, (counts, len(distinct))
+
+
 def test_parities_never_rule_out_more_than_the_difference():
     rng = np.random.default_rng(10)
     bits = lambda x: int.from_bytes(simhash.parities(x).tobytes(), "little")
