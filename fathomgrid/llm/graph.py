@@ -92,8 +92,9 @@ def met_in_postings(rows: DataFrame, extra: str = "", good: Callable[[tuple, tup
 
 
 def starred_in_postings(rows: DataFrame) -> DataFrame:
-    """key, a, b (a < b): in each posting of rows (key, id, both long) a member with the smallest and with the one before it,
-    so that pairs grow with the members. Postings of any size are read batch by batch."""
+    """key, a, before, b (a <= before < b): in each posting of rows (key, id, both long) a row for each member but the
+    smallest, with the smallest and the one before it, so that pairs grow with the members. Postings of any size are read
+    batch by batch."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((3, 0), np.int64)  # key, smallest and last id of the posting that may go on
@@ -102,11 +103,17 @@ def starred_in_postings(rows: DataFrame) -> DataFrame:
             begins = np.append(True, key[1:] != key[:-1])[: len(key)]
             least = np.append(held[1], b[held.shape[1] :])[begins][np.cumsum(begins) - 1]
             before = np.append(b[:1], b[:-1])
-            star, chain = ~begins & (b != least), ~begins & (b != before) & (before != least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(key[star], key[chain])), pa.array(np.append(least[star], before[chain])), pa.array(np.append(b[star], b[chain]))], names=["key", "a", "b"])
+            star = ~begins & (b != before)
+            yield pa.RecordBatch.from_arrays([pa.array(x[star]) for x in (key, least, before, b)], names=["key", "a", "before", "b"])
             held = np.array([key[-1:], least[-1:], b[-1:]])
 
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key long, a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key long, a long, before long, b long")
+
+
+def tallied_pairs(met: DataFrame, tally: Column) -> DataFrame:
+    """a, b and the tally over the postings in which they meet, from a stored table of `starred_in_postings`."""
+    pairs = met.select("key", "a", "b").union(met.where("before != a").select("key", F.col("before").alias("a"), "b"))
+    return pairs.groupBy("a", "b").agg(tally)
 
 
 def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], near: Callable[[dict, dict], Column], verify: Callable[[DataFrame], DataFrame], last: DataFrame | None = None, last_near: Callable[[dict, dict], Column] | None = None) -> DataFrame:

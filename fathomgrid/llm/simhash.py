@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import checkpointed, cleaned, dropped, stored, utf8, word_bytes
-from .graph import LARGE, components, linked_in_postings, met_in_postings, starred_in_postings
+from .common import checkpointed, cleaned, dropped, likely_in, only, stored, utf8, word_bytes
+from .graph import LARGE, components, linked_in_postings, met_in_postings, starred_in_postings, tallied_pairs
 
 SEED = 42
 #: Differing bits at which fingerprints still link. The choice of blocks and the stars are made for two.
@@ -137,7 +137,7 @@ WORDS, ORDER_BUCKETS = 5, 1 << 18
 #: 9,011 alike pairs all share 16.
 PRINT_WORDS, PRINT, SHARED = 2, 8, 12
 _rng = np.random.default_rng(1)
-CHOICES = np.array([_rng.choice(8 * PRINT, 3, replace=False) for _ in range(96)])
+CHOICES = np.array([_rng.choice(8 * PRINT, 3, replace=False) for _ in range(64)])
 #: Longs of parities of a text's shingles: they rule out most unlike pairs of large postings, and no alike one.
 PARITY = 8
 
@@ -207,9 +207,10 @@ def by_fingerprint(prints: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(bits)), len(CHOICES))))], names=["key", "id"])
 
     masks = np.array([sum(1 << int(k) for k in c) for c in CHOICES], np.uint64).view(np.int64).tolist()
-    met = starred_in_postings(prints.select("id", "print").mapInArrow(posted, "key long, id long"))
+    met = stored(starred_in_postings(prints.select("id", "print").mapInArrow(posted, "key long, id long")), "met")
+    cleaned(prints.sparkSession)
     places = F.get(F.array(*map(F.lit, masks)), F.shiftright("key", 8 * CHOICES.shape[1]).cast("int"))
-    met = met.groupBy("a", "b").agg(F.bit_or(places).alias("places"))
+    met = tallied_pairs(met, F.bit_or(places).alias("places"))
     x, y = (prints.select(F.col("id").alias(k), F.col("print").alias(f"{k}_print")) for k in "ab")
     byte = lambda k: F.shiftrightunsigned("places", 8 * k).bitwiseAND(0xFF)
     shared = sum((tally(F.get("a_print", F.lit(k)), F.get("b_print", F.lit(k)), byte(k)) for k in range(PRINT)), F.lit(0))
@@ -242,14 +243,17 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(word_bytes(t), words)).view(np.int64) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(hashed, "id long, shingles array<long>")
+    some = only(docs.select("doc_id", "text"), "doc_id", ids)
+    return some.join(ids, some["doc_id"] == ids["id"], "left_semi").mapInArrow(hashed, "id long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    pairs = stored(pairs.select("a", "b").distinct(), "compared")
+    left, right = (only(sets, "id", pairs.select(k)).select(F.col("id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
     common = F.size(F.array_intersect("a_set", "b_set"))
     alike = pairs.join(left, "a").join(right, "b").where(common >= least * (F.size("a_set") + F.size("b_set") - common))
-    out = stored(alike.select("a", "b").distinct(), "verified")
+    out = stored(alike.select("a", "b"), "verified")
+    dropped(pairs)
     cleaned(pairs.sparkSession)
     return out
 
@@ -334,8 +338,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share an id stay or go together. A row without an id goes if its text equals one that has an id.
     """
     found = near_duplicates(docs)
-    away = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(away, "doc_id", "left_anti")
+    away = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "away")
+    cleaned(docs.sparkSession)
+    marked = likely_in(docs, "doc_id", away)  # rows that surely stay aren't shuffled
+    kept = marked.where("not __likely").unionByName(marked.where("__likely").join(away, "doc_id", "left_anti"))
     if not docs.schema["doc_id"].nullable or docs.where("doc_id is null").isEmpty():
         return kept.select(*docs.columns)
     digests = found.where("doc_id is not null").select(F.hex("same").alias("__same")).distinct()

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from fathomgrid.llm import fingerprints, graph, simhash, urls
-from fathomgrid.llm.common import word_bytes
+from fathomgrid.llm.common import likely_in, only, word_bytes
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -156,6 +156,26 @@ def test_members_of_a_fingerprint_posting_meet_over_batches(spark):
     assert components_of(300, pairs) == [i if i % 3 == 0 else 1 for i in range(300)]
 
 
+def test_a_posting_makes_one_row_for_each_member(spark):
+    rows = [(k, i) for k in range(3) for i in range(200)] + [(9, 5)]
+    met = graph.starred_in_postings(spark.createDataFrame(rows, "key long, id long")).collect()
+    assert sorted((r["key"], r["a"], r["before"], r["b"]) for r in met) == [(k, 0, i - 1, i) for k in range(3) for i in range(1, 200)]
+
+
+def test_rows_that_stay_need_no_shuffle(spark):
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 10)], "id long")
+    docs = spark.range(3000).selectExpr("cast(if(id = 1, null, id) as int) as doc_id", "2 as h", "3 as id")
+    out = likely_in(docs, "doc_id", ids).collect()
+    assert len(out) == 3000 and all(r["__likely"] for r in out if r["doc_id"] is not None and r["doc_id"] % 10 == 0)
+    assert sum(r["__likely"] for r in out) <= 320
+    assert only(docs, "doc_id", ids.limit(0)).count() == 0
+    texts = spark.createDataFrame([(i, " ".join(f"w{random.Random(i % 290).random()}" for _ in range(50))) for i in range(300)], "doc_id long, text string")
+    kept = simhash.keep_one(texts.union(spark.createDataFrame([(None, "some other text")], texts.schema)))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "__word" in plan
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, i) for i in range(290)] + [(True, None)]
+
+
 def walk(text):
     codes, _ = fingerprints._codes([text])
     level, at, step, out = fingerprints.level_of(len(text)), 0, 0, ""
