@@ -8,8 +8,9 @@ cover the whole text, and the samples of a level contain those of the next. Like
 
 `classes` bands fingerprints by sampled digits. Places are drawn over a span of samples; a fingerprint has bands for the
 longest two spans that it fills, at its own level and, near the upper end of a level, at the next, so that two fingerprints
-whose numbers of samples are within a fifth share a span and all of its places. In a band each member is compared with the
-smallest and the one before it, then all members of a small band that these links haven't joined.
+whose numbers of samples are within a fifth share a span and all of its places. In a band each member meets the smallest
+and the one before it; of all that it meets it is compared with the smallest and with the one of most bands. Then come all
+members of a small band that these links haven't joined.
 In a large one they are compared with one member, another for each band and round, until a round links no more; what is
 left apart there is compared pair by pair if 64 sampled bits of both are near enough. Likeness verifies each pair.
 
@@ -34,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, n_partitions, stored
-from .graph import components, linked_in_postings, met_in_postings, starred_in_postings
+from .common import cleaned, dropped, likely_in, n_partitions, only, stored
+from .graph import components, linked_in_postings, met_in_postings, starred_in_postings, tallied_pairs
 
 SAMPLES = 512
 #: Steps after which the shared random bits repeat.
@@ -298,16 +299,20 @@ def sampled_bits(fingerprint: str, key: int) -> int:
 
 
 def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
-    """fingerprint, class_id of each distinct fingerprint of a stored table (doc_id, fingerprint): the smallest doc_id that is
-    reached through pairs of likeness `least` or more that share a band."""
-    owners = stored(table.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "owners")
-    known = owners.where("id is not null")
+    """fingerprint, class_id, id (its smallest doc_id), n (its rows) of each distinct fingerprint of a stored table (doc_id,
+    fingerprint): the class is the smallest doc_id that is reached through pairs of likeness `least` or more that share a band."""
+    owners = stored(table.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "owners")
+    cleaned(table.sparkSession)
+    known = owners.where("id is not null").select("fingerprint", "id")
     verify = lambda p: _verified(p, known, least)
     rows = known.withColumn("c", F.col("id")).mapInArrow(_spread, "key long, id long, c long").select("key", "id")
-    links = verify(starred_in_postings(rows).select("a", "b").distinct())
-    labels = components(links)
-    apart = known.join(labels, known["id"] == labels["node"], "left").select("fingerprint", "id", F.coalesce("component", "id").alias("c"))
-    rows = apart.mapInArrow(_spread, "key long, id long, c long")
+    met = stored(starred_in_postings(rows), "met")
+    cleaned(table.sparkSession)
+    first = tallied_pairs(met, F.count("*").alias("n")).groupBy("b").agg(F.min("a").alias("x"), F.max_by("a", F.struct("n", -F.col("a"))).alias("y"))
+    links = verify(first.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
+    dropped(met)
+    labelled = _labelled(known, components(links)).select("fingerprint", "id", F.col("component").alias("c"))
+    rows = labelled.mapInArrow(_spread, "key long, id long, c long")
     met = stored(met_in_postings(rows, "c long", lambda x, y: x[0] != y[0]), "met")
     cleaned(table.sparkSession)
     large = met.where("b is null").select("key", F.col("a").alias("id"))
@@ -315,8 +320,26 @@ def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
     if not large.isEmpty():
         large = stored(large.join(known, "id").mapInArrow(_with_bits, "key long, id long, bits long"), "large")
         links = linked_in_postings(large, links, ["bits"], lambda x, y: F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= NEAR_BITS, verify)
-    labels = components(links)
-    return owners.join(labels, owners["id"] == labels["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
+    return _labelled(owners, components(links)).select("fingerprint", F.col("component").alias("class_id"), "id", "n")
+
+
+def _labelled(owners: DataFrame, labels: DataFrame) -> DataFrame:
+    """owners and the component of their ids, which is the id itself for those that no link reaches."""
+    marked = likely_in(owners, "id", labels.select("node"))
+    alone = marked.where("not __likely").withColumn("component", F.col("id"))
+    rest = marked.where("__likely").join(labels, F.col("id") == labels["node"], "left").drop("node").withColumn("component", F.coalesce("component", "id"))
+    return alone.unionByName(rest).drop("__likely")
+
+
+def _with_class(table: DataFrame, least: float) -> DataFrame:
+    """A stored table (doc_id, fingerprint, more columns) and class_id. Rows alone in their class aren't shuffled for it."""
+    found = classes(table.select("doc_id", "fingerprint"), least)
+    shared = stored(found.where("n > 1 or not class_id <=> id").select("fingerprint", "class_id"), "shared")
+    cleaned(table.sparkSession)
+    marked = likely_in(table, "fingerprint", shared.select("fingerprint"))
+    alone = marked.where("not __likely").withColumn("class_id", F.col("doc_id").cast("long"))
+    rest = marked.where("__likely").join(shared, "fingerprint", "left").withColumn("class_id", F.coalesce("class_id", F.col("doc_id").cast("long")))
+    return alone.unionByName(rest).select(*table.columns, "class_id")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,18 +361,22 @@ def _verified(pairs: DataFrame, owners: DataFrame, least: float) -> DataFrame:
             good = [likeness(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = (owners.select(F.col("id").alias(k), F.col("fingerprint").alias(v)) for k, v in ("ax", "by"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    left, right = (only(owners, "id", pairs.select(k)).select(F.col("id").alias(k), F.col("fingerprint").alias(v)) for k, v in ("ax", "by"))
+    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
+    dropped(pairs)
+    cleaned(out.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id of each row, as `classes` finds them."""
     table = stored(fingerprint_table(docs), "fingerprints")
-    return table.join(classes(table, least), "fingerprint").select("doc_id", "class_id")
+    return _with_class(table, least).select("doc_id", "class_id")
 
 
 def fingerprinted(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The columns of `compared`, and class_id."""
     table = stored(compared(docs), "compared")
     cleaned(docs.sparkSession)
-    return table.join(classes(table.select("doc_id", "fingerprint"), least), "fingerprint").select(*table.columns, "class_id")
+    return _with_class(table, least)

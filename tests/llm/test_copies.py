@@ -384,6 +384,22 @@ def test_a_group_of_alike_fingerprints_makes_few_links(spark, monkeypatch):
     assert max(counts) <= len(distinct) / 2, (counts, len(distinct))
 
 
+def test_links_of_a_group_are_two_for_each_member(spark, monkeypatch):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghij klmnop") for _ in range(900))
+    texts = [with_edits(rng, base, 4) for _ in range(150)]
+    pairs = []
+    whole = fingerprints._verified
+    monkeypatch.setattr(fingerprints, "_verified", lambda p, *a: pairs.append(p.count()) or whole(p, *a))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[0]), (None, "alone"), (201, "one more"), (None, None), (202, "")]
+    out = fingerprints.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "__word" in plan  # rows alone in their class aren't shuffled
+    found = sorted(((r["class_id"], r["n_chars"], r["doc_id"]) for r in out.collect() if r["n_chars"] < 500), key=str)
+    assert found == sorted([(None, 5, None), (201, 8, 201), (202, 0, None), (202, 0, 202)], key=str)
+    assert 140 <= pairs[0] <= 2 * 149, pairs
+
+
 def test_parities_never_rule_out_more_than_the_difference():
     rng = np.random.default_rng(10)
     bits = lambda x: int.from_bytes(simhash.parities(x).tobytes(), "little")
