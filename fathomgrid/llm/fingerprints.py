@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cleaned, dropped, likely_in, n_partitions, only, stored
-from .graph import components, linked_in_postings, met_in_postings, starred_in_postings, tallied_pairs
+from .graph import components, contracted, linked_in_postings, met_in_postings, starred_in_postings, tallied_pairs
 
 SAMPLES = 512
 #: Steps after which the shared random bits repeat.
@@ -311,12 +311,13 @@ def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
     first = tallied_pairs(met, F.count("*").alias("n")).groupBy("b").agg(F.min("a").alias("x"), F.max_by("a", F.struct("n", -F.col("a"))).alias("y"))
     links = verify(first.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
     dropped(met)
-    labelled = _labelled(known, components(links)).select("fingerprint", "id", F.col("component").alias("c"))
+    labels = components(links)
+    labelled = _labelled(known, labels).select("fingerprint", "id", F.col("component").alias("c"))
     rows = labelled.mapInArrow(_spread, "key long, id long, c long")
     met = stored(met_in_postings(rows, "c long", lambda x, y: x[0] != y[0]), "met")
     cleaned(table.sparkSession)
     large = met.where("b is null").select("key", F.col("a").alias("id"))
-    links = links.union(verify(met.where("b is not null").select("a", "b").distinct()))
+    links = links.union(contracted(verify(met.where("b is not null").select("a", "b").distinct()), labels))
     if not large.isEmpty():
         large = stored(large.join(known, "id").mapInArrow(_with_bits, "key long, id long, bits long"), "large")
         links = linked_in_postings(large, links, ["bits"], lambda x, y: F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= NEAR_BITS, verify)

@@ -116,6 +116,13 @@ def tallied_pairs(met: DataFrame, tally: Column) -> DataFrame:
     return pairs.groupBy("a", "b").agg(tally)
 
 
+def contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of their ends, each once. labels: node, component; other nodes are their own."""
+    a, b = (labels.select(F.col("node").alias(k), F.col("component").alias(f"{k}_c")) for k in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    return ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], near: Callable[[dict, dict], Column], verify: Callable[[DataFrame], DataFrame], last: DataFrame | None = None, last_near: Callable[[dict, dict], Column] | None = None) -> DataFrame:
     """links (a, b) and more of them, between members of the large postings (key, id, extra columns), enough to have the same
     components as all verified pairs of members for which `near` holds of the extra columns.
@@ -147,6 +154,7 @@ def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], nea
         before, state = state, stored(state.join(moved, "c", "left").select("key", *columns, F.coalesce("root", "c").alias("c")), "large")
         dropped(before)
     links = links.union(found)
+    own_c = state.select(F.col("id").alias("node"), F.col("c").alias("component")).distinct()
     rest = state.join(main.select("key", "main"), "key").where("c != main")
     both = near(other, own)
     if last is not None:
@@ -157,4 +165,4 @@ def linked_in_postings(large: DataFrame, links: DataFrame, extra: list[str], nea
         both &= last_near({k: F.col(f"x_{k}") for k in wide}, {k: F.col(k) for k in wide})
     rest = rest.select("key", *(F.col(k).alias(f"x_{k}") for k in (*columns, "c")))
     apart = rest.join(state, "key").where((F.col("x_c") != F.col("c")) & both).select(*pair).distinct()
-    return links.union(verify(apart))
+    return links.union(contracted(verify(apart), own_c))

@@ -384,6 +384,12 @@ def test_a_group_of_alike_fingerprints_makes_few_links(spark, monkeypatch):
     assert max(counts) <= len(distinct) / 2, (counts, len(distinct))
 
 
+def test_links_are_contracted_to_components(spark):
+    labels = spark.createDataFrame([(i, i // 10 * 10) for i in range(40)], "node long, component long")
+    links = spark.createDataFrame([(a, b) for a in range(10) for b in range(10, 20)] + [(25, 3), (21, 22), (77, 31)], "a long, b long")
+    assert sorted(map(tuple, graph.contracted(links, labels).collect())) == [(0, 10), (0, 20), (30, 77)]
+
+
 def test_links_of_a_group_are_two_for_each_member(spark, monkeypatch):
     rng = random.Random(12)
     base = "".join(rng.choice("abcdefghij klmnop") for _ in range(900))
