@@ -32,9 +32,10 @@ def beside(videos: DataFrame, screen: str) -> DataFrame:
     return videos.where(F.col("video") != screen).select(F.lit(screen).alias("screen"), F.col("video").alias("other")).distinct()
 
 
-def with_detections(frames: DataFrame, detected: DataFrame) -> DataFrame:
-    """frames with the detections of their path, which many frames may share; null where a path has none."""
-    return frames.join(detected.select("path", "detections"), "path", "left")
+def with_detections(frames: DataFrame, detected: DataFrame, *columns: str) -> DataFrame:
+    """frames with the detections of their path, which many frames may share; null where a path has none. With `columns` these
+    are joined instead: what is counted of detections is counted once for each path, so that no frame carries their array."""
+    return frames.join(detected.select("path", *(columns or ["detections"])), "path", "left")
 
 
 def first_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
