@@ -45,3 +45,15 @@ def test_strip(spark):
     back = spark.createDataFrame([(1, 10.0, 10.0, 10.0)], "picture int, r double, g double, b double")
     out = {(r["picture"], r["x"]): (r["r"], r["g"], r["b"]) for r in colors.stripped(pixels, back, "picture", 5.0).collect()}
     assert out == {(1, 0): (0, 0, 0), (1, 1): (0, 0, 0), (1, 2): (16, 10, 10), (2, 0): (10, 10, 10), (1, 3): (None, 1, 1)}
+
+
+def test_small_pictures_settle_in_tasks_as_large_ones_do_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(p, *map(int, rng.integers(0, 256, 3))) for p, n in (("a", 40), ("b", 300), ("c", 6), ("d", 1)) for _ in range(n)]
+    counts = colors.color_counts(spark.createDataFrame(rows, "picture string, r int, g long, b int"), "picture").repartition(3)
+    stored, kept = [], colors.kept
+    monkeypatch.setattr(colors, "kept", lambda df, name: stored.append(name) or kept(df, name))
+    found = {r["picture"]: r for r in colors.backgrounds(counts, "picture").collect()}
+    assert found.keys() == set("abcd") and len(stored) <= 2  # not one table for each round
+    monkeypatch.setattr(colors, "SMALL", 30)
+    assert {r["picture"]: r for r in colors.backgrounds(counts, "picture").collect()} == found and len(stored) > 8
