@@ -21,36 +21,50 @@ def nearest(drivers: DataFrame, candidates: DataFrame, streams: list[str], tie:
     `earlier` the first, after it both take the first. With `tolerance`, farther candidates count as none. Drivers without
     candidates stay; null times are nobody's neighbour.
     """
-    d = drivers.select(F.struct("*").alias("driver"), "t", F.explode(F.array(*map(F.lit, streams))).alias("stream")).where("t is not null")
-    c = candidates.where(F.col("stream").isin(streams) & F.col("t").isNotNull())
-    if tie == "earlier":
-        c = c.groupBy("stream", "t").agg(F.min_by(F.struct(*c.columns), "id").alias("found")).select("stream", "t", "found")
-    else:
-        c = c.select("stream", "t", F.struct(*c.columns).alias("found"))
+    return aligned(drivers, candidates, streams, tie, tolerance, bucket).select("driver", F.explode("met").alias("m")).select("driver", "m.*")
+
+
+def aligned(drivers: DataFrame, candidates: DataFrame, streams: list[str], tie: str = "later", tolerance: int | None = None, bucket: int = HOUR) -> DataFrame:
+    """driver, met (array of stream, found and gap, in the order of `streams`): what `nearest` finds, by driver."""
     number = F.floor(F.col("t") / F.lit(bucket)).cast("long")
-    d, c = d.withColumn("bucket", number), c.withColumn("bucket", number)
-    order = F.struct("t", F.col("found.id").alias("id"))
-    ends = c.groupBy("stream", "bucket").agg(F.min_by("found", order).alias("first"), F.max_by("found", order).alias("last"))
-    places = ends.select("stream", "bucket", "first", "last", F.lit(False).alias("wanted"))
-    nothing = [F.lit(None).cast(ends.schema[k].dataType).alias(k) for k in ("first", "last")]
-    places = places.union(d.select("stream", "bucket").distinct().select("stream", "bucket", *nothing, F.lit(True)))
-    along = Window.partitionBy("stream").orderBy("bucket")
+    d = drivers.where("t is not null").select(F.struct("*").alias("driver"), "t", number.alias("bucket"))
+    c = candidates.where(F.col("stream").isin(streams) & F.col("t").isNotNull())
+    c = c.select("stream", "t", number.alias("bucket"), F.struct(*c.columns).alias("found"))
+    ends = _ends(c, tie)
+    places = ends.withColumn("wanted", F.lit(False)).unionByName(d.select("bucket").distinct().select("bucket", F.explode(F.array(*map(F.lit, streams))).alias("stream"), F.lit(True).alias("wanted")), allowMissingColumns=True)
+    # both windows look back only: one that looks on to the end is computed anew for each row
+    along = lambda *order: Window.partitionBy("stream").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     carried = places.groupBy("stream", "bucket").agg(F.first("first", True).alias("first"), F.first("last", True).alias("last"), F.max("wanted").alias("wanted"))
-    carried = carried.withColumn("before", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)))
+    carried = carried.withColumn("before", F.last("last", True).over(along("bucket"))).withColumn("after", F.last("first", True).over(along(F.desc("bucket"))))
     carried = carried.where("wanted").select("stream", "bucket", F.explode(F.array("before", "after")).alias("found")).where("found is not null")
-    rows = c.select("stream", "bucket", "t", "found").unionByName(carried.select("stream", "bucket", F.col("found.t").alias("t"), "found"))
-    rows = rows.unionByName(d, allowMissingColumns=True)
-    # at equal times drivers come before candidates, so that what follows holds those of equal time
-    inside = Window.partitionBy("stream", "bucket").orderBy("t", F.col("driver").isNull(), "found.id")
-    rows = rows.withColumn("before", F.last("found", True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("found", True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
-    back, on = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
-    closer = back <= on if tie == "earlier" else back < on
-    found = F.when(F.col("after").isNull() | F.coalesce(closer, F.lit(False)), F.col("before")).otherwise(F.col("after"))
-    out = rows.where("driver is not null").select("driver", "stream", found.alias("found"), F.abs(F.col("t") - found["t"]).alias("gap"))
-    if tolerance is not None:
-        near = F.coalesce(F.col("gap") <= tolerance, F.lit(False))
-        out = out.select("driver", "stream", *(F.when(near, F.col(k)).alias(k) for k in ("found", "gap")))
-    return out
+    rows = c.unionByName(carried.select("stream", F.col("found.t").alias("t"), "bucket", "found")).unionByName(d, allowMissingColumns=True)
+    # all streams of a bucket lie in one window, so that a driver is there once; at equal times it comes before the candidates
+    # on the way up and after them on the way down
+    is_driver, at = F.col("driver").isNotNull(), F.col("found.id")
+    up = Window.partitionBy("bucket").orderBy("t", F.desc(is_driver), at.desc() if tie == "earlier" else at.asc())
+    down = Window.partitionBy("bucket").orderBy(F.desc("t"), is_driver, at.desc())
+    latest = lambda w, s: F.last(F.when(F.col("stream") == s, F.col("found")), True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("driver", "t", *(latest(w, s).alias(f"{k}_{i}") for k, w in (("before", up), ("after", down)) for i, s in enumerate(streams))).where("driver is not null")
+
+    def of(i: int) -> Column:
+        before, after = F.col(f"before_{i}"), F.col(f"after_{i}")
+        back, on = F.col("t") - before["t"], after["t"] - F.col("t")
+        found = F.when(after.isNull() | F.coalesce(back <= on if tie == "earlier" else back < on, F.lit(False)), before).otherwise(after)
+        gap = F.abs(F.col("t") - found["t"])
+        near = F.lit(True) if tolerance is None else F.coalesce(gap <= tolerance, F.lit(False))
+        return F.struct(F.lit(streams[i]).alias("stream"), F.when(near, found).alias("found"), F.when(near, gap).alias("gap"))
+
+    return rows.select("driver", F.array(*map(of, range(len(streams)))).alias("met"))
+
+
+def _ends(c: DataFrame, tie: str) -> DataFrame:
+    """stream, bucket, first, last: the first and the last candidate of each bucket; of those of equal time the first by id, or
+    the last one for `last` unless the tie goes to the earlier. Times are found first, as their extremes need no sort."""
+    times = c.groupBy("stream", "bucket").agg(F.min("t").alias("__from"), F.max("t").alias("__to"))
+    rows = c.join(times, ["stream", "bucket"]).where(F.col("t").isin(F.col("__from"), F.col("__to")))
+    of, at = lambda k: F.when(F.col("t") == F.col(k), F.col("found")), F.col("found.id")
+    first, last = F.when(of("__from").isNotNull(), at), F.when(of("__to").isNotNull(), at)
+    return rows.groupBy("stream", "bucket").agg(F.min_by(of("__from"), first).alias("first"), (F.min_by if tie == "earlier" else F.max_by)(of("__to"), last).alias("last"))
 
 
 def ranked(df: DataFrame, by: list[str], t: str = "t", then: str = "id", bucket: int = HOUR, name: str = "rank") -> DataFrame:

@@ -1,5 +1,9 @@
 """What must not grow faster than its input: plans and results on inputs with large groups."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from fathomgrid.operators import asof, frames
 from fathomgrid.plans import pictures, queries  # noqa: F401
 from fathomgrid.plans.registry import QUERIES
 
@@ -11,3 +15,30 @@ def test_frames_get_counts_not_arrays(spark):
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
     paths = {r["p"] for r in spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey % 700 as p").distinct().collect()}
     assert all((r["n"] is None) == (r["event_id"] % 900 not in paths) for r in found.collect())
+
+
+def _frames(spark):
+    """Screens and fans of an hour in which all rows of some streams lie, with many of equal time, and of a sparse day."""
+    rows = [(i, 1000 * (i // 3), i % 5) for i in range(6000)] + [(6000 + i, (1 + i) * asof.HOUR * 3 + i, i % 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t long, n long")
+    return df.where("id % 3 = 0"), df.where("id % 3 > 0").withColumn("stream", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+
+
+@pytest.mark.parametrize("tie", ["later", "earlier"])
+def test_no_window_looks_on_to_the_end(spark, tie):
+    """Such a window is computed anew for each row: the square of a bucket's rows, and of a stream's buckets."""
+    screen, fan = _frames(spark)
+    found = frames.groups(screen, fan, ["a", "b", "c"], tie)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    cands = {s: sorted((r["t"], r["id"]) for r in fan.where(F.col("stream") == s).collect()) for s in "ab"}
+    got = found.collect()
+    assert len(got) == 3 * screen.count()
+    for r in got:
+        if r["stream"] == "c":
+            assert r["found_id"] is None
+            continue
+        gap, t = min((abs(t - r["screen_t"]), t) for t, _ in cands[r["stream"]])
+        if tie == "later" and (gap, r["screen_t"] + gap) in {(abs(t - r["screen_t"]), t) for t, _ in cands[r["stream"]]}:
+            t = r["screen_t"] + gap
+        same = [i for at, i in cands[r["stream"]] if at == t]
+        assert r["found_id"] == (max(same) if tie == "later" and t < r["screen_t"] else min(same))
