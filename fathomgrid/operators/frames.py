@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, seconds3, with_extension
-from .asof import late, nearest, ranked, since_previous
+from .asof import aligned, late, nearest, ranked, since_previous
 from .quantiles import at_ranks
 
 
@@ -57,6 +57,15 @@ def report(found: DataFrame, streams: list[str]) -> DataFrame:
     return found.groupBy("group_index", "screen_id", "screen_t", "screen_count").agg(*aggs, F.coalesce(F.sum("found_count"), F.lit(0)).alias("fan_sum"))
 
 
+def reported(screen: DataFrame, fan: DataFrame, streams: list[str], tie: str = "later", tolerance: int | None = None) -> DataFrame:
+    """The report of the groups of screen and fan frames; a group's fans come in one row, so that none are brought together again."""
+    met = aligned(ranked(screen.select("id", "t", "n"), [], name="group_index"), fan.select("stream", "id", "t", "n"), streams, tie, tolerance)
+    group = [F.col(f"driver.{c}").alias(name) for c, name in (("group_index", "group_index"), ("id", "screen_id"), ("t", "screen_t"), ("n", "screen_count"))]
+    count = lambda i: F.col("met")[i]["found"]["n"]
+    each = [c for i, s in enumerate(streams) for c in (count(i).alias(f"{s}_count"), seconds3(F.col("met")[i]["gap"]).alias(f"{s}_delta_s"))]
+    return met.select(*group, *each, sum((F.coalesce(count(i), F.lit(0)) for i in range(len(streams))), F.lit(0).cast("long")).alias("fan_sum"))
+
+
 def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("groups"), F.coalesce(F.sum("screen_count"), F.lit(0)).alias("screen_total"), F.coalesce(F.sum("fan_sum"), F.lit(0)).alias("fan_total"))
 

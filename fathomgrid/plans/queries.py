@@ -78,7 +78,7 @@ def nearest_tolerance_earlier(spark, sf_dir):
 )
 def frame_group_counts(spark, sf_dir):
     e = events(spark, sf_dir)
-    return frames.report(frames.groups(screen(e), e.where(F.col("stream") != SCREEN), FANS), FANS).drop("screen_t")
+    return frames.reported(screen(e), e.where(F.col("stream") != SCREEN), FANS).drop("screen_t")
 
 
 @query(_nearest_sql("later") + f"""

@@ -42,3 +42,11 @@ def test_no_window_looks_on_to_the_end(spark, tie):
             t = r["screen_t"] + gap
         same = [i for at, i in cands[r["stream"]] if at == t]
         assert r["found_id"] == (max(same) if tie == "later" and t < r["screen_t"] else min(same))
+
+
+def test_reports_from_one_row_equal_grouped_ones(spark):
+    screen, fan = _frames(spark)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    one, grouped = frames.reported(screen, fan, ["a", "b", "c"], tolerance=5000), frames.report(frames.groups(screen, fan, ["a", "b", "c"], tolerance=5000), ["a", "b", "c"])
+    assert sorted(map(str, one.select(*grouped.columns).collect())) == sorted(map(str, grouped.collect()))
+    assert plan(QUERIES["frame_group_counts"](spark, SF)).count("Generate") < plan(frames.report(frames.groups(screen, fan, ["a"]), ["a"])).count("Generate")
