@@ -14,16 +14,16 @@ without a whole colour has no background. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, StructField, StructType
 
 from ..sources.shared import kept
+from .grouped import whole_groups
 
 CLUSTERS, ROUNDS, STARTS = 5, 50, 4
 RGB = ("r", "g", "b")
@@ -157,21 +157,11 @@ def _by_tasks(counts: DataFrame, by: str, k: int, starts: int, rounds: int, seed
     """The backgrounds of pictures whose colours a task can hold. No more than a batch and a picture is held."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in chain(batches, (None,)):
-            table = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks() if held is not None or batch is not None else None
-            if table is None or not table.num_rows:
-                continue
-            rows = table.to_batches()[0]
-            name = rows.column(0)
-            cuts = [0, *(np.flatnonzero(pc.not_equal(name.slice(1), name.slice(0, len(name) - 1)).to_numpy(zero_copy_only=False)) + 1).tolist()]
-            cuts += [len(name)] * (batch is None)
-            held = rows.slice(cuts[-1])
+        for rows, begins in whole_groups(batches, 1):
             key, *colors, n = (c.to_numpy() for c in rows.columns[1:])
-            found = [_background(key[a].astype(np.uint64), [c[a:b] for c in colors], n[a:b].astype(np.float64), k, starts, rounds) for a, b in pairwise(cuts)]
-            if found:
-                out = np.array(found)
-                yield pa.RecordBatch.from_arrays([name.take(pa.array(cuts[:-1])), *(pa.array(out[:, i]) for i in range(3))], names=[by, *RGB])
+            cuts = [*begins.tolist(), rows.num_rows]
+            found = np.array([_background(key[a].astype(np.uint64), [c[a:b] for c in colors], n[a:b].astype(np.float64), k, starts, rounds) for a, b in pairwise(cuts)])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(begins)), *(pa.array(found[:, i]) for i in range(3))], names=[by, *RGB])
 
     rows = counts.select(by, F.xxhash64(F.lit(seed), F.col(by)).alias("__key"), *RGB, "n").repartition(by).sortWithinPartitions(by, *RGB)
     return rows.mapInArrow(settle, StructType([counts.schema[by], *(StructField(c, DoubleType()) for c in RGB)]))
